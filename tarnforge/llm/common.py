@@ -34,3 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
 def id_crc(col) -> F.Column:
     """crc32 of the id as text: the fixed rule by which rows are held out of training."""
     return F.crc32(col.cast("string"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch brings to a Python worker, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tarnforge.llm import chat_format, hilbert_shards, url_rules
+from tarnforge.llm import chat_format, hilbert_shards, quality_forest, token_counts, url_rules
 
 
 def queries() -> dict:
     return {
         "op2_hilbert_shards": hilbert_shards.op2_hilbert_shards,
         "op3_url_rules": url_rules.op3_url_rules,
+        "op4_quality_forest": quality_forest.op4_quality_forest,
         "op7_chat_format": chat_format.op7_chat_format,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
