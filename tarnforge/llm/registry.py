@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnforge.llm import chat_format, fm_decontam, golay_dedup, hilbert_shards, quality_forest, token_counts, url_rules
+from tarnforge.llm import chat_format, fm_decontam, golay_dedup, hilbert_shards, quality_forest, token_counts, url_rules, weak_toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_url_rules": url_rules.op3_url_rules,
         "op4_quality_forest": quality_forest.op4_quality_forest,
         "op5_fm_decontam": fm_decontam.op5_fm_decontam,
+        "op6_weak_toxicity": weak_toxicity.op6_weak_toxicity,
         "op7_chat_format": chat_format.op7_chat_format,
         "op9_golay_dedup": golay_dedup.op9_golay_dedup,
         "op10_token_counts": token_counts.op10_token_counts,

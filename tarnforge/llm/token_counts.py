@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tarnforge.llm.common import small_batches, table
 
-FREQUENT, PER_TASK, LONGEST, CACHE = 1 << 16, 1 << 14, 64, 1 << 18
+FREQUENT, PER_TASK, LONGEST, CACHE = 1 << 18, 1 << 16, 64, 1 << 18
 _loaded: dict = {}
 
 
@@ -71,7 +71,7 @@ def frequent_lengths(docs: DataFrame, path: str, pattern: str) -> dict[str, int]
     found = docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     top = [r.w for r in found.orderBy(F.desc("n"), "w").limit(FREQUENT).select("w").collect()]
     tok = _tools(path, pattern)[0]
-    return {w: len(e.ids) for w, e in zip(top, tok.encode_batch(top, add_special_tokens=False))}
+    return {w: len(e.ids) for w, e in zip(top, tok.encode_batch_fast(top, add_special_tokens=False))}
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512) -> DataFrame:
@@ -104,7 +104,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
                     cache.clear()
                     misses = [w for _, own in rows for w in own]
                 new = list(dict.fromkeys(misses))
-                cache.update(zip(new, (len(e.ids) for e in tok.encode_batch(new, add_special_tokens=False))))
+                cache.update(zip(new, (len(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False))))
             for i, own in rows:
                 counts[i] += sum(map(cache.__getitem__, own))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
