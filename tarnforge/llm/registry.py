@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnforge.llm import chat_format, fm_decontam, golay_dedup, hilbert_shards, quality_forest, token_counts, url_rules, weak_toxicity
+from tarnforge.llm import bpe_fold, chat_format, fm_decontam, golay_dedup, hilbert_shards, quality_forest, token_counts, url_rules, weak_toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_fm_decontam": fm_decontam.op5_fm_decontam,
         "op6_weak_toxicity": weak_toxicity.op6_weak_toxicity,
         "op7_chat_format": chat_format.op7_chat_format,
+        "op8_bpe_fold": bpe_fold.op8_bpe_fold,
         "op9_golay_dedup": golay_dedup.op9_golay_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
     }
