@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnforge.llm.common import cut, small_batches, table
 from tarnforge.llm.golay import Decoder
@@ -55,16 +56,18 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``(doc_id, text)`` to doc_id, fp (as a signed long)."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
+    """``(doc_id, text)`` to doc_id, the columns in ``carry``, fp (as a signed long)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), size) for x in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fp)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    names = ["doc_id", *(carry or []), "fp"]
+    rows = docs.select("doc_id", "text", *(carry or []))
+    return rows.mapInArrow(run, T.StructType([rows.schema.fields[0], *rows.schema.fields[2:], T.StructField("fp", T.LongType())]))
 
 
 def keys_of(fp: np.ndarray, decoder: Decoder, wide: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -125,15 +128,27 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over links."""
-    marked = cut(fingerprints(docs, size))
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, ``carry``, fp, component_id: the smallest doc_id reachable over links."""
+    marked = cut(fingerprints(docs, size, carry))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(least, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", *(carry or []), "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One document of each component stays: the one of the smallest doc_id, with all columns.
+
+    Rows are matched by id and text hash, so that an id that two texts share drops neither by
+    the other's verdict; of repeated rows one stays.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    found = near_duplicates(docs.select("doc_id", "text", text.alias("_text")), size, ["_text"])
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "_text").distinct()
+    return docs.withColumn("_text", text).join(stay, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def op9_golay_dedup(spark, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnforge.llm.common import cut, small_batches, table
 
@@ -154,28 +155,60 @@ def score_forest(forest: dict, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(forest["roots"]) / max(forest["norm"], 1e-9))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, BASE, base_failed, anomaly (null without labels), kept."""
-    spark = docs.sparkSession
-    stats = cut(document_statistics(docs))
+def fit_quality(stats: DataFrame, labels: DataFrame) -> tuple[dict, float] | None:
+    """Forest and limit from the statistics of all documents and the labels; None without good rows."""
+    spark = stats.sparkSession
     good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = stats.join(good.where("quality = 1"), "doc_id", "left_semi").where(~base_failed())
     rows = sample.orderBy(F.xxhash64("doc_id"), *BASE).limit(SAMPLE).select(*BASE, *MORE).collect()
     if len(rows) < 2:
-        return stats.select("doc_id", *BASE, base_failed().alias("base_failed"), F.lit(None).cast("double").alias("anomaly"), (~base_failed()).alias("kept"))
-    shared = spark.sparkContext.broadcast(fit_forest(features(np.array(rows))))
+        return None
+    forest = fit_forest(features(np.array(rows)))
+    scored = with_anomaly(stats.where(~base_failed()).join(good, "doc_id"), forest)
+    bins = scored.groupBy(F.floor(F.col("anomaly") * BINS).alias("bin"), (F.col("quality") == 1).alias("good")).count().collect()
+    return forest, calibrate([(r["bin"], r["good"], r["count"]) for r in bins])
+
+
+def with_anomaly(stats: DataFrame, forest: dict) -> DataFrame:
+    shared = stats.sparkSession.sparkContext.broadcast(forest)
     names = stats.columns
+    at = [names.index(c) for c in BASE + MORE]
 
     def run(batches):
         for b in batches:
-            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(1, len(names))])
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in at])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_forest(shared.value, features(x)), pa.float64())], [*names, "anomaly"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema)
-    scored = cut(stats.mapInArrow(run, f"{kinds}, anomaly double"))
-    bins = scored.where(~base_failed()).join(good, "doc_id").groupBy(F.floor(F.col("anomaly") * BINS).alias("bin"), (F.col("quality") == 1).alias("good")).count().collect()
-    limit = calibrate([(r["bin"], r["good"], r["count"]) for r in bins])
-    return scored.select("doc_id", *BASE, base_failed().alias("base_failed"), "anomaly", (~base_failed() & (F.col("anomaly") < limit)).alias("kept"))
+    return stats.mapInArrow(run, T.StructType([*stats.schema.fields, T.StructField("anomaly", T.DoubleType())]))
+
+
+def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, BASE, base_failed, anomaly (null without labels), kept."""
+    stats = cut(document_statistics(docs))
+    fitted = fit_quality(stats, labels)
+    if fitted is None:
+        return stats.select("doc_id", *BASE, base_failed().alias("base_failed"), F.lit(None).cast("double").alias("anomaly"), (~base_failed()).alias("kept"))
+    forest, limit = fitted
+    return with_anomaly(stats, forest).select("doc_id", *BASE, base_failed().alias("base_failed"), "anomaly", (~base_failed() & (F.col("anomaly") < limit)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that neither a base rule nor the forest rejects, with all columns. The verdict is
+    made where the text is, so that no text is shuffled."""
+    fitted = fit_quality(cut(document_statistics(docs)), labels)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            x = np.array([statistics(t.as_py()) for t in b.column(at)], dtype=np.int64).reshape(-1, len(BASE) + len(MORE))
+            good = (x[:, 0] >= 50) & (100 * x[:, 4] <= 50 * x[:, 0])
+            if shared.value is not None:
+                forest, limit = shared.value
+                good &= score_forest(forest, features(x)) < limit
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def calibrate(bins: list[tuple[int, bool, int]]) -> float:

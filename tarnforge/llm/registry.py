@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarnforge.llm import bpe_fold, chat_format, fm_decontam, golay_dedup, hilbert_shards, quality_forest, token_counts, url_rules, weak_toxicity
+from tarnforge.llm import bpe_fold, chat_format, fm_decontam, golay_dedup, hilbert_shards, language_id, quality_forest, token_counts, url_rules, weak_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_hilbert_shards": hilbert_shards.op2_hilbert_shards,
         "op3_url_rules": url_rules.op3_url_rules,
         "op4_quality_forest": quality_forest.op4_quality_forest,

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnforge.llm.common import id_crc, small_batches, table
 
@@ -205,12 +206,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, trained: Column) -> list
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(tokens(x.as_py())) for x in b.column(0)], pa.list_(pa.string())), b.column(1)], ["words", "toxic"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "words array<string>, toxic int").limit(4 * MOST).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "words array<string>, toxic int").limit(4 * MOST).collect()
     return [(set(r.words), r.toxic, 1 / share[r.toxic]) for r in rows]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, trained: Column | None = None) -> DataFrame:
-    """``(doc_id, text)`` to doc_id, score. ``trained``: the label rows that may be learnt from."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, trained: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (doc_id, if not given) and score. ``trained``: the label rows that may be learnt from."""
     spark = docs.sparkSession
     small_batches(spark)
     model = train(training_sample(docs, labels, F.lit(True) if trained is None else trained))
@@ -220,16 +221,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trained: Column | None =
         m = shared.value
         by = by_length(m) if m else None
         for b in batches:
-            s = [score(m, tokens(x.as_py()), by) if m else 0.0 for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            s = [score(m, tokens(x.as_py()), by) if m else 0.0 for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*keep, "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    keep = keep or ["doc_id"]
+    rows = docs.select(F.col("text").alias("_text"), *keep)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType())]))
 
 
 LIMIT = 0.7
 
 
+def held_fold() -> Column:
+    """Labels of remainder 1 are held out of training."""
+    return F.pmod(id_crc(F.col("doc_id")), F.lit(3))
+
+
 def op6_weak_toxicity(spark, sf_dir: str) -> DataFrame:
-    fold = F.pmod(id_crc(F.col("doc_id")), F.lit(3))
+    fold = held_fold()
     out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 1)
     return out.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
