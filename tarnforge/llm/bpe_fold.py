@@ -24,7 +24,6 @@ gives no rows; other columns stay where the caller keeps them.
 from __future__ import annotations
 
 import base64
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tarnforge.llm.common import cut, small_batches, table
 
-FREQUENT, LONGEST, CACHE = 1 << 18, 48, 1 << 18
+FREQUENT, LONGEST, CACHE = 1 << 17, 48, 1 << 17
 NONE = 2**31 - 1
 #: What the tokenizer's ``\s`` means, for Java's patterns, where it is ASCII only.
 SPACE = r"\t-\r \x85\xA0  -     　"
@@ -159,7 +158,7 @@ class Bpe:
 
     def decode(self, ids: Column) -> Column:
         """Binary of an array of ids: the binary pieces, concatenated."""
-        joined = let(self.pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.element_at(p, i + 1)), ""))
+        joined = let(self.pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""))
         return F.encode(joined, "ISO-8859-1")
 
 
@@ -180,11 +179,12 @@ def most_frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.where(F.col("n") >= bound) if bound is not None else counted.limit(0)
 
 
-def encoded_words(docs: DataFrame, bpe: Bpe, pattern: str) -> dict[str, tuple]:
-    """Ids of the most frequent pre-tokens, folded by Spark; of bounded number and length."""
+def encoded_words(docs: DataFrame, bpe: Bpe, pattern: str) -> dict[str, bytes]:
+    """Ids of the most frequent pre-tokens, folded by Spark; of bounded number and length. The ids
+    of a word are held as the bytes of 32-bit numbers."""
     counted = cut(count_words(docs, pattern).where(F.octet_length("w") <= LONGEST))
     folded = most_frequent(counted, FREQUENT).select("w", let(bpe.tables, lambda t: bpe.encode_word(t, F.col("w"))).alias("ids")).toArrow()
-    return {w: tuple(map(int, ids.split(","))) for w, ids in zip(folded.column(0).to_pylist(), folded.column(1).to_pylist())}
+    return {w: np.array(ids.split(","), dtype=np.int32).tobytes() for w, ids in zip(folded.column(0).to_pylist(), folded.column(1).to_pylist())}
 
 
 _loaded: dict = {}
@@ -225,11 +225,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, bpe: Bpe | None =
                             if g is None:
                                 if len(cache) >= CACHE:
                                     cache.clear()
-                                g = tuple(encoder.encode_ordinary(w))
+                                g = np.array(encoder.encode_ordinary(w), dtype=np.int32).tobytes()
                                 if len(w) <= LONGEST:
                                     cache[w] = g
                             got[i] = g
-                flat.append(np.fromiter(chain.from_iterable(got), dtype=np.int32))
+                flat.append(np.frombuffer(b"".join(got), dtype=np.int32))
                 sizes.append(sizes[-1] + len(flat[-1]))
             ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([ids if i == at else b.column(i) for i in range(b.num_columns)], names)
