@@ -49,29 +49,39 @@ def features_of(words: set[str]) -> set[tuple]:
     return out
 
 
-def distinct_texts(sample: list[tuple[set, int, float]]) -> list[tuple[set, int, float]]:
+def distinct_texts(sample: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
     """One of each group of copies, near ones included: those that share their least long word by
     hash. Else the words of a text copied many times would look typical of its class."""
     seen, out = set(), []
     for words, y, weight in sample:
-        key = y, min((zlib.crc32(w.encode()) for w in words if len(w) >= 8), default=frozenset(words))
+        key = y, min((zlib.crc32(w.encode()) for w in words.split() if len(w) >= 8), default=words)
         if key not in seen:
             seen.add(key)
             out.append((words, y, weight))
     return out
 
 
-def induce(sample: list[tuple[set, int]]) -> tuple[list[tuple], list[tuple], list[float]]:
+def induce(sample: list[tuple[str, int]]) -> tuple[list[tuple], list[tuple], list[float]]:
     """Features typical of toxic texts, the voters among them and how often these are right on the
-    sample. ``sample``: features, label."""
+    sample. ``sample``: words, label. Clean texts are only asked for the features that enough
+    toxic ones have, so that few features are held at a time."""
     n1, n0 = sum(y for _, y in sample), sum(1 - y for _, y in sample)
     in1, in0 = Counter(), Counter()
-    for f, y in sample:
-        (in1 if y else in0).update(f)
+    for words, y in sample:
+        if y:
+            in1.update(features_of(set(words.split())))
     need = max(4, n1 // 100)
-    good = [f for f, c in in1.items() if c >= need and c / n1 > 8 / n0 and c / n1 > 1000 * in0[f] / n0]
-    texts = [f for f, y in sample if y]
-    holds = {f: frozenset(i for i, t in enumerate(texts) if f in t) for f in good}
+    asked = {f for f, c in in1.items() if c >= need and c / n1 > 8 / n0}
+    in1 = Counter({f: in1[f] for f in asked})
+    texts = []
+    for words, y in sample:
+        found = features_of(set(words.split())) & asked
+        if y:
+            texts.append(found)
+        else:
+            in0.update(found)
+    good = [f for f in asked if in1[f] / n1 > 1000 * in0[f] / n0]
+    holds = {f: [i for i, t in enumerate(texts) if f in t] for f in good}
     # Of a beginning and its extension that occurs nearly as often, the extension is the feature.
     best: Counter = Counter()
     for f in good:
@@ -80,7 +90,7 @@ def induce(sample: list[tuple[set, int]]) -> tuple[list[tuple], list[tuple], lis
                 best[n, f[1][:n]] = max(best[n, f[1][:n]], in1[f])
     good = [f for f in good if f[0] == 0 or best[f] < 0.95 * in1[f]]
     features = sorted(good, key=lambda f: (-in1[f], f))[:FEATURES]
-    short, voters, left = np.full(n1, COVER), [], {f: np.array(sorted(holds[f])) for f in features}
+    short, voters, left = np.full(n1, COVER), [], {f: np.array(holds[f]) for f in features}
     while left and len(voters) < VOTERS:
         gain, best = max((int((short[at] > 0).sum()), f) for f, at in left.items())
         if gain == 0:
@@ -146,19 +156,18 @@ def fit_linear(x: np.ndarray, q: np.ndarray, weight: np.ndarray, steps: int = 15
     return coef[:-1], float(coef[-1])
 
 
-def train(sample: list[tuple[set, int, float]]) -> dict | None:
-    """``sample``: words, label, weight."""
+def train(sample: list[tuple[str, int, float]]) -> dict | None:
+    """``sample``: distinct words joined by blanks, label, weight."""
     sample = distinct_texts(sample)
-    rows = [(features_of(words), y) for words, y, _ in sample]
-    if len({y for _, y in rows}) < 2:
+    if len({y for _, y, _ in sample}) < 2:
         return None
-    features, voters, precision = induce(rows)
+    features, voters, precision = induce([(words, y) for words, y, _ in sample])
     if not voters:
         return None
     place = {f: i for i, f in enumerate(features)}
-    x = np.zeros((len(rows), len(features)), dtype=np.float32)
-    for i, (f, _) in enumerate(rows):
-        for k in f & place.keys():
+    x = np.zeros((len(sample), len(features)), dtype=np.float32)
+    for i, (words, _, _) in enumerate(sample):
+        for k in features_of(set(words.split())) & place.keys():
             x[i, place[k]] = 1
     weight = np.array([w for _, _, w in sample])
     speaks = x[:, [place[v] for v in voters]]
@@ -192,7 +201,7 @@ def by_length(model: dict) -> dict[int, dict[str, float]]:
     return {n: {f[1]: c for f, c in model["coef"].items() if f[0] == n} for n in (0, *STEMS)}
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, trained: Column) -> list[tuple[set, int, float]]:
+def training_sample(docs: DataFrame, labels: DataFrame, trained: Column) -> list[tuple[str, int, float]]:
     """Words, label and weight of at most about ``MOST`` rows of each class, chosen by a hash of the id."""
     y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(trained).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in y.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
@@ -204,10 +213,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, trained: Column) -> list
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(tokens(x.as_py())) for x in b.column(0)], pa.list_(pa.string())), b.column(1)], ["words", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(tokens(x.as_py()))) for x in b.column(0)], pa.string()), b.column(1)], ["words", "toxic"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "words array<string>, toxic int").limit(4 * MOST).collect()
-    return [(set(r.words), r.toxic, 1 / share[r.toxic]) for r in rows]
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "words string, toxic int").limit(4 * MOST).collect()
+    return [(r.words, r.toxic, 1 / share[r.toxic]) for r in rows]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, trained: Column | None = None, keep: list[str] | None = None) -> DataFrame:
