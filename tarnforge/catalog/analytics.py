@@ -267,16 +267,16 @@ _ROLL = f"""WITH {DAILY}, r AS (SELECT user_id, d, avg(value) OVER c AS m, count
 WINDOW c AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW), p AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN 13 PRECEDING AND 7 PRECEDING))"""
 
 
-@query("w1_rolling_windows", _ROLL + " SELECT user_id, d, round(m, 4) AS mean_7d, k AS count_7d, round(pm, 4) AS prev_mean_7d, pk AS prev_count_7d FROM r")
+@query("w1_rolling_windows", _ROLL + " SELECT user_id, d, round(m + 1e-7, 4) AS mean_7d, k AS count_7d, round(pm + 1e-7, 4) AS prev_mean_7d, pk AS prev_count_7d FROM r")
 def w1(spark, d):
     r = windows.rolling(daily(spark, d), "user_id", "day", ["value"], (7,))
-    return r.select("user_id", "d", F.round("value_MEAN_7D", 4).alias("mean_7d"), F.col("value_COUNT_7D").alias("count_7d"), F.round("value_PREV_MEAN_7D", 4).alias("prev_mean_7d"), F.col("value_PREV_COUNT_7D").alias("prev_count_7d"))
+    return r.select("user_id", "d", F.round(F.col("value_MEAN_7D") + 1e-7, 4).alias("mean_7d"), F.col("value_COUNT_7D").alias("count_7d"), F.round(F.col("value_PREV_MEAN_7D") + 1e-7, 4).alias("prev_mean_7d"), F.col("value_PREV_COUNT_7D").alias("prev_count_7d"))
 
 
-@query("w3_mean_shift", _ROLL + " SELECT user_id, d, (k > 0)::INT AS valid, round(CASE WHEN k > 0 AND pk > 0 THEN m - pm END, 4) AS shift, (k > 0 AND pk > 0)::INT AS shift_valid FROM r")
+@query("w3_mean_shift", _ROLL + " SELECT user_id, d, (k > 0)::INT AS valid, round(CASE WHEN k > 0 AND pk > 0 THEN m - pm END + 1e-7, 4) AS shift, (k > 0 AND pk > 0)::INT AS shift_valid FROM r")
 def w3(spark, d):
     r = windows.with_shifts(windows.rolling(daily(spark, d), "user_id", "day", ["value"], (7,)), ["value"], (7,))
-    return r.select("user_id", "d", F.col("value_MEAN_VALID_7D").alias("valid"), F.round("value_MEAN_SHIFT_7D", 4).alias("shift"), F.col("value_MEAN_SHIFT_VALID_7D").alias("shift_valid"))
+    return r.select("user_id", "d", F.col("value_MEAN_VALID_7D").alias("valid"), F.round(F.col("value_MEAN_SHIFT_7D") + 1e-7, 4).alias("shift"), F.col("value_MEAN_SHIFT_VALID_7D").alias("shift_valid"))
 
 
 @query("w5_top_k", "SELECT c_nationkey, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 3")
@@ -395,8 +395,8 @@ def d10(spark, d):
 
 @query("d11_preprocess", f"""WITH {SPARSE}, v AS (SELECT l_orderkey, l_linenumber, sign(l_quantity) * ln(1 + abs(l_quantity)) AS q, sign(l_tax) * ln(1 + abs(l_tax)) AS t FROM sparse),
 m AS (SELECT median(q) AS mq, median(t) AS mt, 1 - count(q)::DOUBLE / count(*) AS zq, 1 - count(t)::DOUBLE / count(*) AS zt FROM v), f AS (SELECT l_orderkey, l_linenumber, q, t, coalesce(q, mq) AS fq, coalesce(t, mt) AS ft FROM v, m),
-s AS (SELECT avg(fq) AS aq, stddev_pop(fq) AS sq, avg(ft) AS at, stddev_pop(ft) AS st FROM f)
-SELECT l_orderkey, l_linenumber, round((fq - aq) / sq, 5) AS l_quantity, round((ft - at) / st, 5) AS l_tax, round(((q IS NULL)::INT - zq) / sqrt(zq * (1 - zq)), 5) AS l_quantity_missing, round(((t IS NULL)::INT - zt) / sqrt(zt * (1 - zt)), 5) AS l_tax_missing FROM f, m, s""")
+s AS (SELECT avg(fq) AS aq, stddev_pop(fq) AS sq, avg(ft) AS a_t, stddev_pop(ft) AS s_t FROM f)
+SELECT l_orderkey, l_linenumber, round((fq - aq) / sq, 5) AS l_quantity, round((ft - a_t) / s_t, 5) AS l_tax, round(((q IS NULL)::INT - zq) / sqrt(zq * (1 - zq)), 5) AS l_quantity_missing, round(((t IS NULL)::INT - zt) / sqrt(zt * (1 - zt)), 5) AS l_tax_missing FROM f, m, s""")
 def d11(spark, d):
     s = sparse_lines(spark, d)
     out = preprocess.Preprocessor().fit(s, ["l_quantity", "l_tax"]).transform(s, ["l_orderkey", "l_linenumber"])

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnforge.catalog.base import query, read
+from tarnforge.functions.keys import hash_bucket
 from tarnforge.operators import metrics, models
 
 
 def _rows(spark, d):
-    l = read(spark, d, "lineitem")
-    return l.select(F.to_date("l_shipdate").alias("day"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("y"))
+    """Labelled documents with a few counts."""
+    count = lambda p, n: F.regexp_count("text", F.lit(p)).cast("double").alias(n)
+    docs = read(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), count("[A-Z]", "n_upper"), count("[#*$%&|<>!]", "n_marks"), count("\\n", "n_breaks"))
+    y = read(spark, d, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").alias("y"))
+    return docs.join(y, "doc_id").withColumn("bucket", hash_bucket(F.col("doc_id"), 4))
 
 
-@query("ml1_prior", "SELECT round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS score FROM lineitem")
+@query("ml1_prior", "SELECT round(avg(quality), 6) AS score FROM labels JOIN documents USING (doc_id)")
 def ml1(spark, d):
     r = _rows(spark, d)
     return models.Prior().fit(r, [], "y").score(r).select(F.round("score", 6).alias("score")).distinct()
@@ -22,9 +26,8 @@ def ml1(spark, d):
 def _family(name, **options):
     def run(spark, d):
         r = _rows(spark, d)
-        train, test = r.where("day < DATE '1999-01-01'"), r.where("day >= DATE '1999-02-01'")
-        model = models.FAMILIES[name](**options).fit(train, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "y")
-        return metrics.roc_auc(model.score(test), "score", "y")
+        model = models.FAMILIES[name](**options).fit(r.where("bucket > 0"), ["n_chars", "n_upper", "n_marks", "n_breaks"], "y")
+        return metrics.roc_auc(model.score(r.where("bucket = 0")), "score", "y")
 
     return run
 

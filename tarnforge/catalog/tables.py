@@ -248,7 +248,7 @@ def j18(spark, d):
 @query("j19_as_of", """WITH p AS (SELECT user_id, epoch_us(ts) AS at, max(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
 SELECT e.event_id, p.v AS last_purchase FROM (SELECT event_id, user_id, epoch_us(ts) AS at FROM events WHERE event_type = 'click') e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.at >= p.at""")
 def j19(spark, d):
-    e = read(spark, d, "events").withColumn("at", F.unix_micros("ts"))
+    e = read(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     p = e.where("event_type = 'purchase'").groupBy("user_id", "at").agg(F.max("value").alias("v"))
     return joins.as_of(e.where("event_type = 'click'").select("event_id", "user_id", "at"), p, "user_id", "at", "v", "last_purchase").select("event_id", "last_purchase")
 

@@ -55,6 +55,7 @@ def st_latest(spark, d):
     """The events as a stream, each delivered twice, de-duplicated within the watermark."""
     source = read(spark, d, "events")
     live = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
+    live = live.withColumn("ts", F.col("ts").cast("timestamp"))
     twice = live.unionByName(live)
     folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tarnforge').rstrip('/')}/stream-{uuid.uuid4().hex}"
     out = stream.latest_once(twice, ["event_id"], "ts", "30 days")
