@@ -18,8 +18,8 @@ from tarnforge.llm.common import ensure_checkpoint_dir, table
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the limit stay."""
-    scored = weak_toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), weak_toxicity.held_fold() != 1, docs.columns)
-    return scored.where(F.col("score") < weak_toxicity.LIMIT).select(*docs.columns)
+    scored = weak_toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), weak_toxicity.held_fold() != 1, docs.columns, "_toxicity")
+    return scored.where(F.col("_toxicity") < weak_toxicity.LIMIT).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

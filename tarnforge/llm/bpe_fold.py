@@ -18,7 +18,7 @@ takes them from and to binary.
 
 Defined cases: a null text is empty and has no ids; whole texts are encoded whatever their
 length; special strings are ordinary text; repeated rows stay repeated; an empty table
-gives no rows; other columns stay where the caller keeps them.
+gives no rows; other columns stay, but for an earlier ``ids``, which is replaced.
 """
 
 from __future__ import annotations
@@ -205,6 +205,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, bpe: Bpe | None =
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    docs = docs.drop("ids")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(encoded_words(docs, bpe or Bpe(read_ranks(path)), pattern))
     at = docs.columns.index("text")

@@ -125,45 +125,47 @@ def item_blocks(benchmark: DataFrame) -> list[list[tuple]]:
     return [[(r.item_id, r.text) for r in benchmark.where(part == k).select("item_id", "text").collect()] for k in range(n)]
 
 
-def _shards(batches, text: int = 1):
-    """Rows in runs of about SHARD_BYTES of text."""
-    rows, size = [], 0
+def _shards(batches, text: int):
+    """Arrow batches in runs of about SHARD_BYTES of text, with the texts."""
+    run, texts, size = [], [], 0
     for b in batches:
-        for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-            rows.append(r)
-            size += len(r[text] or "")
-            if size >= SHARD_BYTES:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows
+        run.append(b)
+        texts.extend(b.column(text).to_pylist())
+        size += b.column(text).nbytes
+        if size >= SHARD_BYTES:
+            yield run, texts
+            run, texts, size = [], [], 0
+    if run:
+        yield run, texts
+
+
+def _with_columns(run, new: dict, kinds: dict, names: list[str]):
+    """The batches of a shard with some columns replaced by slices of ``new``."""
+    done = 0
+    for b in run:
+        n = b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(new[c][done : done + n], kinds[c]) if c in new else b.column(i) for i, c in enumerate(names)], names)
+        done += n
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, text)`` to doc_id, n_words, hits (places of hit words), items, text."""
+    """``(doc_id, text)`` to doc_id, text, n_words, hits (places of hit words), items."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    kind = docs.schema["doc_id"].dataType
-    out = T.StructType([
-        T.StructField("doc_id", kind), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
-        T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())),
-    ])
+    kinds = {"n_words": pa.int64(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
     df = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    names = df.columns
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
     for block in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(Phrases(block, window))
 
         def run(batches, shared=shared):
-            for rows in _shards(batches):
-                counts, hits, items = search_shard([r[1] for r in rows], shared.value)
-                merged = [sorted({*(r[3] or ()), *h}) for r, h in zip(rows, hits)]
-                named = [sorted({*(r[4] or ()), *i}) for r, i in zip(rows, items)]
-                for a in range(0, len(rows), 256):
-                    cols = [[r[0] for r in rows[a : a + 256]], [r[1] for r in rows[a : a + 256]], counts[a : a + 256], merged[a : a + 256], named[a : a + 256]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+            for shard, texts in _shards(batches, 1):
+                counts, hits, items = search_shard(texts, shared.value)
+                old = [x for b in shard for x in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+                new = {"n_words": counts, "hits": [sorted({*(o[0] or ()), *h}) for o, h in zip(old, hits)], "items": [sorted({*(o[1] or ()), *i}) for o, i in zip(old, items)]}
+                yield from _with_columns(shard, new, kinds, names)
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        names, types = out.names, [to_arrow_type(f.dataType) for f in out.fields]
         df = df.mapInArrow(run, out)
     return df
 
@@ -173,28 +175,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     present, follows the new text. Where a cut joins words to a new phrase, it is cut in turn."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    at = docs.columns.index("text")
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    names, types = docs.columns, [to_arrow_type(f.dataType) for f in docs.schema.fields]
+    names, at = docs.columns, docs.columns.index("text")
+    before = docs.schema
     for block in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(Phrases(block, window))
 
         def run(batches, shared=shared):
-            for rows in _shards(batches, at):
-                rows = [list(r) for r in rows]
-                todo = list(range(len(rows)))
+            for shard, texts in _shards(batches, at):
+                todo = list(range(len(texts)))
                 while todo:
-                    _, hits, _ = search_shard([rows[i][at] for i in todo], shared.value)
+                    _, hits, _ = search_shard([texts[i] for i in todo], shared.value)
                     todo, found = [i for i, h in zip(todo, hits) if h], [h for h in hits if h]
                     for i, h in zip(todo, found):
-                        rows[i][at] = remove_spans(rows[i][at], removal_spans(rows[i][at], h))
-                for a in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 256]), types)], names)
+                        texts[i] = remove_spans(texts[i], removal_spans(texts[i], h))
+                yield from _with_columns(shard, {"text": texts}, {"text": pa.string()}, names)
 
-        docs = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        docs = docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        docs = docs.mapInArrow(run, before)
+    if "n_chars" in names:
+        docs = docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(before["n_chars"].dataType)))
     return docs
 
 

@@ -9,10 +9,11 @@ distance 4; two words one bit apart then always share a key, since a word's near
 is at most 3 away. Keys have 3 + 16 + 12 bits, so few fingerprints share one by
 chance. Every candidate is verified by its bits.
 
-Equal fingerprints are one node. Nodes that share a key can be many, for a hot group of near
-copies; so the pairs are not all needed: a node joins others by the key table, verified
-inside the join, and links are contracted to stars in rounds (each neighbourhood to its
-minimum), with every round checkpointed.
+Equal fingerprints are one node, however many documents have them, and a node has at most 43,744
+others within three bits; so the links of a group of copies grow with its different
+fingerprints, never with the square of its size. Candidates are verified inside the join, and
+links are contracted to stars in rounds (each neighbourhood to its minimum), with every round
+checkpointed.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a text
 of one or two words has one shingle, the whole sequence; repeated rows and ids stay
@@ -129,26 +130,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, ``carry``, fp, component_id: the smallest doc_id reachable over links."""
+    """doc_id, ``carry``, fp, root (the component's smallest fingerprint), component_id: the smallest
+    doc_id reachable over links."""
     marked = cut(fingerprints(docs, size, carry))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(least, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", *(carry or []), "fp", "component_id")
+    named = cut(rooted.join(least, "root").select("fp", "root", "component_id"))
+    return marked.join(named, "fp").select("doc_id", *(carry or []), "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One document of each component stays: the one of the smallest doc_id, with all columns.
 
-    Rows are matched by id and text hash, so that an id that two texts share drops neither by
-    the other's verdict; of repeated rows one stays.
+    The one that stays is matched by id and text hash, so that an id that two texts share keeps
+    or drops neither by the other's verdict; of repeated rows one stays; a null id is the largest.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
     found = near_duplicates(docs.select("doc_id", "text", text.alias("_text")), size, ["_text"])
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "_text").distinct()
-    return docs.withColumn("_text", text).join(stay, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text"))
+    stay = found.groupBy("root").agg(first.alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s._text").alias("_t")).distinct()
+    rows = docs.withColumn("_text", text)
+    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_text"] == stay["_t"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def op9_golay_dedup(spark, sf_dir: str) -> DataFrame:

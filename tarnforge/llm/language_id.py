@@ -7,7 +7,7 @@ labelled training documents. The regression is fitted on a bounded sample of the
 elastic-net penalty, whose L1 part keeps the weights sparse. A part of the sample that is
 not fitted calibrates one temperature. Every whole text is then scored.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0, as are all texts when
+Defined cases: a null id is never held out nor learnt from; a text that is null or has no letter is ``und`` with score 0, as are all texts when
 no training row has a language; a single language is predicted with score 1; ties go to
 the first language in sorted order; repeated rows stay repeated; other columns are ignored.
 """
@@ -151,14 +151,14 @@ def training_sample(docs: DataFrame, lang: str) -> list[tuple[np.ndarray, np.nda
     if not sizes:
         return []
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, int(min(1.0, PER_LANGUAGE / n) * 1e6))])
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share[F.col(lang)]).limit(2 * PER_LANGUAGE * len(sizes))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share[F.col(lang)])
 
     def run(batches):
         for b in batches:
             grams = [gram_counts(x.as_py()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([a.astype("<u2" if BITS <= 16 else "<u4").tobytes() for a, _ in grams], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in grams], pa.binary())], ["lang", "at", "count"])
 
-    found = chosen.select("text", F.col(lang).alias("lang")).mapInArrow(run, "lang string, at binary, count binary").collect()
+    found = chosen.select("text", F.col(lang).alias("lang")).mapInArrow(run, "lang string, at binary, count binary").limit(2 * PER_LANGUAGE * len(sizes)).collect()
     return [(np.frombuffer(r["at"], "<u2" if BITS <= 16 else "<u4").astype(np.int64), np.frombuffer(r["count"], "<u4").astype(float), r["lang"]) for r in found]
 
 
@@ -193,4 +193,4 @@ def identify(docs: DataFrame, trained: Column, lang: str = "lang") -> DataFrame:
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     fold = F.pmod(id_crc(F.col("doc_id")), F.lit(4))
     out = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), fold != 2)
-    return out.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

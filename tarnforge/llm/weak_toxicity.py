@@ -12,7 +12,7 @@ linear classifier trained on its posterior labels.
    and a vote counts by 1 / (1 + its correlations with the other votes on the row).
 3. A logistic regression over all features is fitted to the posteriors and scores every text.
 
-Defined cases: a null, empty or wordless text is scored by the prior alone; of several labels
+Defined cases: a null id is never held out; a null, empty or wordless text is scored by the prior alone; of several labels
 of a document the largest counts; null labels are none; without labels of both
 classes every score is 0; repeated rows stay repeated; other columns are ignored.
 """
@@ -219,8 +219,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, trained: Column) -> list
     return [(r.words, r.toxic, 1 / share[r.toxic]) for r in rows]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, trained: Column | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (doc_id, if not given) and score. ``trained``: the label rows that may be learnt from."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, trained: Column | None = None, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` (doc_id, if not given) and the score under ``name``. ``trained``: the label rows that may be learnt from."""
     spark = docs.sparkSession
     small_batches(spark)
     model = train(training_sample(docs, labels, F.lit(True) if trained is None else trained))
@@ -231,11 +231,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trained: Column | None =
         by = by_length(m) if m else None
         for b in batches:
             s = [score(m, tokens(x.as_py()), by) if m else 0.0 for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*keep, name])
 
     keep = keep or ["doc_id"]
     rows = docs.select(F.col("text").alias("_text"), *keep)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField(name, T.DoubleType())]))
 
 
 LIMIT = 0.7
@@ -249,4 +249,4 @@ def held_fold() -> Column:
 def op6_weak_toxicity(spark, sf_dir: str) -> DataFrame:
     fold = held_fold()
     out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 1)
-    return out.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
