@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tarnforge.functions.scalar import percent, ratio
 
-TOTAL = Window.partitionBy()
+
+def _total():
+    """All rows as one window part; over aggregated rows only."""
+    return Window.partitionBy()
 
 
 def _unpivot(df: DataFrame, ids: list[str], groups: dict[str, dict[str, str]], label: str) -> DataFrame:
@@ -57,7 +60,7 @@ def null_patterns(df: DataFrame, cols: list[str], limit: int | None = None) -> D
     g = df.groupBy(pattern(cols).alias("pattern_json")).agg(F.count("*").alias("row_count"))
     out = g.select(
         F.sha2("pattern_json", 256).alias("pattern_id"), "pattern_json", F.size(F.from_json("pattern_json", "array<string>")).alias("null_columns"), "row_count",
-        percent(F.col("row_count"), F.sum("row_count").over(TOTAL)).alias("row_pct"), F.count("*").over(TOTAL).alias("observed_patterns"),
+        percent(F.col("row_count"), F.sum("row_count").over(_total())).alias("row_pct"), F.count("*").over(_total()).alias("observed_patterns"),
         F.row_number().over(Window.orderBy(F.desc("row_count"), "pattern_json")).alias("pattern_rank"),
     )
     return out if limit is None else out.where(F.col("pattern_rank") <= limit)
@@ -66,7 +69,7 @@ def null_patterns(df: DataFrame, cols: list[str], limit: int | None = None) -> D
 def null_count_distribution(df: DataFrame, cols: list[str]) -> DataFrame:
     """By number of null columns: patterns, rows, share."""
     p = null_patterns(df, cols)
-    return p.groupBy("null_columns").agg(F.count("*").alias("patterns"), F.sum("row_count").alias("row_count")).withColumn("row_pct", percent(F.col("row_count"), F.sum("row_count").over(TOTAL)))
+    return p.groupBy("null_columns").agg(F.count("*").alias("patterns"), F.sum("row_count").alias("row_count")).withColumn("row_pct", percent(F.col("row_count"), F.sum("row_count").over(_total())))
 
 
 def patterns_by_group(df: DataFrame, group: str, cols: list[str], top: int | None = None) -> DataFrame:
@@ -142,7 +145,7 @@ def pair_interaction(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def distribution(df: DataFrame, by: list[str], top: int | None = None) -> DataFrame:
     """Counts and share of all rows; also two-way. ``top`` is applied after the share."""
-    g = df.groupBy(*by).agg(F.count("*").alias("row_count")).withColumn("row_pct", percent(F.col("row_count"), F.sum("row_count").over(TOTAL)))
+    g = df.groupBy(*by).agg(F.count("*").alias("row_count")).withColumn("row_pct", percent(F.col("row_count"), F.sum("row_count").over(_total())))
     return g if top is None else g.orderBy(F.desc("row_count"), *by).limit(top)
 
 
@@ -271,8 +274,8 @@ def quantile_lift(df: DataFrame, col: str, target: str, bins: int = 10) -> DataF
 def value_lift(df: DataFrame, col: str, target: str) -> DataFrame:
     """Prevalence, row share and lift by value."""
     g = df.groupBy(col).agg(F.count("*").alias("row_count"), F.avg(F.col(target).cast("double")).alias("p"))
-    base = F.sum(F.col("p") * F.col("row_count")).over(TOTAL) / F.sum("row_count").over(TOTAL)
-    return g.select(col, "row_count", F.round("p", 6).alias("prevalence"), percent(F.col("row_count"), F.sum("row_count").over(TOTAL)).alias("row_pct"), F.round(ratio(F.col("p"), base), 4).alias("lift"))
+    base = F.sum(F.col("p") * F.col("row_count")).over(_total()) / F.sum("row_count").over(_total())
+    return g.select(col, "row_count", F.round("p", 6).alias("prevalence"), percent(F.col("row_count"), F.sum("row_count").over(_total())).alias("row_pct"), F.round(ratio(F.col("p"), base), 4).alias("lift"))
 
 
 def crosstab(df: DataFrame, rows: str, cols: str, values: list) -> DataFrame:
@@ -284,7 +287,7 @@ def risk_by_pattern(df: DataFrame, pattern_col: Column, failed: Column, complete
     """Failure rate by null pattern against the baseline in percentage points, only over rows whose
     follow-up is complete."""
     g = df.where(complete).groupBy(pattern_col.alias("pattern")).agg(F.count("*").alias("row_count"), F.count_if(failed).alias("failures"))
-    base = 100.0 * F.sum("failures").over(TOTAL) / F.sum("row_count").over(TOTAL)
+    base = 100.0 * F.sum("failures").over(_total()) / F.sum("row_count").over(_total())
     return g.withColumn("failure_pct", percent(F.col("failures"), F.col("row_count"))).withColumn("difference_pp", F.round(100.0 * F.col("failures") / F.col("row_count") - base, 4))
 
 
