@@ -234,6 +234,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, bpe: Bpe | None =
                 sizes.append(sizes[-1] + len(flat[-1]))
             ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([ids if i == at else b.column(i) for i in range(b.num_columns)], names)
+        cache.clear()  # an idle worker holds no words
 
     names = ["ids" if c == "text" else c for c in docs.columns]
     kinds = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType()) if i == at else f.dataType) for i, (n, f) in enumerate(zip(names, docs.schema.fields))])

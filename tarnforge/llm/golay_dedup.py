@@ -148,12 +148,12 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     or drops neither by the other's verdict; of repeated rows one stays; a null id is the largest.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    found = near_duplicates(docs.select("doc_id", "text", text.alias("_text")), size, ["_text"])
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text"))
-    stay = found.groupBy("root").agg(first.alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s._text").alias("_t")).distinct()
-    rows = docs.withColumn("_text", text)
-    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_text"] == stay["_t"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))  # never null: joins and grouping share one exchange
+    found = near_duplicates(docs.select("doc_id", "text", text.alias("_text"), key.alias("_key")), size, ["_text", "_key"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key", "_text"))
+    stay = found.groupBy("root").agg(first.alias("s")).select(F.col("s._key").alias("_key"), F.col("s._text").alias("_text"))
+    rows = docs.withColumns({"_text": text, "_key": key})
+    return rows.join(stay, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).drop("_key", "_text")
 
 
 def op9_golay_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": url_rules.OP3_SQL, "op7_chat_format": chat_format.OP7_SQL}
+    return {
+        "op2_hilbert_shards": hilbert_shards.OP2_SQL,
+        "op3_url_rules": url_rules.OP3_SQL,
+        "op5_fm_decontam": fm_decontam.OP5_SQL,
+        "op7_chat_format": chat_format.OP7_SQL,
+    }

@@ -69,7 +69,7 @@ def frequent_lengths(docs: DataFrame, path: str, pattern: str) -> dict[str, int]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
 
     found = docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = [r.w for r in found.orderBy(F.desc("n"), "w").limit(FREQUENT).select("w").collect()]
+    top = found.orderBy(F.desc("n"), "w").limit(FREQUENT).select("w").toArrow().column(0).to_pylist()
     tok = _tools(path, pattern)[0]
     return {w: len(e.ids) for w, e in zip(top, tok.encode_batch_fast(top, add_special_tokens=False))}
 
@@ -108,6 +108,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
             for i, own in rows:
                 counts[i] += sum(map(cache.__getitem__, own))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        cache.clear()  # an idle worker holds no words
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 

@@ -20,7 +20,6 @@ classes every score is 0; repeated rows stay repeated; other columns are ignored
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -49,21 +48,31 @@ def features_of(words: set[str]) -> set[tuple]:
     return out
 
 
-def distinct_texts(sample: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
-    """One of each group of copies, near ones included: those that share their least long word by
-    hash. Else the words of a text copied many times would look typical of its class."""
+def sketch(text: str | None, size: int = 3, n: int = 4) -> list[int]:
+    """Minima of ``n`` hashes over the word shingles of a whole text: near copies share some."""
+    import xxhash
+
+    words = _WORD.findall((text or "").lower())
+    shingles = {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+    h = np.fromiter((xxhash.xxh64_intdigest(x.encode()) for x in shingles), dtype=np.uint64, count=len(shingles))
+    return [int((h * np.uint64(2 * k + 1) ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)).min() >> np.uint64(1)) for k in range(n)]
+
+
+def distinct_texts(sample: list[tuple[str, int, float, list[int]]]) -> list[tuple[str, int, float]]:
+    """One of each group of copies, near ones included. Else the words of a text copied many times
+    would look typical of its class."""
     seen, out = set(), []
-    for words, y, weight in sample:
-        key = y, min((zlib.crc32(w.encode()) for w in words.split() if len(w) >= 8), default=words)
-        if key not in seen:
-            seen.add(key)
+    for words, y, weight, marks in sample:
+        keys = {(y, k, m) for k, m in enumerate(marks)}
+        if not keys & seen:
             out.append((words, y, weight))
+        seen |= keys
     return out
 
 
-def induce(sample: list[tuple[str, int]]) -> tuple[list[tuple], list[tuple], list[float]]:
+def induce(sample: list[tuple[str, int]], each: tuple[float, float]) -> tuple[list[tuple], list[tuple], list[float]]:
     """Features typical of toxic texts, the voters among them and how often these are right on the
-    sample. ``sample``: words, label. Clean texts are only asked for the features that enough
+    corpus, from the weights of ``each`` clean and toxic row. ``sample``: words, label. Clean texts are only asked for the features that enough
     toxic ones have, so that few features are held at a time."""
     n1, n0 = sum(y for _, y in sample), sum(1 - y for _, y in sample)
     in1, in0 = Counter(), Counter()
@@ -71,7 +80,9 @@ def induce(sample: list[tuple[str, int]]) -> tuple[list[tuple], list[tuple], lis
         if y:
             in1.update(features_of(set(words.split())))
     need = max(4, n1 // 100)
-    asked = {f for f, c in in1.items() if c >= need and c / n1 > 8 / n0}
+    # By distinct words, not by texts: a long text holds many words that are rare elsewhere.
+    size = [sum(len(words.split()) for words, y in sample if y == k) for k in (0, 1)]
+    asked = {f for f, c in in1.items() if c >= need and c / size[1] > 20 * 0.5 / size[0]}
     in1 = Counter({f: in1[f] for f in asked})
     texts = []
     for words, y in sample:
@@ -80,7 +91,7 @@ def induce(sample: list[tuple[str, int]]) -> tuple[list[tuple], list[tuple], lis
             texts.append(found)
         else:
             in0.update(found)
-    good = [f for f in asked if in1[f] / n1 > 1000 * in0[f] / n0]
+    good = [f for f in asked if in1[f] / size[1] > max(20 * (in0[f] + 0.5), 500 * in0[f]) / size[0]]
     holds = {f: [i for i, t in enumerate(texts) if f in t] for f in good}
     # Of a beginning and its extension that occurs nearly as often, the extension is the feature.
     best: Counter = Counter()
@@ -97,25 +108,26 @@ def induce(sample: list[tuple[str, int]]) -> tuple[list[tuple], list[tuple], lis
             break
         voters.append(best)
         short[left.pop(best)] -= 1
-    return features, voters, [(in1[v] + 1) / (in1[v] + in0[v] + 1.005) for v in voters]
+    return features, voters, [in1[v] * each[1] / (in1[v] * each[1] + (in0[v] + 0.5) * each[0]) for v in voters]
 
 
-def label_model(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, first: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, first: np.ndarray, rate: float, rounds: int = 50) -> tuple[np.ndarray, dict]:
     """Posterior of the hidden class by expectation-maximisation.
 
     ``votes``: rows by voters, 1 where a voter speaks; ``toxic``: for which class each voter
-    speaks. A silent voter is no evidence. A speaking one is right with its accuracy; votes
-    that correlate with others cast on the same row share their weight. ``first`` holds the
-    accuracies to begin with, which also count as much as the votes do: so the hidden class
-    keeps its meaning where there are few votes.
+    speaks. A silent voter is no evidence. A speaking one is right with its accuracy, so its
+    evidence is the log odds of that beyond those of the class; votes that correlate with
+    others cast on the same row share their weight. ``first`` holds the accuracies and ``rate``
+    the share of toxic rows to begin with, which also count as much as the votes do: so the
+    hidden class keeps its meaning where there are few votes.
     """
     v = votes.astype(float)
     side = np.where(toxic, 1.0, -1.0)
     q = np.where(v[:, toxic].sum(axis=1) > 0, 0.98, 0.02)
-    right, prior, share = np.asarray(first), 0.1, np.zeros((v.shape[1],) * 2)
+    right, prior, share = np.asarray(first), rate, np.zeros((v.shape[1],) * 2)
     for _ in range(rounds):
         p, n = weight * q, weight * (1 - q)
-        prior = float(np.clip(p.sum() / weight.sum(), 1e-3, 1 - 1e-3))
+        prior = float(np.clip((p.sum() / weight.sum() + rate) / 2, 1e-3, 1 - 1e-3))
         spoke = weight @ v
         right = np.clip(((np.where(toxic, p @ v, n @ v) + 0.9) / (spoke + 1) + first) / 2, 0.05, 0.9995)
         share[:] = 0
@@ -125,7 +137,8 @@ def label_model(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, first:
             share += (d * w[:, None]).T @ d / max(w.sum(), 1e-9) * np.outer(own, own)
         np.fill_diagonal(share, 0)
         alone = v / (1 + v @ np.clip(share, 0, 1))
-        z = np.log(prior / (1 - prior)) + alone @ (side * np.log(right / (1 - right)))
+        odds = np.log(prior / (1 - prior))
+        z = odds + alone @ (side * np.log(right / (1 - right)) - odds)
         new = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         done = np.abs(new - q).max() < 1e-7
         q = new
@@ -156,12 +169,13 @@ def fit_linear(x: np.ndarray, q: np.ndarray, weight: np.ndarray, steps: int = 15
     return coef[:-1], float(coef[-1])
 
 
-def train(sample: list[tuple[str, int, float]]) -> dict | None:
-    """``sample``: distinct words joined by blanks, label, weight."""
+def train(sample: list[tuple[str, int, float, list[int]]]) -> dict | None:
+    """``sample``: distinct words joined by blanks, label, weight, sketch."""
     sample = distinct_texts(sample)
     if len({y for _, y, _ in sample}) < 2:
         return None
-    features, voters, precision = induce([(words, y) for words, y, _ in sample])
+    each = tuple(float(np.mean([w for _, y, w in sample if y == k])) for k in (0, 1))
+    features, voters, precision = induce([(words, y) for words, y, _ in sample], each)
     if not voters:
         return None
     place = {f: i for i, f in enumerate(features)}
@@ -172,7 +186,7 @@ def train(sample: list[tuple[str, int, float]]) -> dict | None:
     weight = np.array([w for _, _, w in sample])
     speaks = x[:, [place[v] for v in voters]]
     none = x.sum(axis=1, keepdims=True) == 0  # one voter for the clean class: no feature occurs
-    q, found = label_model(np.column_stack([speaks, none]), np.arange(len(voters) + 1) < len(voters), weight, np.array([*precision, 0.95]))
+    q, found = label_model(np.column_stack([speaks, none]), np.arange(len(voters) + 1) < len(voters), weight, np.array([*precision, 0.95]), float(weight @ np.array([y for _, y, _ in sample]) / weight.sum()))
     # The two posterior classes weigh alike, or the rare one hardly moves the fit; and texts with
     # few features weigh more, or the fit would count on several features in each text.
     high = q > 0.5
@@ -181,8 +195,7 @@ def train(sample: list[tuple[str, int, float]]) -> dict | None:
     # One row more for each voter: a text of which only that voter speaks, with its posterior.
     alone = np.zeros((len(voters), len(features)), dtype=np.float32)
     alone[np.arange(len(voters)), [place[v] for v in voters]] = 1
-    right, prior = found["accuracy"][: len(voters)], found["prior"]
-    single = 1 / (1 + (1 - prior) / prior * (1 - right) / right)
+    single = found["accuracy"][: len(voters)]
     own = np.full(len(voters), 0.2 / max(len(voters), 1))
     coef, bias = fit_linear(np.vstack([x, alone]), np.concatenate([q, single]), np.concatenate([balance, own]))
     return {"coef": {f: float(c) for f, c in zip(features, coef) if c > 1e-6}, "bias": bias}
@@ -201,8 +214,8 @@ def by_length(model: dict) -> dict[int, dict[str, float]]:
     return {n: {f[1]: c for f, c in model["coef"].items() if f[0] == n} for n in (0, *STEMS)}
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, trained: Column) -> list[tuple[str, int, float]]:
-    """Words, label and weight of at most about ``MOST`` rows of each class, chosen by a hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, trained: Column) -> list[tuple[str, int, float, list[int]]]:
+    """Words, label, weight and sketch of at most about ``MOST`` rows of each class, chosen by a hash of the id."""
     y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(trained).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in y.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
     if len(n) < 2:
@@ -213,10 +226,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, trained: Column) -> list
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(tokens(x.as_py()))) for x in b.column(0)], pa.string()), b.column(1)], ["words", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(tokens(x.as_py()))) for x in b.column(0)], pa.string()), b.column(1), pa.array([sketch(x.as_py()) for x in b.column(0)], pa.list_(pa.int64()))], ["words", "toxic", "marks"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "words string, toxic int").limit(4 * MOST).collect()
-    return [(r.words, r.toxic, 1 / share[r.toxic]) for r in rows]
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "words string, toxic int, marks array<long>").limit(4 * MOST).collect()
+    return [(r.words, r.toxic, 1 / share[r.toxic], r.marks) for r in rows]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, trained: Column | None = None, keep: list[str] | None = None, name: str = "score") -> DataFrame:
