@@ -26,10 +26,11 @@ from __future__ import annotations
 import base64
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnforge.llm.common import cut, small_batches, table
+from tarnforge.llm.common import small_batches, table
 
 FREQUENT, LONGEST, CACHE = 1 << 17, 48, 1 << 17
 NONE = 2**31 - 1
@@ -182,8 +183,12 @@ def most_frequent(counted: DataFrame, most: int) -> DataFrame:
 def encoded_words(docs: DataFrame, bpe: Bpe, pattern: str) -> dict[str, bytes]:
     """Ids of the most frequent pre-tokens, folded by Spark; of bounded number and length. The ids
     of a word are held as the bytes of 32-bit numbers."""
-    counted = cut(count_words(docs, pattern).where(F.octet_length("w") <= LONGEST))
-    folded = most_frequent(counted, FREQUENT).select("w", let(bpe.tables, lambda t: bpe.encode_word(t, F.col("w"))).alias("ids")).toArrow()
+    # Read twice, for the bound and for the words; lost parts are computed again.
+    counted = count_words(docs, pattern).where(F.octet_length("w") <= LONGEST).persist(StorageLevel.DISK_ONLY)
+    try:
+        folded = most_frequent(counted, FREQUENT).select("w", let(bpe.tables, lambda t: bpe.encode_word(t, F.col("w"))).alias("ids")).toArrow()
+    finally:
+        counted.unpersist()
     return {w: np.array(ids.split(","), dtype=np.int32).tobytes() for w, ids in zip(folded.column(0).to_pylist(), folded.column(1).to_pylist())}
 
 
