@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnforge.constants import EPISODE_DAYS, HORIZON_DAYS, MIN_LEAD
+from tarnforge.operators.ranks import running_sums
 
 LEAD = "days_to_failure"
 
@@ -24,10 +25,15 @@ def anticipable(df: DataFrame, key: str, low: int = MIN_LEAD, high: int = HORIZO
 
 
 def _prepared(df: DataFrame, key: str, day: str, score: str, weight: str | None) -> DataFrame:
-    w = F.max(weight) if weight else F.lit(1.0)
-    rows = F.struct(F.col(day).cast("int").alias("day"), F.col(score).cast("double").alias("score"), F.col(LEAD).cast("double").alias("lead"))
-    known = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    return known.groupBy(key).agg(F.sort_array(F.collect_list(rows)).alias("rows"), w.cast("double").alias("weight"))
+    """Days of an entity in order. Rows of a day are first joined to one, of the highest score: only the
+    first of them can open an episode. So an entity's array is bounded by its days, however many
+    rows a hot entity has."""
+    s = F.col(score).cast("double")
+    known = df.where(s.isNotNull() & ~F.isnan(s))
+    w = F.max(F.col(weight).cast("double")) if weight else F.lit(1.0)
+    days = known.groupBy(key, F.col(day).cast("int").alias("_day")).agg(F.max(s).alias("_score"), F.max_by(F.col(LEAD).cast("double"), s).alias("_lead"), w.alias("_weight"))
+    rows = F.struct(F.col("_day").alias("day"), F.col("_score").alias("score"), F.col("_lead").alias("lead"))
+    return days.groupBy(key).agg(F.sort_array(F.collect_list(rows)).alias("rows"), F.max("_weight").alias("weight"))
 
 
 def _openers(rows: Column, tau, duration: int | None) -> Column:
@@ -67,13 +73,12 @@ def thresholds(df: DataFrame, score: str, n: int = 400) -> list[float]:
     """Descending thresholds at log-spaced ranks of the finite scores. Ranks are found in the counts of
     distinct scores, and at most n values come to the driver."""
     s = df.select(F.col(score).cast("double").alias("s")).where("s IS NOT NULL AND NOT isnan(s) AND abs(s) < double('Infinity')")
-    counts = s.groupBy("s").agg(F.count("*").alias("k"))
-    total = counts.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    summed = running_sums(s.groupBy("s").agg(F.count("*").alias("k")), "s", {"hi": "k"}, descending=True)
+    total = (summed.agg(F.max("hi")).first()[0]) or 0
     if not total:
         return []
     ranks = sorted({int(x) for x in np.round(np.logspace(0, np.log10(total), n))})
-    upto = F.sum("k").over(Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0))
-    spans = counts.select("s", (upto - F.col("k")).alias("lo"), upto.alias("hi"))
+    spans = summed.select("s", (F.col("hi") - F.col("k")).alias("lo"), "hi")
     hit = F.exists(F.array(*map(F.lit, ranks)), lambda r: (r > F.col("lo")) & (r <= F.col("hi")))
     return [r.s for r in spans.where(hit).orderBy(F.desc("s")).select("s").collect()]
 

@@ -36,17 +36,16 @@ def reference_errors(df: DataFrame, dim: DataFrame, key: str, value: str) -> Dat
 
 def exists_within(obs: DataFrame, events: DataFrame, keys: list[str], day: str, event_day: str, low: int, high: int, name: str, bucket: int | None = None) -> DataFrame:
     """Marks rows that have an event of the same keys at day + low to day + high: an existence band
-    join, which never multiplies rows. The events are bucketed by epoch windows of the band's width,
-    so that a hot key's events spread and each row probes two or three buckets."""
+    join, which never multiplies rows. Only distinct (keys, day) are probed, in buckets of epoch
+    windows of the band's width, so that neither a hot key's rows nor its events meet in pairs."""
     width = bucket or max(1, high - low + 1)
     e = events.select(*keys, F.col(event_day).alias("_e")).where(F.col("_e").isNotNull()).distinct()
-    e = e.withColumn("_b", F.floor(F.col("_e") / width))
-    e = e.groupBy(*keys, "_b").agg(F.collect_set("_e").alias("_days"))  # at most `width` days a bucket
-    o = obs.withColumn("_row", F.monotonically_increasing_id())
-    probe = o.select("_row", *keys, day).withColumn("_b", F.explode(F.sequence(F.floor((F.col(day) + low) / width), F.floor((F.col(day) + high) / width))))
+    e = e.withColumn("_b", F.floor(F.col("_e") / width)).groupBy(*keys, "_b").agg(F.collect_set("_e").alias("_days"))  # at most `width` days a bucket
+    probe = obs.select(*keys, day).dropna().distinct()
+    probe = probe.withColumn("_b", F.explode(F.sequence(F.floor((F.col(day) + low) / width), F.floor((F.col(day) + high) / width))))
     hit = F.exists("_days", lambda x: (x >= F.col(day) + low) & (x <= F.col(day) + high))
-    found = probe.join(e, [*keys, "_b"]).where(hit).select("_row").distinct().withColumn(name, F.lit(True))
-    return o.join(found, "_row", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_row")
+    found = probe.join(e, [*keys, "_b"]).where(hit).select(*keys, day).distinct().withColumn(name, F.lit(True))
+    return obs.join(found, [*keys, day], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def semi_range(obs_view: str, event_view: str, keys: list[str], day: str, event_day: str, low: int, high: int, name: str) -> str:

@@ -3,14 +3,16 @@ sorted is the distinct scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnforge.operators.ranks import running_sums
+
 
 def _by_score(df: DataFrame, score: str, target: str) -> DataFrame:
     g = df.where(F.col(score).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(target).cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select("s", "pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), F.sum("pos").over(Window.partitionBy()).alias("all_pos"), F.sum("n").over(Window.partitionBy()).alias("all_n"))
+    out = running_sums(g, "s", {"tp": "pos", "seen": "n"}, descending=True)
+    return out.select("s", "pos", "n", "tp", "seen", F.col("tp_all").alias("all_pos"), F.col("seen_all").alias("all_n"))
 
 
 def average_precision(df: DataFrame, score: str, target: str) -> DataFrame:
@@ -20,10 +22,12 @@ def average_precision(df: DataFrame, score: str, target: str) -> DataFrame:
 
 
 def pr_auc_trapezoid(df: DataFrame, score: str, target: str) -> DataFrame:
-    c = _by_score(df, score, target).select("s", (F.col("tp") / F.col("seen")).alias("p"), (F.col("tp") / F.col("all_pos")).alias("r"))
-    w = Window.orderBy(F.desc("s"))
-    area = (F.col("r") - F.coalesce(F.lag("r").over(w), F.lit(0.0))) * (F.col("p") + F.coalesce(F.lag("p").over(w), F.lit(1.0))) / 2
-    return c.select(area.alias("a")).agg(F.round(F.sum("a"), 6).alias("pr_auc"))
+    """Trapezoids between neighbouring scores; each point knows the one before it from its own counts."""
+    c = _by_score(df, score, target)
+    r, p = F.col("tp") / F.col("all_pos"), F.col("tp") / F.col("seen")
+    r0, seen0 = (F.col("tp") - F.col("pos")) / F.col("all_pos"), F.col("seen") - F.col("n")
+    p0 = F.when(seen0 > 0, (F.col("tp") - F.col("pos")) / F.nullif(seen0, F.lit(0))).otherwise(1.0)
+    return c.agg(F.round(F.sum((r - r0) * (p + p0) / 2), 6).alias("pr_auc"))
 
 
 def roc_auc(df: DataFrame, score: str, target: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnforge.constants import CRITICAL_IDS
 from tarnforge.functions.scalar import finite, signed_log1p
+from tarnforge.operators.ranks import running_sums
 
 
 def n_degrading(ids=CRITICAL_IDS, prefix: str = "R", days: int = 30) -> Column:
@@ -84,6 +85,5 @@ def ecdf_score(train: DataFrame, df: DataFrame, col: str, name: str = "score") -
     steps = t.groupBy("v").agg(F.count("*").alias("n"))
     asked = df.select(x.alias("v")).where("v IS NOT NULL").distinct().withColumn("n", F.lit(0).cast("long"))
     both = steps.unionByName(asked).groupBy("v").agg(F.sum("n").alias("n"))
-    cum = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    table = both.select(F.col("v").alias("_v"), (cum / F.sum("n").over(Window.partitionBy())).alias(name))
+    table = running_sums(both, "v", {"_upto": "n"}).select(F.col("v").alias("_v"), (F.col("_upto") / F.col("_upto_all")).alias(name))
     return df.withColumn("_x", x).join(table, F.col("_x") == F.col("_v"), "left").withColumn(name, F.coalesce(name, F.lit(0.0))).drop("_x", "_v")

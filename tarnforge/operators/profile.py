@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnforge.functions.scalar import percent, ratio
+from tarnforge.operators.ranks import running_sums
 
 
 def _total():
@@ -234,9 +235,8 @@ def monthly_prevalence(df: DataFrame, date: str, key: str, positive: Column, eve
 def average_rank(df: DataFrame, col: str, name: str) -> DataFrame:
     """Ranks with ties averaged: from the counts of distinct values, so that raw rows are not sorted in
     one partition."""
-    n = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    r = n.select(F.col(col).alias("_v"), (F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).alias(name))
+    n = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+    r = running_sums(n, "_v", {"_upto": "_n"}).select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
     return df.join(r, F.col(col) == F.col("_v"), "left").drop("_v")
 
 

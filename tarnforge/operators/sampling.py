@@ -28,7 +28,8 @@ def quota_sample(df: DataFrame, key: Column, target: str, part: str, train: str,
     cap = F.lit(per_part)
     for c, n in per_class.items():
         cap = F.when(is_train & (F.col(target) == c), F.lit(n)).otherwise(cap)
-    return kept.withColumn("_rank", F.row_number().over(w.orderBy(order))).where(F.col("_rank") <= cap).drop("_rank")
+    # The literal bound lets Spark limit each group before the shuffle.
+    return kept.withColumn("_rank", F.row_number().over(w.orderBy(order))).where(F.col("_rank") <= max([per_part, *per_class.values()])).where(F.col("_rank") <= cap).drop("_rank")
 
 
 def stable_sample(df: DataFrame, key: Column, n: int, seed: str = "") -> DataFrame:
@@ -54,4 +55,4 @@ def stratified_subsample(df: DataFrame, target: str, key: Column, most: int, see
     quota = F.lit(0)
     for c, k in n.items():
         quota = F.when(F.col(target).eqNullSafe(F.lit(c)), F.lit(k if total <= most else max(1, most * k // total))).otherwise(quota)
-    return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= quota).drop("_rank")
+    return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).where(F.col("_rank") <= quota).drop("_rank")
