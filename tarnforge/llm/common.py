@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnforge.functions.lineage import cut, ensure_checkpoint_dir
+
+__all__ = ["cut", "ensure_checkpoint_dir", "id_crc", "small_batches", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the path is only ever opened by Spark."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; set a local one only where there is none (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarnforge-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from those files.
-
-    The files survive the loss of executors, and later plans read the same rows in the
-    same partitions, which the rank and sweep operators rely on.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def id_crc(col) -> F.Column:
     """crc32 of the id as text: the fixed rule by which rows are held out of training."""
     return F.crc32(col.cast("string"))

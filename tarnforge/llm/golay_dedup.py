@@ -135,8 +135,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, carry: list[str] | Non
     marked = cut(fingerprints(docs, size, carry))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Both sides of the join by root have exchanges of their own, so that a hot component is split.
+    rooted = cut(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut(rooted.join(least, "root").select("fp", "root", "component_id"))
     return marked.join(named, "fp").select("doc_id", *(carry or []), "fp", "root", "component_id")
 
