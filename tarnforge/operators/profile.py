@@ -119,12 +119,14 @@ def univariate(df: DataFrame, col: str, by: list[str] | None = None, exact: bool
     """Counts, quartiles and moments of a column. Moments are of doubles, so that no decimal sum
     overflows. ``exact`` false takes approximate quartiles, which need bounded memory."""
     x = F.col(col).cast("double")
-    q = (lambda p: F.percentile(x, p)) if exact else (lambda p: F.percentile_approx(x, p, accuracy))
-    return df.groupBy(*(by or [])).agg(
+    three = F.array(*map(F.lit, (0.25, 0.5, 0.75)))  # one state for all quartiles
+    out = df.groupBy(*(by or [])).agg(
         F.count("*").alias("total_rows"), F.count(x).alias("non_null"), F.count_if(x.isNull()).alias("nulls"), percent(F.count_if(x.isNull()), F.count("*")).alias("null_pct"),
-        F.min(x).alias("minimum"), q(0.25).alias("q1"), F.round(F.avg(x), 6).alias("mean"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(x).alias("maximum"),
+        F.min(x).alias("minimum"), (F.percentile(x, three) if exact else F.percentile_approx(x, three, accuracy)).alias("_q"), F.round(F.avg(x), 6).alias("mean"), F.max(x).alias("maximum"),
         F.round(F.stddev_samp(x), 6).alias("stddev"), F.round(F.var_samp(x), 4).alias("variance"),
     )
+    q = {n: F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))}
+    return out.select(*(by or []), "total_rows", "non_null", "nulls", "null_pct", "minimum", q["q1"], "mean", q["median"], q["q3"], "maximum", "stddev", "variance")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
@@ -197,9 +199,9 @@ def iqr_outliers(df: DataFrame, col: str, by: list[str], k: float = 1.5, exact:
     """Bounds by group and rows outside."""
     x = F.col(col).cast("double")
     q = F.percentile if exact else F.percentile_approx
-    b = df.groupBy(*by).agg(q(x, F.lit(0.25)).alias("q1"), q(x, F.lit(0.75)).alias("q3"))
+    b = df.groupBy(*by).agg(q(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q")).select(*by, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("q3"))
     b = b.withColumn("low", F.round(F.col("q1") - k * (F.col("q3") - F.col("q1")), 6)).withColumn("high", F.round(F.col("q3") + k * (F.col("q3") - F.col("q1")), 6))
-    return df.join(F.broadcast(b) if not by else b, by).groupBy(*by, "q1", "q3", "low", "high").agg(F.count(x).alias("non_null"), F.count_if((x < F.col("low")) | (x > F.col("high"))).alias("outliers"))
+    return (df.join(b, by) if by else df.crossJoin(F.broadcast(b))).groupBy(*by, "q1", "q3", "low", "high").agg(F.count(x).alias("non_null"), F.count_if((x < F.col("low")) | (x > F.col("high"))).alias("outliers"))
 
 
 def outlier_lift(df: DataFrame, col: str, target: str, z: float = 3.0) -> DataFrame:
@@ -220,10 +222,12 @@ def outlier_lift(df: DataFrame, col: str, target: str, z: float = 3.0) -> DataFr
 def descriptives(df: DataFrame, col: str) -> DataFrame:
     """Upper quantiles, zeros, skew, excess kurtosis (population) and distinct values."""
     x = F.col(col).cast("double")
-    return df.agg(
-        *[F.percentile(x, p).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p999", 0.999))], percent(F.count_if(x == 0), F.count(x)).alias("zero_pct"),
+    names = ("p50", "p90", "p99", "p999")
+    out = df.agg(
+        F.percentile(x, F.array(*map(F.lit, (0.5, 0.9, 0.99, 0.999)))).alias("_q"), percent(F.count_if(x == 0), F.count(x)).alias("zero_pct"),
         F.round(F.skewness(x), 4).alias("skew"), F.round(F.kurtosis(x), 4).alias("kurtosis"), F.count_distinct(x).alias("n_unique"),
     )
+    return out.select(*[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)], "zero_pct", "skew", "kurtosis", "n_unique")
 
 
 def monthly_prevalence(df: DataFrame, date: str, key: str, positive: Column, event: Column) -> DataFrame:
