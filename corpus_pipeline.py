@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnforge.llm import bpe_fold, fm_decontam, golay_dedup, quality_forest, weak_toxicity
+from tarnforge.llm import bpe_fold, fm_decontam, near_copies, quality_forest, weak_toxicity
 from tarnforge.llm.common import ensure_checkpoint_dir, table
 
 
@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies stays."""
-    return golay_dedup.deduplicate(docs)
+    """The document of the smallest id of each group of texts with four fifths of their five-word shingles in common stays."""
+    return near_copies.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,20 +36,28 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = 1 << 13
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """64-bit SimHash of all word shingles, repeats included, as an unsigned number."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Hashes of all word shingles, repeats included; none of a wordless text."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()  # at \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     n = max(1, len(words) - size + 1)
     begins = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(size, len(words)) - 1 :] - 1).tolist()
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(flat[a:b], SEED) for a, b in zip(begins, stops)), dtype=np.uint64, count=n)
+    return np.fromiter((hashed(flat[a:b], SEED) for a, b in zip(begins, stops)), dtype=np.uint64, count=n)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """64-bit SimHash of all word shingles, repeats included, as an unsigned number."""
+    h = shingle_hashes(text, size)
+    n = len(h)
+    if not n:
+        return 0
     total = np.zeros(64, dtype=np.int64)
     for k in range(0, n, _STEP):
         part = h[k : k + _STEP].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -142,21 +150,27 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, carry: list[str] | Non
     return marked.join(named, "fp").select("doc_id", *(carry or []), "fp", "root", "component_id")
 
 
-def deduplicate(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def keep_first(docs: DataFrame, find) -> DataFrame:
     """One document of each component stays: the one of the smallest doc_id, with all columns.
 
-    The one that stays is matched by id and text hash, so that an id that two texts share keeps
+    ``find`` takes doc_id, text, _text and _key, and gives these without text, and root. The one
+    that stays is matched by id and text hash, so that an id that two texts share keeps
     or drops neither by the other's verdict; of repeated rows one stays; a null id is the largest.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
     key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))  # never null: joins and grouping share one exchange
-    found = near_duplicates(docs.select("doc_id", "text", text.alias("_text"), key.alias("_key")), size, ["_text", "_key"])
+    found = find(docs.select("doc_id", "text", text.alias("_text"), key.alias("_key")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key", "_text"))
     stay = found.groupBy("root").agg(first.alias("s")).select(F.col("s._key").alias("_key"), F.col("s._text").alias("_text"))
     rows = docs.withColumns({"_text": text, "_key": key})
     return rows.join(stay, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).drop("_key", "_text")
 
 
+def deduplicate(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One document of each component stays, see ``keep_first``."""
+    return keep_first(docs, lambda d: near_duplicates(d, size, ["_text", "_key"]))
+
+
 def op9_golay_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tarnforge.llm import bpe_fold, chat_format, fm_decontam, golay_dedup, hilbert_shards, quality_forest, registry, token_counts, url_rules
 from tarnforge.llm.fm_index import FMIndex, suffix_array
 from tarnforge.llm.golay import Decoder, codewords
@@ -396,3 +397,45 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(order, order[1:])] + [(100, 101), (101, 102), (100, 102), (100, 101)], "a long, b long")
     got = {r.node: r.root for r in golay_dedup.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, n)}, 101: 100, 102: 100}
+
+
+def plain_shingles(text):
+    w = SPLIT.findall((text or "").translate(UP))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_near_copies_by_brute_force(spark):
+    """Copies with some words edited, of which most are far beyond three bits of a fingerprint."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    docs = [(i, t) for i, t in DOCS] + [(20, "one two three"), (21, "One  two\nthree"), (22, "one two four"), (None, None)]
+    for g in range(25):
+        base = rng.choices(words, k=rng.choice([60, 150, 300]))
+        for k in range(6):
+            w = list(base)
+            for _ in range(rng.randint(0, len(w) // 40)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            docs.append((1000 - g * 10 - k, " ".join(w)))
+    sets = [plain_shingles(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    far = 0
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both and 5 * both >= 4 * len(sets[i] | sets[j]):
+                far += (plain_fingerprint(docs[i][1]) ^ plain_fingerprint(docs[j][1])).bit_count() > 3
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert far > 100
+    want = {}
+    for i, (d, t) in enumerate(docs):
+        want.setdefault(find(i), []).append((d is None, d if d is not None else 0, t))
+    want = Counter((None if n else d) for n, d, _ in (min(v, key=lambda r: r[:2]) for v in want.values()))
+    got = Counter(r["doc_id"] for r in rows(corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")))
+    assert got == want
