@@ -5,10 +5,10 @@ slots, so that a lookup reads at most three array elements. Encoding folds the r
 the pieces and the rank of each neighbouring pair, and each step joins the leftmost pair of
 lowest rank and renews its two neighbours, until no pair has a rank.
 
-Distinct pre-tokens are counted over all documents, and the ``FREQUENT`` most frequent ones (of
-at most ``LONGEST`` bytes) are folded once by Spark and broadcast. The documents' pre-tokens
-are looked up there, so that none is shuffled back to its document. The fold takes some 50
-microseconds a word, too many for the millions of rare words (see the README); a worker
+Distinct pre-tokens are counted over all documents, and the ``FREQUENT`` most frequent ones (seen
+twice or more, of at most ``LONGEST`` bytes) are folded once by Spark and broadcast. The documents' pre-tokens
+are looked up there, so that none is shuffled back to its document. The fold takes 77 to 134
+microseconds a rare word, too many for the millions of rare words (see the README); a worker
 encodes those by the tokenizer's library, each once, in a bounded cache. Decoding is
 a higher-order function again: it looks up the binary piece of each id and concatenates the
 pieces.
