@@ -7,20 +7,16 @@ from pyspark.sql import functions as F
 
 from tarnforge.functions.lineage import cut
 
-#: Up to so many rows one task does it; beyond, range partitions and their totals do. Both are exact.
-ONE_TASK = 1_000_000
 
-
-def running_sums(df: DataFrame, by: str, sums: dict[str, str], descending: bool = False, one_task: int | None = None) -> DataFrame:
+def running_sums(df: DataFrame, by: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """Adds, for each {name: column}, the sum of the column over all rows up to and with this one in the
-    order of ``by`` (values distinct), and ``<name>_all``, the sum over all rows."""
-    df = cut(df)
+    order of ``by`` (values distinct), and ``<name>_all``, the sum over all rows.
+
+    Rows are dealt out by ranges of ``by`` and kept so; each range adds the totals of those before it.
+    """
     order = F.col(by).desc() if descending else F.col(by).asc()
-    if df.count() <= (ONE_TASK if one_task is None else one_task):
-        w, whole = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-        return df.select("*", *[e for n, c in sums.items() for e in (F.sum(c).over(w).alias(n), F.sum(c).over(whole).alias(f"{n}_all"))])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = cut(df.repartitionByRange(parts, order).sortWithinPartitions(order)).withColumn("_part", F.spark_partition_id())
+    df = cut(df.repartitionByRange(parts, order)).withColumn("_part", F.spark_partition_id())
     totals = df.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])  # one row a partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = totals.select("_part", *[e for n in sums for e in (F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_a_{n}"), F.sum(f"_t_{n}").over(Window.partitionBy()).alias(f"{n}_all"))])
