@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnforge.functions.lineage import cut, ensure_checkpoint_dir
+from tarnforge.functions.lineage import cut, ensure_checkpoint_dir, remove
 
-__all__ = ["cut", "ensure_checkpoint_dir", "id_crc", "small_batches", "table"]
+__all__ = ["cut", "ensure_checkpoint_dir", "free_name", "id_crc", "remove", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as make it none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_crc(col) -> F.Column:
     """crc32 of the id as text: the fixed rule by which rows are held out of training."""
     return F.crc32(col.cast("string"))

@@ -15,9 +15,15 @@ fingerprints, never with the square of its size. Candidates are verified inside
 links are contracted to stars in rounds (each neighbourhood to its minimum), with every round
 checkpointed.
 
+Candidates by chance grow as the square of the different fingerprints: two that are unlike share a
+key in 48 of 2**28 cases. That is a few a fingerprint at 10**8 of them, and too many beyond some
+10**9; a larger corpus needs fingerprints of more bits and segments, not other joins.
+
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a text
-of one or two words has one shingle, the whole sequence; repeated rows and ids stay
-repeated, in one component; an empty table gives no rows; other columns are ignored.
+of one or two words has one shingle, the whole sequence; very long texts count whole, some shingles
+at a time; a null id is kept, and the component of null ids alone is null; repeated rows and ids
+stay repeated, in one component; an empty table gives no rows; other columns, of any name, are
+ignored by the query and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnforge.llm.common import cut, small_batches, table
+from tarnforge.llm.common import cut, free_name, small_batches, table
 from tarnforge.llm.golay import Decoder
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -54,7 +60,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """64-bit SimHash of all word shingles, repeats included, as an unsigned number."""
-    h = shingle_hashes(text, size)
+    return simhash(shingle_hashes(text, size))
+
+
+def simhash(h: np.ndarray) -> int:
+    """Bit by bit the majority of the hashes."""
     n = len(h)
     if not n:
         return 0
@@ -122,6 +132,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").distinct())
     state = None
     while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(now) == state or not now[0]:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        state = tuple(now)
         # Large star: neighbours above a node go to the smallest of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -130,11 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("m").alias("a"), "b").unionByName(low.select(F.col("m").alias("a"), F.col("a").alias("b")))
-        edges = cut(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        state = tuple(now)
+        edges = cut(small.where("a <> b").distinct(), rows=now[0])
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
@@ -153,22 +163,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, carry: list[str] | Non
 def keep_first(docs: DataFrame, find) -> DataFrame:
     """One document of each component stays: the one of the smallest doc_id, with all columns.
 
-    ``find`` takes doc_id, text, _text and _key, and gives these without text, and root. The one
+    ``find`` takes doc_id, text, and two columns more, and gives these without text, and root. The one
     that stays is matched by id and text hash, so that an id that two texts share keeps
     or drops neither by the other's verdict; of repeated rows one stays; a null id is the largest.
     """
-    text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))  # never null: joins and grouping share one exchange
-    found = find(docs.select("doc_id", "text", text.alias("_text"), key.alias("_key")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key", "_text"))
-    stay = found.groupBy("root").agg(first.alias("s")).select(F.col("s._key").alias("_key"), F.col("s._text").alias("_text"))
-    rows = docs.withColumns({"_text": text, "_key": key})
-    return rows.join(stay, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).drop("_key", "_text")
+    mark, key = free_name(docs.columns, "_text"), free_name(docs.columns, "_key")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    named = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))  # never null: joins and grouping share one exchange
+    found = find(docs.select("doc_id", "text", hashed.alias(mark), named.alias(key)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col(key).alias("key"), F.col(mark).alias("mark")))
+    stay = found.groupBy("root").agg(first.alias("s")).select(F.col("s.key").alias(key), F.col("s.mark").alias(mark))
+    rows = docs.withColumns({mark: hashed, key: named})
+    return rows.join(stay, [key, mark], "left_semi").dropDuplicates([key, mark]).select(*docs.columns)
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One document of each component stays, see ``keep_first``."""
-    return keep_first(docs, lambda d: near_duplicates(d, size, ["_text", "_key"]))
+    return keep_first(docs, lambda d: near_duplicates(d, size, d.columns[2:]))
 
 
 def op9_golay_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,21 +1,29 @@
-"""Near copies by the Jaccard similarity of five-word shingle sets: the pipeline's near-dedup.
+"""Near copies by similarity: SimHash near-dedup (``golay_dedup``) widened to a Jaccard similarity of
+five-word shingle sets. The pipeline's near-dedup.
 
-Two texts link where at least ``SHARE`` of all their different shingles are in both. A 64-bit
-SimHash at three bits only finds texts of nearly all shingles in common, so candidates come from
-``BANDS`` independent fingerprints, each of ``ROWS`` minimum hashes: at a similarity of 0.8 a pair
-shares at least one but in 1 of 38,000 cases. Every candidate is verified by its whole sets.
+Two texts link where at least ``SHARE`` of all their different shingles are in both. Candidates come
+from two sources and are all verified by their whole sets:
 
-Texts of the same set are one node. A bucket of one fingerprint first compares its members with
-one of them only, another in each bucket, so that a group of near copies costs its size, not the
-square of it. What is then in one component needs no more; in buckets of several, all pairs of
-different components are compared. The components are those of all linked candidates.
+1. The Golay keys of ``golay_dedup`` on 64-bit SimHashes of the five-word shingles. They meet all
+   pairs of three or fewer differing bits, which are those of nearly all shingles in common.
+2. ``BANDS`` fingerprints of ``ROWS`` minimum hashes each, for what lies beyond: at a similarity of
+   0.8 SimHashes differ in ten bits of 64, more than any choice of Golay keys of that length meets
+   (see the README), while a pair shares one of these but in 1 of 38,000 cases.
+
+Texts of the same set are one node. A bucket (of one SimHash or one band) first compares its members
+with ``PIVOTS`` of them only, so that a group of near copies costs its size and not the square of it.
+What is then in one component needs no more; in buckets of several components all pairs of
+different ones are compared. The components are those of all linked candidates.
 
 Pairs are compared inside the joins by the parities of ``WIDTH`` classes of hashes first: every
 parity that differs takes a shingle of one set only, so too many rule a pair out, and no linked
-pair is lost. Only what passes is made as a row and meets its whole sets.
+pair is lost. Only what passes is made as a row. Whole sets are made and moved of texts in such
+pairs alone: the texts are found by their hashes, which are broadcast up to ``FEW`` and else joined.
 
 Defined cases: a null or wordless text has the empty set, equal to itself only; a text of one
-to four words has one shingle, the whole sequence; words and case are those of ``golay_dedup``.
+to four words has one shingle, the whole sequence; words and case are those of ``golay_dedup``; very
+long texts count whole; repeated rows are one node; an empty table gives no rows; columns of any
+name stay as they are.
 """
 
 from __future__ import annotations
@@ -26,13 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnforge.llm import golay_dedup
 from tarnforge.llm.common import cut, small_batches
-from tarnforge.llm.golay_dedup import SEED, components, keep_first, shingle_hashes
+from tarnforge.llm.golay_dedup import SEED, components, keep_first, shingle_hashes, simhash
 
-SHINGLE, BANDS, ROWS = 5, 20, 4
+SHINGLE, BANDS, ROWS, PIVOTS = 5, 20, 4, 2
 #: As a fraction, so that the comparison is of whole numbers.
 SHARE = 4, 5
 WIDTH = 512
+#: Text hashes that are broadcast at most, of 8 bytes each.
+FEW = 1 << 20
 _STEP = 1 << 10
 _RNG = np.random.default_rng(SEED)
 _MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,23 +81,27 @@ def parities(grams: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
 
 
+_MARKS = [("fp", "long"), ("sim", "long"), ("bands", "array<long>"), ("n", "int"), ("odd", "array<long>")]
+
+
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id, text and others to doc_id, the others, fp (the set's hash), bands, n (the set's size), odd (its parities)."""
+    """Columns and text to the columns, fp (the set's hash), sim (its SimHash), bands, n (the set's size), odd (its parities)."""
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(x.as_py()) for x in b.column(1)]
-            fp, bands = pa.array([node_of(g) for g in sets], pa.int64()), pa.array([band_keys(g) for g in sets], pa.list_(pa.int64()))
-            n, odd = pa.array([len(g) for g in sets], pa.int32()), pa.array([parities(g) for g in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], fp, bands, n, odd], names)
+            sets = [shingle_set(x.as_py()) for x in b.column(0)]
+            sim = np.array([simhash(g) for g in sets], dtype=np.uint64).view(np.int64)
+            new = [
+                pa.array([node_of(g) for g in sets], pa.int64()), pa.array(sim), pa.array([band_keys(g) for g in sets], pa.list_(pa.int64())),
+                pa.array([len(g) for g in sets], pa.int32()), pa.array([parities(g) for g in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], names)
 
-    names = ["doc_id", *rest, "fp", "bands", "n", "odd"]
-    rows = docs.select("doc_id", "text", *rest)
-    fields, longs = rows.schema.fields, T.ArrayType(T.LongType())
-    new = [T.StructField(c, t) for c, t in (("fp", T.LongType()), ("bands", longs), ("n", T.IntegerType()), ("odd", longs))]
-    return rows.mapInArrow(run, T.StructType([fields[0], *fields[2:], *new]))
+    names = [*rest, *[c for c, _ in _MARKS]]
+    rows = docs.select("text", *rest)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in _MARKS)).fields]))
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -108,40 +123,57 @@ def possible(na: str, a: str, nb: str, b: str) -> F.Column:
     return apart * sum(SHARE) <= (F.col(na) + F.col(nb)) * (SHARE[1] - SHARE[0])
 
 
-def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are as similar as ``SHARE``."""
+def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Different pairs (a, b), a < b."""
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are as similar as ``SHARE``, by their whole sets."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    texts = cut(nodes.join(wanted, "fp").select("fp", F.col("hash").alias("_hash")))
+    few = texts.count() <= FEW
+    chosen = docs.select("text", F.xxhash64("text").alias("_hash")).join(F.broadcast(texts.select("_hash")) if few else texts.select("_hash"), "_hash", "left_semi")
+    grams = cut(sets(chosen).join(texts.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.any_value("grams").alias("grams")))
     both = F.size(F.array_intersect("x", "y"))
     near = both * sum(SHARE) >= (F.size("x") + F.size("y")) * SHARE[0]  # both / (x + y - both) >= SHARE
     one, two = grams.select(F.col("fp").alias("a"), F.col("grams").alias("x")), grams.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
+    return cut(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"))
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates by the Golay keys: one node of each SimHash against the others of it, and against one of each linked SimHash."""
+    one = cut(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("node")))
+    same = nodes.join(one.select(F.col("fp").alias("sim"), "node"), "sim").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    near = golay_dedup.links(one)
+    near = near.join(one.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of nodes that have the components of all of them."""
+    """Verified pairs (a, b) of nodes that have the components of all of them. ``nodes``: fp, hash (of a text), sim, bands, n, odd."""
     keyed = nodes.select("fp", F.explode("bands").alias("key"))
-    pivot = F.min_by("fp", F.xxhash64("fp", "key")).alias("pivot")
-    shared = keyed.groupBy("key").agg(pivot, F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
-    sketch = nodes.select("fp", "n", "odd")
-    members = cut(keyed.join(shared.select("key", "pivot"), "key").join(sketch, "fp"))
-    grams = cut(sets(docs).join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.any_value("grams").alias("grams")))
-    pivots = members.where("fp = pivot").select("key", F.col("n").alias("pn"), F.col("odd").alias("podd"))
-    star = members.where("fp <> pivot").join(pivots, "key").where(possible("n", "odd", "pn", "podd"))
-    first = cut(verified(star.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct(), grams))
-    found = components(first).withColumnRenamed("node", "fp")
-    rooted = cut(members.drop("pivot").join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    pivots = F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("fp", *([] if i == 0 else ["key", F.lit(i)]))) for i in range(PIVOTS)]))
+    shared = keyed.groupBy("key").agg(pivots.alias("pivots"), F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
+    members = cut(keyed.join(shared.select("key", "pivots"), "key").join(nodes.select("fp", "n", "odd"), "fp"))
+    chosen = members.where(F.array_contains("pivots", F.col("fp"))).select("key", F.col("fp").alias("pivot"), F.col("n").alias("pn"), F.col("odd").alias("podd"))
+    star = members.drop("pivots").join(chosen, "key").where("fp <> pivot").where(possible("n", "odd", "pn", "podd"))
+    first = verified(ordered(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).unionByName(fingerprint_pairs(nodes)), "a", "b"), docs, nodes)
+    rooted = cut(members.drop("pivots").join(components(first).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     left = cut(rooted.join(mixed, "key", "left_semi"))
     one, two = (left.select("key", F.col("fp").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
-    rest = one.join(two, "key").where("a < b and ra <> rb").where(possible("na", "oa", "nb", "ob")).select("a", "b").distinct()
-    return first.unionByName(verified(rest, grams))
+    rest = one.join(two, "key").where("a < b and ra <> rb").where(possible("na", "oa", "nb", "ob"))
+    return first.unionByName(verified(ordered(rest, "a", "b"), docs, nodes))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, the columns beside text, fp, root (of the component)."""
-    marked = cut(marks(docs))
-    nodes = marked.groupBy("fp").agg(*[F.any_value(c).alias(c) for c in ("bands", "n", "odd")])
+    """The columns beside text, fp, root (of the component)."""
+    marked = cut(marks(docs.withColumn("hash", F.xxhash64("text"))))
+    nodes = cut(marked.groupBy("fp").agg(*[F.any_value(c).alias(c) for c in ("hash", "sim", "bands", "n", "odd")]))
     found = components(links(docs, nodes)).withColumnRenamed("node", "fp")
-    return marked.drop("bands", "n", "odd").join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return marked.drop("hash", "sim", "bands", "n", "odd").join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
