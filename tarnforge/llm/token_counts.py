@@ -1,19 +1,20 @@
 """Token counts: a two-tier lookup on the map side, with no shuffle of pre-tokens.
 
-First tier: a broadcast table of the lengths of the most frequent pre-tokens, of at most
-``FREQUENT`` entries of at most ``LONGEST`` characters each. Its candidates come from a
-count over all documents in which each task reports its own ``PER_TASK`` most frequent
-pre-tokens; the table decides speed only, never a count. Second tier: pre-tokens that the
-table lacks are encoded by the tokenizer itself, each once, and kept in a cache of the
-worker that is emptied when it holds ``CACHE`` entries.
+First tier: a broadcast table of the lengths of frequent pre-tokens, of at most ``FREQUENT``
+entries of at most ``LONGEST`` characters each. Its candidates are the most frequent pre-tokens of
+a bounded random sample of about ``SAMPLE`` documents, counted where they lie and added up on the
+driver, which gets at most ``PER_TASK`` of each task's; the table decides speed only, never a
+count. Second tier: pre-tokens that the table lacks are encoded by the tokenizer itself, each
+once, and kept in a cache of the worker of at most ``CACHE`` entries of at most ``LONGEST``
+characters; longer ones are encoded each time.
 
 Byte-level BPE never merges across pre-tokens, so the counts of the pre-tokens add up to
 the text's. Strings of added special tokens are cut out first and count as one token each,
 as the library does by default.
 
 Defined cases: a null text counts as empty (no tokens); whole texts are encoded whatever
-their length; repeated rows stay repeated; an empty table gives no rows; other columns
-are ignored.
+their length; a null id is kept; repeated rows stay repeated; an empty table gives no rows; other
+columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tarnforge.llm.common import small_batches, table
 
-FREQUENT, PER_TASK, LONGEST, CACHE = 1 << 18, 1 << 16, 64, 1 << 18
+SAMPLE, FREQUENT, PER_TASK, LONGEST, CACHE, SEED = 4096, 1 << 18, 1 << 16, 64, 1 << 18, 9
 _loaded: dict = {}
 
 
@@ -54,7 +55,8 @@ def _pieces(text: str, words, special) -> tuple[list[str], int]:
 
 
 def frequent_lengths(docs: DataFrame, path: str, pattern: str) -> dict[str, int]:
-    """The first tier: pre-token to token count, of bounded size."""
+    """The first tier: pre-token to token count, of bounded size. Rows are drawn one by one, so that
+    neither a hot id nor a hot text makes the sample larger."""
     import pyarrow as pa
 
     def count(batches):
@@ -62,14 +64,18 @@ def frequent_lengths(docs: DataFrame, path: str, pattern: str) -> dict[str, int]
         seen: Counter = Counter()
         for b in batches:
             for x in b.column(0):
-                seen.update(_pieces(x.as_py() or "", words, special)[0])
-                if len(seen) > 8 * CACHE:
-                    seen = Counter(dict(seen.most_common(CACHE)))
-        top = [(w, n) for w, n in seen.most_common(PER_TASK) if len(w) <= LONGEST]
+                seen.update(w for w in _pieces(x.as_py() or "", words, special)[0] if len(w) <= LONGEST)
+                if len(seen) > 8 * PER_TASK:
+                    seen = Counter(dict(seen.most_common(2 * PER_TASK)))
+        top = seen.most_common(PER_TASK)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
 
-    found = docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "w").limit(FREQUENT).select("w").toArrow().column(0).to_pylist()
+    rows = docs.count()
+    drawn = docs.select("text").where(F.rand(SEED) < min(1.0, SAMPLE / max(rows, 1)))
+    total: Counter = Counter()
+    for b in drawn.mapInArrow(count, "w string, n long").toArrow().to_batches():
+        total.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    top = [w for w, _ in total.most_common(FREQUENT)]
     tok = _tools(path, pattern)[0]
     return {w: len(e.ids) for w, e in zip(top, tok.encode_batch_fast(top, add_special_tokens=False))}
 
@@ -99,14 +105,15 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
                 else:
                     n += sum(got)
                 counts.append(n)
-            if misses:
+            if rows:
                 if len(cache) > CACHE:
                     cache.clear()
                     misses = [w for _, own in rows for w in own]
                 new = list(dict.fromkeys(misses))
-                cache.update(zip(new, (len(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False))))
-            for i, own in rows:
-                counts[i] += sum(map(cache.__getitem__, own))
+                here = dict(zip(new, (len(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False))))
+                cache.update((w, n) for w, n in here.items() if len(w) <= LONGEST)
+                for i, own in rows:
+                    counts[i] += sum(here[w] if w in here else cache[w] for w in own)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
         cache.clear()  # an idle worker holds no words
 
