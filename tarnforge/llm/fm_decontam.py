@@ -5,14 +5,21 @@ the benchmark's words; all other words are one separator symbol, and runs of ben
 shorter than the shortest phrase are left out, as no phrase can lie in them. Each phrase
 (a window of ``WINDOW`` words of an item, or the whole of a shorter item) is searched backward
 through the wavelet matrix, its occurrences are located by sampled suffix positions, and the
-words inside are merged to removal spans. All documents are searched, whole, with no shuffle.
+words inside are merged to removal spans. All documents are searched, whole, in one pass with
+no shuffle.
 
-The phrases go to the workers in blocks of at most ``BLOCK_WORDS`` words; a larger benchmark
-makes more passes over the documents, each of which adds to what the last one found.
+The benchmark goes to the workers in blocks of at most ``BLOCK_WORDS`` words and the window's
+overlap. The driver reads it a partition at a time and holds one block; a worker loads one
+block at a time, searches the shard for it and lets it go, so that neither's memory grows with
+the benchmark. The hits of all blocks are joined before anything is cut, and a text that was
+cut is searched again for all blocks: the result does not depend on where blocks begin.
 
 Defined cases: a null or wordless text has no words; null or wordless items have no phrases
-and never occur; equal item ids count once; repeated documents stay repeated; an empty
-benchmark leaves all documents clean; an empty table gives no rows.
+and never occur; equal item ids count once; an item with a null id is searched and hit like
+any other, but is not among the items named; a null document id is kept as it is; repeated
+documents stay repeated; texts of any length are one piece of a shard, which is then as long
+as they are; an empty benchmark leaves all documents clean; an empty table gives no rows;
+other columns, of any name, are ignored by ``find_contamination`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -21,14 +28,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnforge.llm.common import small_batches, table
 from tarnforge.llm.fm_index import FMIndex
 
-WINDOW, SHARD_BYTES, BLOCK_WORDS = 10, 16 << 20, 2_000_000
+WINDOW, SHARD_BYTES, BLOCK_WORDS = 10, 16 << 20, 1_000_000
+_STEP, _NO_PLACE = 1 << 16, np.zeros(0, dtype=np.int64)
 #: A-Z to lower case; bytes that belong to no word to blanks.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -39,67 +47,89 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of items: by length, as symbol arrays, with their items."""
+    """The windows of a block of items: the words as numbers, and by length where windows begin
+    and the items they are of."""
 
-    def __init__(self, items: list[tuple], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.symbols: dict[bytes, int] = {}  # 0 ends a text, 1 separates
-        found: dict[tuple, set] = {}
+        names: dict[str | None, int] = {}
+        words, begins, owners = [], {}, {}
+        at = 0
         for item, text in items:
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(str(item))
-        self.by_length = {}
-        for n in sorted({len(k) for k in found}):
-            keys = [k for k in found if len(k) == n]
-            self.by_length[n] = np.array(keys, dtype=np.int64), [found[k] for k in keys]
+            n = min(len(text), window)
+            if not n:
+                continue
+            words.append(np.fromiter((self.symbols.setdefault(w, len(self.symbols) + 2) for w in text), dtype=np.int32, count=len(text)))
+            begins.setdefault(n, []).append(np.arange(at, at + len(text) - n + 1))
+            owners.setdefault(n, []).append(np.full(len(text) - n + 1, names.setdefault(item, len(names)), dtype=np.int32))
+            at += len(text)
+        self.words = np.concatenate(words) if words else np.zeros(0, dtype=np.int32)
+        self.names = list(names)
+        self.by_length = {n: (np.concatenate(begins[n]), np.concatenate(owners[n])) for n in sorted(begins)}
         self.shortest = min(self.by_length, default=0)
 
+    def patterns(self):
+        """Windows of one length, some at a time: their symbols and their items."""
+        for n, (begins, owners) in self.by_length.items():
+            for k in range(0, len(begins), _STEP):
+                yield n, self.words[begins[k : k + _STEP, None] + np.arange(n)].astype(np.int64), owners[k : k + _STEP]
 
-def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[list[int], list[list[int]], list[set]]:
-    """Of each text: number of words, sorted places of the words that are hit, items found."""
-    counts, flat, owner, place = [], [], [], []
+
+def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[np.ndarray, set[str]]]:
+    """Of each text (its words): sorted places of the words that are hit, items found."""
+    flat, owner, place = [], [], []
     get = phrases.symbols.get
-    for d, text in enumerate(texts):
-        words = words_of(text)
-        counts.append(len(words))
-        if not words or not phrases.by_length:
+    out: list[tuple[np.ndarray, set[str]]] = [(_NO_PLACE, set()) for _ in texts]
+    if not phrases.by_length:
+        return out
+    for d, words in enumerate(texts):
+        if not words:
             continue
-        ids = np.fromiter((get(w, 1) for w in words), dtype=np.int64, count=len(words))
+        ids = np.fromiter((get(w, 1) for w in words), dtype=np.int32, count=len(words))
         known = np.concatenate([[False], ids > 1, [False]])
         begin, end = np.flatnonzero(known[1:] & ~known[:-1]), np.flatnonzero(known[:-1] & ~known[1:])
-        for a, b in zip(begin.tolist(), end.tolist()):
-            if b - a >= phrases.shortest:
-                flat.append(ids[a:b])
-                flat.append(np.ones(1, dtype=np.int64))
-                owner.append(np.full(b - a + 1, d))
-                place.append(np.arange(a, b + 1))
-    hits: list[list[int]] = [[] for _ in texts]
-    items: list[set] = [set() for _ in texts]
+        long_enough = end - begin >= phrases.shortest
+        for a, b in zip(begin[long_enough].tolist(), end[long_enough].tolist()):
+            flat.append(ids[a:b])
+            flat.append(np.ones(1, dtype=np.int32))
+            owner.append(np.full(b - a + 1, d))
+            place.append(np.arange(a, b + 1))
     if not flat:
-        return counts, hits, items
+        return out
     owner, place = np.concatenate(owner), np.concatenate(place)
     index = FMIndex(np.concatenate(flat), len(phrases.symbols) + 2)
     change = np.zeros(index.n + 1, dtype=np.int64)
-    for n, (patterns, of) in phrases.by_length.items():
+    for n, patterns, of in phrases.patterns():
         low, high = index.search(patterns)
         some = np.flatnonzero(high > low)
         at, which = index.locate(low[some], high[some])
         np.add.at(change, at, 1)
         np.add.at(change, at + n, -1)
-        for d, k in set(zip(owner[at].tolist(), some[which].tolist())):
-            items[d] |= of[k]
+        for pair in np.unique(owner[at] * len(phrases.names) + of[some[which]]).tolist():
+            name = phrases.names[pair % len(phrases.names)]
+            if name is not None:
+                out[pair // len(phrases.names)][1].add(name)
     inside = np.flatnonzero(np.cumsum(change)[: len(owner)] > 0)
-    for d, w in zip(owner[inside].tolist(), place[inside].tolist()):
-        hits[d].append(w)
-    return counts, hits, items
+    docs, first = np.unique(owner[inside], return_index=True)
+    for d, w in zip(docs.tolist(), np.split(place[inside], first[1:])):
+        out[d] = w, out[d][1]
+    return out
+
 
+def search_blocks(texts: list[list[bytes]], blocks) -> list[tuple[np.ndarray, set[str]]]:
+    """``search_shard`` of all blocks, joined."""
+    out: list[tuple[np.ndarray, set[str]]] = [(_NO_PLACE, set()) for _ in texts]
+    for phrases in blocks():
+        out = [(np.union1d(a, b) if len(a) and len(b) else a if len(a) else b, x | y) for (a, x), (b, y) in zip(out, search_shard(texts, phrases))]
+    return out
 
-def removal_spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
+
+def removal_spans(text: str, hit) -> list[tuple[int, int]]:
     """Merged byte spans, from the first to the last byte of neighbouring hit words."""
     at = [m.span() for m in _WORD.finditer(text.encode("utf-8", "surrogatepass").translate(_FOLD))]
     spans: list[tuple[int, int]] = []
     last = None
-    for w in hit:
+    for w in map(int, hit):
         if last is not None and w == last + 1:
             spans[-1] = spans[-1][0], at[w][1]
         else:
@@ -116,13 +146,49 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple]]:
-    """Items in blocks of bounded size, read by the driver one after the other."""
-    size = F.expr("coalesce(octet_length(text), 0) div 2 + 1")
-    total = benchmark.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
-    n = int(total // BLOCK_WORDS + 1)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, r.text) for r in benchmark.where(part == k).select("item_id", "text").collect()] for k in range(n)]
+def without_phrases(texts: list[str | None], blocks) -> list[str | None]:
+    """The texts without what lies in phrases; where a cut joins words to a new phrase, it is cut in turn."""
+    out, todo = list(texts), list(range(len(texts)))
+    while todo:
+        found = search_blocks([words_of(out[i]) for i in todo], blocks)
+        todo, hits = [i for i, (h, _) in zip(todo, found) if len(h)], [h for h, _ in found if len(h)]
+        for i, h in zip(todo, hits):
+            out[i] = remove_spans(out[i], removal_spans(out[i], h))
+    return out
+
+
+def item_blocks(benchmark: DataFrame, window: int = WINDOW):
+    """Items as (id, words), in blocks of at most BLOCK_WORDS words and the overlap of windows. A
+    longer item goes on in the next block, from the last window that the one before has not."""
+    block, size = [], 0
+    for r in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
+        words = words_of(r["text"])
+        at = 0
+        while at < len(words):
+            part = words[at : at + max(1, BLOCK_WORDS - size) + window - 1]
+            block.append((r["item"], part))
+            size += len(part)
+            at = len(words) if at + len(part) >= len(words) else at + len(part) - window + 1
+            if size >= BLOCK_WORDS:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block
+
+
+def shared_blocks(benchmark: DataFrame, window: int):
+    """The blocks as broadcasts. What is returned gives them one after the other, in a worker too,
+    which lets each go before it loads the next."""
+    sc = benchmark.sparkSession.sparkContext
+    held = [sc.broadcast(Phrases(b, window)) for b in item_blocks(benchmark, window)]
+
+    def blocks():
+        for b in held:
+            yield b.value
+            if len(held) > 1 and vars(b).get("_path"):
+                vars(b).pop("_value", None)  # it is read again from the executor's own copy of the file
+
+    return blocks
 
 
 def _shards(batches, text: int):
@@ -150,50 +216,36 @@ def _with_columns(run, new: dict, kinds: dict, names: list[str]):
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(doc_id, text)`` to doc_id, text, n_words, hits (places of hit words), items."""
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
-    kinds = {"n_words": pa.int64(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
+    small_batches(docs.sparkSession)
+    blocks = shared_blocks(benchmark, window)
     df = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     names = df.columns
-    out = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Phrases(block, window))
+    kinds = {"n_words": pa.int64(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
 
-        def run(batches, shared=shared):
-            for shard, texts in _shards(batches, 1):
-                counts, hits, items = search_shard(texts, shared.value)
-                old = [x for b in shard for x in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-                new = {"n_words": counts, "hits": [sorted({*(o[0] or ()), *h}) for o, h in zip(old, hits)], "items": [sorted({*(o[1] or ()), *i}) for o, i in zip(old, items)]}
-                yield from _with_columns(shard, new, kinds, names)
+    def run(batches):
+        for shard, texts in _shards(batches, 1):
+            words = [words_of(t) for t in texts]
+            found = search_blocks(words, blocks)
+            yield from _with_columns(shard, {"n_words": [len(w) for w in words], "hits": [h.astype(np.int32) for h, _ in found], "items": [sorted(i) for _, i in found]}, kinds, names)
 
-        df = df.mapInArrow(run, out)
-    return df
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with the removal spans cut from their texts; all columns stay. ``n_chars``, where
-    present, follows the new text. Where a cut joins words to a new phrase, it is cut in turn."""
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
-    names, at = docs.columns, docs.columns.index("text")
-    before = docs.schema
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Phrases(block, window))
-
-        def run(batches, shared=shared):
-            for shard, texts in _shards(batches, at):
-                todo = list(range(len(texts)))
-                while todo:
-                    _, hits, _ = search_shard([texts[i] for i in todo], shared.value)
-                    todo, found = [i for i, h in zip(todo, hits) if h], [h for h in hits if h]
-                    for i, h in zip(todo, found):
-                        texts[i] = remove_spans(texts[i], removal_spans(texts[i], h))
-                yield from _with_columns(shard, {"text": texts}, {"text": pa.string()}, names)
-
-        docs = docs.mapInArrow(run, before)
+    present, follows the new text."""
+    small_batches(docs.sparkSession)
+    blocks = shared_blocks(benchmark, window)
+    names, at, before = docs.columns, docs.columns.index("text"), docs.schema
+
+    def run(batches):
+        for shard, texts in _shards(batches, at):
+            yield from _with_columns(shard, {"text": without_phrases(texts, blocks)}, {"text": pa.string()}, names)
+
+    out = docs.mapInArrow(run, before)
     if "n_chars" in names:
-        docs = docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(before["n_chars"].dataType)))
-    return docs
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(before["n_chars"].dataType)))
+    return out
 
 
 def op5_fm_decontam(spark, sf_dir: str) -> DataFrame:
