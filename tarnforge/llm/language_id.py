@@ -2,14 +2,18 @@
 
 Text is lower-cased; all that is no letter is one boundary character. N-grams of 1 to
 ``MOST_N`` characters are hashed to 2**``BITS`` features. Document frequencies are counted over all
-labelled training documents. The regression is fitted on a bounded sample of them (at most about
-``PER_LANGUAGE`` a language) by follow-the-regularised-leader with a rate for each coordinate and an
-elastic-net penalty, whose L1 part keeps the weights sparse. A part of the sample that is
-not fitted calibrates one temperature. Every whole text is then scored.
-
-Defined cases: a null id is never held out nor learnt from; a text that is null or has no letter is ``und`` with score 0, as are all texts when
-no training row has a language; a single language is predicted with score 1; ties go to
-the first language in sorted order; repeated rows stay repeated; other columns are ignored.
+labelled training documents. The regression is fitted on a bounded sample of them (different
+texts, about ``PER_LANGUAGE`` a language, fewer where that would make more than ``MOST`` in all) by
+follow-the-regularised-leader with a rate for each coordinate and an elastic-net penalty, whose L1
+part keeps the weights sparse. A part of the sample that is not fitted calibrates one
+temperature. Every whole text is then scored. The sample is chosen and ordered by hashes of the
+texts, so that the model does not depend on files, partitions or ids.
+
+Defined cases: a null id is never held out nor learnt from; a text that is null or has no letter is
+``und`` with score 0, as are all texts when no training row has a language; a single language is
+predicted with score 1; ties go to the first language in sorted order; very long texts are counted
+whole, in pieces; repeated rows stay repeated, and count once in the sample; an empty table gives
+no rows; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tarnforge.llm.common import id_crc, small_batches, table
 
-BITS, MOST_N, PER_LANGUAGE, EPOCHS, SEED = 15, 3, 1000, 4, 5
+BITS, MOST_N, PER_LANGUAGE, MOST, EPOCHS, SEED = 15, 3, 1000, 16_000, 4, 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-3
 CHUNK = 1 << 20
 _letters: np.ndarray | None = None
@@ -54,12 +58,13 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(1 << BITS, dtype=np.int64)
     for a in range(0, len(c), CHUNK):
         part = c[a : a + CHUNK + MOST_N - 1]
-        h = np.zeros(len(part), dtype=np.uint32)
+        h, grams = np.zeros(len(part), dtype=np.uint32), []
         for n in range(1, MOST_N + 1):
             h = (h[: len(part) - n + 1] * np.uint32(0x9E3779B1)) ^ (part[n - 1 :] * np.uint32(0x85EBCA6B) + np.uint32(n))
-            own = h[:CHUNK]
-            own = (own ^ (own >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            total += np.bincount(own >> np.uint32(32 - BITS), minlength=1 << BITS)
+            grams.append(h[:CHUNK])
+        own = np.concatenate(grams)
+        own = (own ^ (own >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        total += np.bincount(own >> np.uint32(32 - BITS), minlength=1 << BITS)
     at = np.flatnonzero(total)
     return at, total[at].astype(float)
 
@@ -146,20 +151,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray) -> di
 
 
 def training_sample(docs: DataFrame, lang: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
-    """Features of at most about PER_LANGUAGE documents of each language, chosen by a hash of the id."""
+    """Features of a bounded sample of the different texts of each language, chosen by a hash of the text."""
     sizes = {r[lang]: r["count"] for r in docs.groupBy(lang).count().collect()}
     if not sizes:
         return []
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, int(min(1.0, PER_LANGUAGE / n) * 1e6))])
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share[F.col(lang)])
+    each = min(PER_LANGUAGE, max(1, MOST // len(sizes)))
+    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, each / n))])
+    key = F.xxhash64("text", F.lit(3))
+    chosen = docs.where(F.pmod(key, F.lit(1 << 40)) / float(1 << 40) < share[F.col(lang)])
+    chosen = chosen.groupBy(F.col(lang).alias("lang"), key.alias("key")).agg(F.first("text").alias("text"))  # of equal texts
 
     def run(batches):
         for b in batches:
-            grams = [gram_counts(x.as_py()) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([a.astype("<u2" if BITS <= 16 else "<u4").tobytes() for a, _ in grams], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in grams], pa.binary())], ["lang", "at", "count"])
+            grams = [gram_counts(x.as_py()) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype("<u2" if BITS <= 16 else "<u4").tobytes() for a, _ in grams], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in grams], pa.binary())], ["lang", "key", "at", "count"])
 
-    found = chosen.select("text", F.col(lang).alias("lang")).mapInArrow(run, "lang string, at binary, count binary").limit(2 * PER_LANGUAGE * len(sizes)).collect()
-    return [(np.frombuffer(r["at"], "<u2" if BITS <= 16 else "<u4").astype(np.int64), np.frombuffer(r["count"], "<u4").astype(float), r["lang"]) for r in found]
+    found = chosen.mapInArrow(run, "lang string, key long, at binary, count binary").collect()
+    return [(np.frombuffer(r["at"], "<u2" if BITS <= 16 else "<u4").astype(np.int64), np.frombuffer(r["count"], "<u4").astype(float), r["lang"]) for r in sorted(found, key=lambda r: (r["key"], r["lang"]))]
 
 
 def identify(docs: DataFrame, trained: Column, lang: str = "lang") -> DataFrame:
