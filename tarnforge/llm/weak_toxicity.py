@@ -7,14 +7,19 @@ linear classifier trained on its posterior labels.
    beginning a pattern voter. They say "toxic" or nothing; one more voter says "clean"
    where no feature occurs.
 2. The label model takes each text's true class as hidden. Expectation-maximisation over the
-   votes alone estimates each voter's accuracy. Voters that correlate given the class are
+   votes alone estimates how often each voter speaks in either class, hence its accuracy, and the
+   share of toxic texts; the labels give only where it starts. Voters that correlate given the class are
    no independent evidence: their excess correlations are estimated from the posteriors,
    and a vote counts by 1 / (1 + its correlations with the other votes on the row).
 3. A logistic regression over all features is fitted to the posteriors and scores every text.
 
-Defined cases: a null id is never held out; a null, empty or wordless text is scored by the prior alone; of several labels
-of a document the largest counts; null labels are none; without labels of both
-classes every score is 0; repeated rows stay repeated; other columns are ignored.
+The sample is chosen by a hash of the ids, and equal texts of it count once, in the order of a hash of
+the texts: the model does not depend on files or partitions.
+
+Defined cases: a null id is never held out; a null, empty or wordless text is scored by the prior
+alone; very long texts are read whole; of several labels of a document the largest counts; null
+labels are none; without labels of both classes every score is 0; repeated rows stay repeated; an
+empty table gives no rows; other columns, of any name, are ignored unless they are asked for.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnforge.llm.common import id_crc, small_batches, table
+from tarnforge.llm.common import free_name, id_crc, small_batches, table
 
 MOST, VOTERS, COVER, FEATURES = 2500, 96, 6, 200
 STEMS = (4, 5, 6)
@@ -111,40 +116,40 @@ def induce(sample: list[tuple[str, int]], each: tuple[float, float]) -> tuple[li
     return features, voters, [in1[v] * each[1] / (in1[v] * each[1] + (in0[v] + 0.5) * each[0]) for v in voters]
 
 
-def label_model(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, first: np.ndarray, rate: float, rounds: int = 50) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, first: np.ndarray, rate: float, rounds: int = 100) -> tuple[np.ndarray, dict]:
     """Posterior of the hidden class by expectation-maximisation.
 
     ``votes``: rows by voters, 1 where a voter speaks; ``toxic``: for which class each voter
-    speaks. A silent voter is no evidence. A speaking one is right with its accuracy, so its
-    evidence is the log odds of that beyond those of the class; votes that correlate with
-    others cast on the same row share their weight. ``first`` holds the accuracies and ``rate``
-    the share of toxic rows to begin with, which also count as much as the votes do: so the
-    hidden class keeps its meaning where there are few votes.
+    speaks. A voter has a rate of speaking in either class, so that its voice and its silence
+    are evidence; votes that correlate with others cast on the same row share their weight.
+    ``first`` holds the accuracies (how often a voter that speaks is right) and ``rate`` the share of
+    toxic rows before the first expectation; after it all rates come from the votes.
     """
     v = votes.astype(float)
-    side = np.where(toxic, 1.0, -1.0)
-    q = np.where(v[:, toxic].sum(axis=1) > 0, 0.98, 0.02)
-    right, prior, share = np.asarray(first), rate, np.zeros((v.shape[1],) * 2)
+    whole, spoke = weight.sum(), weight @ v
+    for_toxic = np.where(toxic, first, 1 - np.asarray(first))
+    prior, share, q = rate, np.zeros((v.shape[1],) * 2), None
+    in_toxic, in_clean = for_toxic * spoke / (rate * whole), (1 - for_toxic) * spoke / ((1 - rate) * whole)
     for _ in range(rounds):
-        p, n = weight * q, weight * (1 - q)
-        prior = float(np.clip((p.sum() / weight.sum() + rate) / 2, 1e-3, 1 - 1e-3))
-        spoke = weight @ v
-        right = np.clip(((np.where(toxic, p @ v, n @ v) + 0.9) / (spoke + 1) + first) / 2, 0.05, 0.9995)
+        a, b = np.clip(in_toxic, 1e-4, 1 - 1e-4), np.clip(in_clean, 1e-4, 1 - 1e-4)
+        alone = v / (1 + v @ np.clip(share, 0, 1))
+        z = np.log(prior / (1 - prior)) + alone @ np.log(a / b) + (1 - v) @ np.log((1 - a) / (1 - b))
+        new = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        done = q is not None and np.abs(new - q).max() < 1e-7
+        q = new
+        if done:
+            break
+        p, n, one = weight * q, weight * (1 - q), weight.mean()  # of half a row more, voice and silence each
+        prior = float(np.clip(p.sum() / whole, 1e-3, 1 - 1e-3))
+        in_toxic, in_clean = (p @ v + one / 2) / (p.sum() + one), (n @ v + one / 2) / (n.sum() + one)
         share[:] = 0
         for w, own in ((p, toxic), (n, ~toxic)):  # excess correlations in the class they speak for
             m = w @ v / max(w.sum(), 1e-9)
             d = (v - m) / np.sqrt(np.maximum(m * (1 - m), 1e-6))
             share += (d * w[:, None]).T @ d / max(w.sum(), 1e-9) * np.outer(own, own)
         np.fill_diagonal(share, 0)
-        alone = v / (1 + v @ np.clip(share, 0, 1))
-        odds = np.log(prior / (1 - prior))
-        z = odds + alone @ (side * np.log(right / (1 - right)) - odds)
-        new = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        done = np.abs(new - q).max() < 1e-7
-        q = new
-        if done:
-            break
-    return q, {"prior": prior, "accuracy": right, "correlation": share}
+    right = prior * in_toxic / (prior * in_toxic + (1 - prior) * in_clean)
+    return q, {"prior": prior, "accuracy": np.clip(np.where(toxic, right, 1 - right), 1e-4, 1 - 1e-4), "correlation": share}
 
 
 def fit_linear(x: np.ndarray, q: np.ndarray, weight: np.ndarray, steps: int = 1500, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -215,21 +220,24 @@ def by_length(model: dict) -> dict[int, dict[str, float]]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, trained: Column) -> list[tuple[str, int, float, list[int]]]:
-    """Words, label, weight and sketch of at most about ``MOST`` rows of each class, chosen by a hash of the id."""
+    """Words, label, weight and sketch of about ``MOST`` labelled ids of each class, chosen by a hash of
+    the id; equal texts count once. In the order of a hash of the texts."""
     y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(trained).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in y.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
     if len(n) < 2:
         return []
     share = {c: min(1.0, MOST / k) for c, k in n.items()}
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000))
-    chosen = y.where(F.when(F.col("toxic") == 1, part < int(share[1] * 1e6)).otherwise((F.col("toxic") == 0) & (part < int(share[0] * 1e6)))).limit(4 * MOST)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
+    chosen = y.where("toxic IN (0, 1)").where(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    key = F.xxhash64("text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy(key.alias("key"), F.col("toxic").cast("int").alias("toxic")).agg(F.first("text").alias("text"))
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(tokens(x.as_py()))) for x in b.column(0)], pa.string()), b.column(1), pa.array([sketch(x.as_py()) for x in b.column(0)], pa.list_(pa.int64()))], ["words", "toxic", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(sorted(tokens(x.as_py()))) for x in b.column(2)], pa.string()), b.column(1), pa.array([sketch(x.as_py()) for x in b.column(2)], pa.list_(pa.int64()))], ["key", "words", "toxic", "marks"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "words string, toxic int, marks array<long>").limit(4 * MOST).collect()
-    return [(r.words, r.toxic, 1 / share[r.toxic], r.marks) for r in rows]
+    found = rows.mapInArrow(run, "key long, words string, toxic int, marks array<long>").collect()
+    return [(r.words, r.toxic, 1 / share[r.toxic], r.marks) for r in sorted(found, key=lambda r: (r.key, r.toxic))]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, trained: Column | None = None, keep: list[str] | None = None, name: str = "score") -> DataFrame:
@@ -247,7 +255,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trained: Column | None =
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*keep, name])
 
     keep = keep or ["doc_id"]
-    rows = docs.select(F.col("text").alias("_text"), *keep)
+    rows = docs.select(F.col("text").alias(free_name(keep, "_text")), *keep)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField(name, T.DoubleType())]))
 
 
