@@ -3,13 +3,18 @@
 Rule statistics of every whole text are computed once and checkpointed; everything after
 reads that small table. The forest is fitted on a bounded sample (``SAMPLE``) of labelled
 good rows: each tree isolates ``PER_TREE`` of them by random splits, and a short mean path
-marks a document unlike them. The threshold is calibrated on all labelled rows: of the
+marks a document unlike them. A split is drawn from the span of the node's rows widened by
+``MARGIN`` spans on both sides, so that many splits lie where no sampled row is and cut off
+what lies beyond; splits within the span alone would hold a document far outside for as
+usual as the outermost sampled one. The threshold is calibrated on all labelled rows: of the
 score bins that lose at most ``MAX_LOSS`` of the good rows, the one that rejects most bad
 rows. Without usable labels nothing but the base rules rejects.
 
-Defined cases: a null text has no words; repeated rows stay repeated; a document with
+Defined cases: a null text has no words; texts of any length are counted whole; a null id is
+judged like any other and never labelled; repeated rows stay repeated; a document with
 several labels counts as good only if all say so; an empty table gives no rows; rows
-labelled null are unlabelled; other columns are ignored.
+labelled null are unlabelled; other columns, of any name, are ignored by ``judge_quality`` and
+kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -22,10 +27,13 @@ from pyspark.sql import types as T
 
 from tarnforge.llm.common import cut, small_batches, table
 
-SAMPLE, TREES, PER_TREE, MAX_LOSS, BINS, SEED = 4096, 128, 256, 0.002, 4000, 11
+SAMPLE, TREES, PER_TREE, MARGIN, DEEPEST, MAX_LOSS, BINS, SEED = 4096, 128, 256, 4.0, 64, 0.002, 4000, 11
+#: Labelled ids that are broadcast at most; beyond, ``keep_good`` reads the statistics of all documents.
+FEW = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_distinct", "n_upper", "n_other", "n_digits", "n_twice"]
+_ROWS = 2048
 _UPPER = bytes(i for i in range(65, 91))
 _DIGIT = bytes(range(48, 58))
 _OTHER = bytes(i for i in range(33, 127) if not chr(i).isalnum() and i not in b".,")
@@ -103,16 +111,16 @@ def fit_forest(x: np.ndarray, seed: int = SEED) -> dict:
     """Trees as arrays: ``feature`` (-1: a leaf), ``split``, ``left``, ``right``, ``depth``."""
     rng, nodes, roots = np.random.default_rng(seed), [], []
     size = min(PER_TREE, len(x))
-    most = max(1, int(np.ceil(np.log2(max(size, 2)))) + 2)
 
     def grow(rows: np.ndarray, depth: int) -> int:
         at = len(nodes)
         nodes.append([-1, 0.0, 0, 0, depth + _mean_path(len(rows))])
         low, high = rows.min(axis=0), rows.max(axis=0)
         open_ = np.flatnonzero(high > low)
-        if len(rows) > 1 and depth < most and len(open_):
+        if len(rows) > 1 and depth < DEEPEST and len(open_):
             f = int(rng.choice(open_))
-            v = rng.uniform(low[f], high[f])
+            beyond = MARGIN * (high[f] - low[f])
+            v = rng.uniform(low[f] - beyond, high[f] + beyond)
             go = rows[:, f] < v
             nodes[at][:2] = [f, v]
             nodes[at][2] = grow(rows[go], depth + 1) if go.any() else _leaf(nodes, depth + 1)
@@ -122,7 +130,8 @@ def fit_forest(x: np.ndarray, seed: int = SEED) -> dict:
     for _ in range(TREES):
         roots.append(grow(x[rng.choice(len(x), size, replace=False)], 0))
     a = np.array(nodes, dtype=float)
-    return {"roots": np.array(roots), "feature": a[:, 0].astype(int), "split": a[:, 1], "left": a[:, 2].astype(int), "right": a[:, 3].astype(int), "depth": a[:, 4], "norm": _mean_path(size), "low": x.min(axis=0), "high": x.max(axis=0)}
+    # Of the splits of a widened span, one in 1 + 2 * MARGIN parts rows; paths are that much longer.
+    return {"roots": np.array(roots), "feature": a[:, 0].astype(int), "split": a[:, 1], "left": a[:, 2].astype(int), "right": a[:, 3].astype(int), "depth": a[:, 4], "norm": _mean_path(size) * (1 + 2 * MARGIN)}
 
 
 def _leaf(nodes: list, depth: int) -> int:
@@ -136,31 +145,32 @@ def _mean_path(n: int) -> float:
 
 
 def score_forest(forest: dict, x: np.ndarray) -> np.ndarray:
-    """Anomaly, 0 to 1. A value outside what the sample spans also shortens its path: random
-    splits extended over the point's own range would cut it off at once."""
-    total = np.zeros(len(x))
-    span = np.maximum(forest["high"] - forest["low"], 1e-3)
-    beyond = (np.maximum(forest["low"] - x, 0) + np.maximum(x - forest["high"], 0)) / span
-    keep = np.prod(1 / (1 + beyond), axis=1)  # chance that no extended split cuts the point off
-    for root in forest["roots"]:
-        at = np.full(len(x), root)
-        while True:
-            f = forest["feature"][at]
+    """Anomaly, 0 to 1, from the mean path length. All trees at once, some rows at a time."""
+    trees = len(forest["roots"])
+    out = np.zeros(len(x))
+    for k in range(0, len(x), _ROWS):
+        part = x[k : k + _ROWS]
+        at, live = np.tile(forest["roots"], len(part)), np.arange(len(part) * trees)
+        while len(live):
+            node = at[live]
+            f = forest["feature"][node]
             inner = f >= 0
-            if not inner.any():
-                break
-            go = x[np.arange(len(x)), np.maximum(f, 0)] < forest["split"][at]
-            at = np.where(inner, np.where(go, forest["left"][at], forest["right"][at]), at)
-        total += 1 + (forest["depth"][at] - 1) * keep
-    return 2.0 ** (-total / len(forest["roots"]) / max(forest["norm"], 1e-9))
+            live, node, f = live[inner], node[inner], f[inner]
+            at[live] = np.where(part[live // trees, f] < forest["split"][node], forest["left"][node], forest["right"][node])
+        out[k : k + _ROWS] = forest["depth"][at].reshape(len(part), trees).mean(axis=1)
+    return 2.0 ** (-out / max(forest["norm"], 1e-9))
+
+
+def labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and quality: 1 where all labels of an id are."""
+    return labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame) -> tuple[dict, float] | None:
     """Forest and limit from the statistics of all documents and the labels; None without good rows."""
-    spark = stats.sparkSession
-    good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    good = labelled(labels)
     sample = stats.join(good.where("quality = 1"), "doc_id", "left_semi").where(~base_failed())
-    rows = sample.orderBy(F.xxhash64("doc_id"), *BASE).limit(SAMPLE).select(*BASE, *MORE).collect()
+    rows = sample.orderBy(F.xxhash64("doc_id"), *BASE, *MORE).limit(SAMPLE).select(*BASE, *MORE).collect()
     if len(rows) < 2:
         return None
     forest = fit_forest(features(np.array(rows)))
@@ -194,8 +204,13 @@ def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that neither a base rule nor the forest rejects, with all columns. The verdict is
-    made where the text is, so that no text is shuffled."""
-    fitted = fit_quality(cut(document_statistics(docs)), labels)
+    made where the text is, so that no text is shuffled; of the fit, only the statistics of labelled
+    documents are needed."""
+    ids = cut(labelled(labels).select("doc_id"))
+    known = docs.select("doc_id", "text")
+    if ids.count() <= FEW:
+        known = known.join(F.broadcast(ids), "doc_id", "left_semi")
+    fitted = fit_quality(cut(document_statistics(known)), labels)
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
     at = docs.columns.index("text")
 
