@@ -1,7 +1,8 @@
 """URL filters (native): a sort-merge range join of urls with nested prefix rules.
 
 A rule (host, path prefix) has the canonical key: its host's labels reversed and each
-followed by a dot, then the path; ``example.com`` with ``/en/`` is ``com.example./en/``. The
+followed by a dot, a slash, which no host has, and the path; ``example.com`` with ``/en/`` is
+``com.example.//en/``, and with ``en``, which fits no path of a url, ``com.example./en``. The
 keys with that prefix form one interval. A url has one probe for each suffix of its host,
 so that a rule for a host fits the host's subdomains too.
 
@@ -16,8 +17,9 @@ Only distinct (host, path) pairs are probed, so that a hot url costs one probe,
 range partitioning is by key and pair, so that a hot host is split.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and gets the
-default verdict; rules with equal keys: the smallest (verdict, rule) stays; repeated rows
-stay repeated; no rules or no urls are fine; other columns are ignored.
+default verdict; rules with equal keys: the smallest (verdict, rule) stays; a rule with a null host
+or path is none, one with an empty path fits all paths; very long urls are whole keys; null ids and
+repeated rows stay as they are; no rules or no urls are fine; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,13 +47,13 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def _key(labels: Column, n: Column, path: Column) -> Column:
-    return F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit("."), path)
+    return F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit("./"), path)
 
 
 def _events(rules: DataFrame) -> DataFrame:
     """Start and end events. ``rules``: verdict, host, path."""
     labels = F.reverse(F.split("host", r"\."))
-    r = rules.select(_key(labels, F.size(labels), F.col("path")).alias("k"), F.struct("verdict", F.concat("host", "path").alias("rule")).alias("top"))
+    r = rules.where("host IS NOT NULL AND path IS NOT NULL").select(_key(labels, F.size(labels), F.col("path")).alias("k"), F.struct("verdict", F.concat("host", "path").alias("rule")).alias("top"))
     r = r.groupBy("k").agg(F.min("top").alias("top"))
     over = r.select("k", F.explode_outer(F.when(F.length("k") > 1, F.sequence(F.lit(1), F.length("k") - 1))).alias("n"))
     over = over.select("k", F.substr("k", F.lit(1), "n").alias("up"))
@@ -93,7 +95,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
 
 
 def op3_url_rules(spark, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    values = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in RULES)  # a relation of literals, without Python
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(verdict, host, path)")
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
