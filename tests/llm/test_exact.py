@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tarnforge.llm import bpe_fold, chat_format, fm_decontam, golay_dedup, hilbert_shards, quality_forest, registry, token_counts, url_rules
+from tarnforge.llm import bpe_fold, chat_format, fm_decontam, golay_dedup, hilbert_shards, near_copies, quality_forest, registry, token_counts, url_rules
 from tarnforge.llm.fm_index import FMIndex, suffix_array
 from tarnforge.llm.golay import Decoder, codewords
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-ITEMS = [(1, "One two three four five six seven eight nine ten eleven twelve"), (2, "rare-word"), (3, None), (4, "..."), (2, "rare-word"), (5, "ten eleven twelve thirteen x y z a b c d")]
+ITEMS = [(1, "One two three four five six seven eight nine ten eleven twelve"), (2, "rare-word"), (3, None), (4, "..."), (2, "rare-word"), (5, "ten eleven twelve thirteen x y z a b c d"), (None, "two\ntwo two")]
 DOCS = [
     (1, "One two, three four five six seven eight nine ten eleven twelve, and then some more words follow here."),
     (2, None), (3, ""), (4, " \t\n "), (5, "rare word RARE\u2019WORD rare, word"), (6, "Ünïcode ñandú 漢字 \x85 \x1c x"), (6, "Ünïcode ñandú 漢字 \x85 \x1c x"),
@@ -113,6 +113,34 @@ def test_shards_of_a_hot_value(spark):
     assert out.select("shard", "slot").distinct().count() == 2000
 
 
+def test_shards_of_strings_with_a_long_common_beginning(spark):
+    """Whole values are compared, so the dimension prunes: each shard has a narrow range of it."""
+    rng = random.Random(11)
+    names = [f"https://www.example.org/{k:03d}/\u00e9" for k in range(64)]
+    data = [(i, rng.choice(names), rng.randrange(10**6)) for i in range(4000)] + [(5000, None, 1), (5001, None, 2)]
+    df = spark.createDataFrame(data, "id long, s string, size long").withColumn("upto", F.lit(1))
+    bounds = hilbert_shards.string_bounds(df, "s", 32)
+    ordered = sorted(s for _, s, _ in data if s is not None)
+    assert bounds == [ordered[-(-i * len(ordered) // 32) - 1] for i in range(1, 32)]
+    out = hilbert_shards.hilbert_shards(df, {"s": "string", "size": "long"}, ["id"], 16).cache()
+    assert out.where("s = 'x'").count() == 0 and set(out.columns) == {*df.columns, "curve_place", "shard", "slot"}
+    found = hilbert_shards.shard_manifest(out, ["s", "size"]).collect()
+    assert sum(r.rows for r in found) == len(data)
+    within = lambda c, r: np.mean([x is not None and r[f"min_{c}"] <= x <= r[f"max_{c}"] for x in ([s for _, s, _ in data] if c == "s" else [z for _, _, z in data])])
+    for r in found:  # what the manifest says holds for each row of the shard
+        own = out.where(F.col("shard") == r.shard).agg(F.min("s").alias("a"), F.max("s").alias("b"), F.min("size").alias("c"), F.max("size").alias("d")).first()
+        assert (own.a, own.b, own.c, own.d) == (r.min_s, r.max_s, r.min_size, r.max_size)
+    assert all(np.mean([within(c, r) for r in found]) < 0.45 for c in ("s", "size"))  # a reader skips more than half by either
+
+
+def test_copies_of_a_cell_are_neighbours(spark, tmp_path):
+    rows = [(i, f"text {i % 40}", "en", "s") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(registry.queries()["op2_hilbert_shards"](spark, str(tmp_path)).collect(), key=lambda r: (r.shard, r.slot))
+    changes = sum(a.text_crc32 != b.text_crc32 for a, b in zip(got, got[1:]))
+    assert changes == 39
+
+
 # ---- url rules
 
 
@@ -121,11 +149,14 @@ def test_url_rules(spark):
     labels, parts = ["com", "a", "b", "example", "A", ""], ["/en/", "/en/7", "/de/", "/en/70/x", "", "/e"]
     rule = lambda: (rng.choice(["block", "allow"]), ".".join(rng.choices(labels[:4], k=rng.randint(1, 3))), rng.choice(parts))
     rules = {(h, p): (v, h, p) for v, h, p in (rule() for _ in range(60))}
+    rules |= {("com", "e"): ("block", "com", "e"), ("com", "example"): ("block", "com", "example"), ("a.com", "/de/" + "x" * 3000): ("block", "a.com", "/de/" + "x" * 3000)}
     urls = [None, "", "no scheme", "http://", "http://?x", "s://a.com#f", "x://com", "http://EXAMPLE.com/en/7?y#z", "://a.b", "http://com./en/"]
+    urls += ["http://example.com/x", "http://com/example", "s://a.com/de/" + "x" * 100_000]
     urls += [f"http://{'.'.join(rng.choices(labels, k=rng.randint(1, 5)))}{rng.choice(parts)}{rng.choice(['', '?q', '#f', 'tail'])}" for _ in range(400)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit(1))
     pages = pages.union(pages.where("page_id < 20")).repartition(5)
-    got = url_rules.filter_urls(pages, spark.createDataFrame(list(rules.values()), "verdict string, host string, path string"), "undecided")
+    none = [("block", None, "/en/"), ("block", "com", None)]
+    got = url_rules.filter_urls(pages, spark.createDataFrame([*rules.values(), *none], "verdict string, host string, path string"), "undecided")
     out = rows(got)
     assert len(out) == len(urls) + 20
     for r in out:
@@ -195,7 +226,7 @@ def windows():
     for i, t in ITEMS:
         w = WORD.findall((t or "").translate(UP))
         for k in range(max(1, len(w) - 9) if w else 0):
-            out.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+            out.setdefault(tuple(w[k : k + 10]), set()).update([] if i is None else [str(i)])
     return out
 
 
@@ -209,9 +240,9 @@ def plain_hits(text):
     return len(w), hit, items
 
 
-@pytest.mark.parametrize("block", [None, 12])
+@pytest.mark.parametrize("block", [None, 12, 1])
 def test_decontamination(spark, folder, monkeypatch, block):
-    if block:  # several passes over the documents
+    if block:  # several blocks, and items that go on in the next one
         monkeypatch.setattr(fm_decontam, "BLOCK_WORDS", block)
     for r in rows(registry.queries()["op5_fm_decontam"](spark, folder)):
         n, hit, items = plain_hits(next(t for i, t in DOCS if i == r["doc_id"]))
@@ -232,6 +263,53 @@ def test_removal_leaves_no_phrase(spark, folder):
             assert r["n_chars"] == len(r["text"]) < len(before)
 
 
+def cut_plainly(text, items):
+    """All words in a window are cut at once, again and again until none is left."""
+    windows = {tuple(w[k : k + 10]) for t in items if (w := WORD.findall(t.translate(UP))) for k in range(max(1, len(w) - 9))}
+    while True:
+        found = list(WORD.finditer(text.translate(UP)))
+        w = [m[0] for m in found]
+        hit = sorted({j for p in windows for k in range(len(w) - len(p) + 1) if tuple(w[k : k + len(p)]) == p for j in range(k, k + len(p))})
+        if not hit:
+            return text
+        spans = []
+        for j in hit:
+            if spans and spans[-1][2] == j - 1:
+                spans[-1] = (spans[-1][0], found[j].end(), j)
+            else:
+                spans.append((found[j].start(), found[j].end(), j))
+        for a, b, _ in reversed(spans):
+            text = text[:a] + text[b:]
+
+
+def phrase(name, n=10):
+    return [f"{name}{i}" for i in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("block", [10**6, 10, 3])
+def test_a_cut_that_joins_a_phrase_of_another_block(spark, monkeypatch, block):
+    monkeypatch.setattr(fm_decontam, "BLOCK_WORDS", block)
+    a, b, c = phrase("a"), phrase("b"), phrase("c", 25)
+    items = [" ".join(x) for x in (a, b, c)] + ["short item", ""]
+    texts = [" ".join(x) for x in (["start", *a[:5], *b, *a[5:], "end"], ["start", *b[:3], *a[:5], *c[4:20], *a[5:], *b[3:], "end"], [*c[:9], *c[15:], "short", *a, "item"], ["clean", *a[:9]])] + [None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert len(list(fm_decontam.item_blocks(bench))) == {10**6: 1, 10: 5, 3: 9}.get(block)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.text for r in fm_decontam.decontaminate(docs, bench).collect()}
+    assert got == {i: None if t is None else cut_plainly(t, items) for i, t in enumerate(texts)}
+    assert got[0].split() == ["start", "end"] and got[1].split() == ["start", "end"]
+
+
+def test_a_block_is_bounded_whatever_the_items(spark, monkeypatch):
+    monkeypatch.setattr(fm_decontam, "BLOCK_WORDS", 50)
+    rng = random.Random(2)
+    items = [" ".join(rng.choices("abcdefg", k=rng.choice([0, 3, 9, 10, 11, 200, 400]))) for _ in range(12)]
+    blocks = list(fm_decontam.item_blocks(spark.createDataFrame(list(enumerate(items)), "item_id long, text string")))
+    assert all(sum(len(w) for _, w in b) <= 50 + 9 for b in blocks) and len(blocks) >= 10
+    own = {(i, tuple(w[k : k + min(10, len(w))])) for i, t in enumerate(items) for w in [t.split()] for k in range(max(1, len(w) - 9)) if w}
+    assert {(int(i), tuple(x.decode() for x in w[k : k + min(10, len(w))])) for b in blocks for i, w in b for k in range(max(1, len(w) - 9))} == own
+
+
 # ---- chat
 
 
@@ -313,6 +391,33 @@ def test_token_counts_with_tiny_tiers(spark, folder, monkeypatch):
     test_token_counts(spark, folder)
 
 
+def test_token_counts_move_no_words(spark, folder, monkeypatch):
+    """Nothing of the lookup is shuffled, and the sample that fills the table is added up on the driver."""
+    import contextlib
+    import io
+
+    from pyspark.sql import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("a shuffle")
+
+    for name in ("groupBy", "orderBy", "distinct", "repartition", "join", "limit"):
+        monkeypatch.setattr(type(spark.range(0)), name, refuse)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        token_counts.count_tokens(docs, public.path("byte_bpe_50k.json"), public.PATTERN).explain()
+    assert isinstance(docs, DataFrame) and "Exchange" not in out.getvalue() and "MapInArrow" in out.getvalue()
+
+
+def test_the_sample_of_the_table_is_bounded(spark, monkeypatch):
+    """Also where one text and one id have all rows."""
+    monkeypatch.setattr(token_counts, "SAMPLE", 50)
+    docs = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit("hot text here").alias("text"))
+    got = token_counts.frequent_lengths(docs, public.path("byte_bpe_50k.json"), public.PATTERN)
+    assert set(got) == {"hot", " text", " here"} and 10 <= docs.where(F.rand(token_counts.SEED) < 50 / 5000).count() <= 100
+
+
 # ---- near copies
 
 
@@ -439,3 +544,51 @@ def test_pipeline_near_copies_by_brute_force(spark):
     want = Counter((None if n else d) for n, d, _ in (min(v, key=lambda r: r[:2]) for v in want.values()))
     got = Counter(r["doc_id"] for r in rows(corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")))
     assert got == want
+
+
+def test_golay_candidates_of_five_word_fingerprints(spark):
+    """The first source of candidates: all pairs of three or fewer bits, by one node of each fingerprint."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    docs = []
+    for g in range(12):
+        base = rng.choices(words, k=250)
+        for k in range(8):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            docs.append((g * 10 + k, " ".join(w)))
+    marked = near_copies.marks(spark.createDataFrame(docs, "doc_id long, text string"))
+    nodes = marked.groupBy("fp").agg(F.any_value("sim").alias("sim"))
+    sims = {r.fp: r.sim % 2**64 for r in nodes.collect()}
+    assert all(sims[near_copies.node_of(g)] == golay_dedup.simhash(g) for _, t in docs for g in [near_copies.shingle_set(t)])
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in near_copies.fingerprint_pairs(nodes).collect()}
+    first = {s: min(f for f in sims if sims[f] == s) for s in sims.values()}
+    want = {(min(a, b), max(a, b)) for a in first.values() for b in first.values() if a < b and (sims[a] ^ sims[b]).bit_count() <= 3}
+    want |= {(first[s], f) for f, s in sims.items() if f != first[s]}
+    assert got == want and len(want) > 20
+
+
+def test_both_ways_to_find_the_texts_of_candidates(spark, monkeypatch):
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    base = rng.choices(words, k=120)
+    docs = [(0, None), (1, ""), (2, "")]
+    for k in range(3, 40):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        docs.append((k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(r.doc_id for r in near_copies.deduplicate(df).collect())
+    monkeypatch.setattr(near_copies, "FEW", 0)
+    assert sorted(r.doc_id for r in near_copies.deduplicate(df).collect()) == one and len(one) < 30
+
+
+def test_clashing_columns_stay(spark):
+    names = ["_text", "_key", "root", "fp", "hash", "sim", "n", "odd", "bands", "component_id", "key", "a", "b", "pivot"]
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words"), (None, None)], "doc_id long, text string").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for f in (golay_dedup.deduplicate, near_copies.deduplicate):
+        got = f(df)
+        assert got.columns == df.columns
+        assert {(r.doc_id, r._text, r.root) for r in got.collect()} == {(1, "_text1", "root1"), (3, "_text3", "root3"), (None, None, None)}

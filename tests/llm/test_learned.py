@@ -1,14 +1,18 @@
-"""Operators that learn: held-out accuracy, calibration, and the pipeline against a plain version."""
+"""Operators that learn: held-out accuracy, calibration, plain versions of each, and the pipeline."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnforge.llm import fm_decontam, language_id, quality_forest, registry, weak_toxicity
-from tests.llm.test_exact import plain_components, plain_fingerprint
+from tarnforge.llm import language_id, quality_forest, registry, weak_toxicity
+from tests.llm.test_exact import cut_plainly, plain_shingles, plain_statistics
 
 SYLLABLES = {"aa": ["th", "ing", "er", "wh", "ou", "nd"], "bb": ["eau", "que", "ç", "oi", "re", "ment"], "cc": ["sch", "ung", "ei", "ü", "ver", "keit"]}
 INSULTS = ["zogbrat", "mufflon", "grindel", "sklaw"]
@@ -133,29 +137,349 @@ def test_label_model_finds_accuracies():
     assert np.mean((q > 0.5) == y) > 0.9 and found["accuracy"][0] > found["accuracy"][2]
 
 
+# ---- plain versions
+
+
+def plain_grams(text):
+    """Features of one text, letter by letter."""
+    c = []
+    for x in (text or "").lower():
+        if x.isalpha():
+            c.append(ord(x))
+        elif not c or c[-1]:
+            c.append(0)
+    if not any(c):
+        return {}
+    c = ([0] if c[0] else []) + c + ([0] if c[-1] else [])
+    out = Counter()
+    for i in range(len(c)):
+        h = 0
+        for n in range(1, 4):
+            if i + n > len(c):
+                break
+            h = ((h * 0x9E3779B1) ^ (c[i + n - 1] * 0x85EBCA6B + n)) % 2**32
+            out[(((h ^ (h >> 15)) * 0x2C1B3C6D) % 2**32) >> 17] += 1
+    return dict(out)
+
+
+def plain_vector(grams, idf):
+    x = {f: n * idf(f) for f, n in grams.items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    return {f: v / norm for f, v in x.items()}
+
+
+def plain_softmax(z):
+    e = [math.exp(v - max(z)) for v in z]
+    return [v / sum(e) for v in e]
+
+
+def test_language_against_a_plain_version(spark):
+    """Counts, follow-the-regularised-leader and temperature by loops over numbers."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(word(rng, lang) for _ in range(rng.randint(3, 8))) + rng.choice(["", "!", " 12 X"]), lang) for i, lang in enumerate(rng.choices(list(SYLLABLES), k=60))]
+    docs += [(60, docs[0][1], docs[0][2]), (61, None, "aa"), (62, "12", "bb"), (63, docs[1][1], None), (None, "the", "cc")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(df, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2).collect()}
+    known = [(t, lang) for i, t, lang in docs if lang is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    df_ = Counter(f for t, _ in known for f in plain_grams(t))
+    idf = lambda f: math.log((1 + len(known)) / (1 + df_[f])) + 1
+    keys = {(r.text, r.lang): r.k for r in df.select("text", "lang", F.xxhash64("text", F.lit(3)).alias("k")).collect()}
+    sample = [s for s in sorted(set(known), key=lambda s: (keys[s], s[1])) if plain_grams(s[0])]
+    names = sorted({lang for _, lang in sample})
+    data = [(plain_vector(plain_grams(t), idf), names.index(lang)) for t, lang in sample]
+    draw = np.random.default_rng(language_id.SEED)
+    held = sorted(draw.permutation(len(data))[: len(data) // 5].tolist())
+    z, n = {}, {}
+
+    def weight(f, k):
+        a = z.get((f, k), 0.0)
+        return 0.0 if abs(a) <= language_id.L1 else -(a - math.copysign(language_id.L1, a)) / ((language_id.BETA + math.sqrt(n.get((f, k), 0.0))) / language_id.ALPHA + language_id.L2)
+
+    for _ in range(language_id.EPOCHS):
+        for i in draw.permutation(len(data)).tolist():
+            if i in held:
+                continue
+            x, y = data[i]
+            w = {(f, k): weight(f, k) for f in x for k in range(len(names))}
+            p = plain_softmax([sum(v * w[f, k] for f, v in x.items()) for k in range(len(names))])
+            for (f, k), old in w.items():
+                g, before = x[f] * (p[k] - (k == y)), n.get((f, k), 0.0)
+                z[f, k] = z.get((f, k), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / language_id.ALPHA * old
+                n[f, k] = before + g * g
+    logits = lambda x: [sum(v * weight(f, k) for f, v in x.items()) for k in range(len(names))]
+    loss = lambda t: -sum(math.log(plain_softmax([v / t for v in logits(data[i][0])])[data[i][1]] + 1e-12) for i in held)
+    low, high = math.log(0.02), math.log(20.0)
+    for _ in range(80):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if loss(math.exp(a)) < loss(math.exp(b)) else (a, high)
+    heat = math.exp((low + high) / 2)
+    for i, t, _ in docs:
+        grams = plain_grams(t)
+        p = plain_softmax([v / heat for v in logits(plain_vector(grams, idf))]) if grams else None
+        assert (got[i].lang_pred, got[i].score) == ("und", 0.0) if p is None else got[i].lang_pred == names[p.index(max(p))] and abs(got[i].score - max(p)) < 2e-3, (i, t)
+
+
+def test_quality_against_a_plain_version(spark, folder):
+    """Statistics, paths one row and tree at a time, and the limit by trying every one."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    _, quality, _, _ = truth()
+    got = {r.doc_id: r for r in registry.queries()["op4_quality_forest"](spark, folder).collect()}
+    stats = quality_forest.document_statistics(spark.read.parquet(f"{folder}/documents.parquet"))
+    forest, limit = quality_forest.fit_quality(stats, spark.read.parquet(f"{folder}/labels.parquet"))
+
+    def path(x, at, depth):
+        f = forest["feature"][at]
+        if f < 0:
+            return forest["depth"][at]
+        return path(x, forest["left"][at] if x[f] < forest["split"][at] else forest["right"][at], depth + 1)
+
+    def anomaly(text):
+        w = text.split()
+        lines = [x for x in text.split("\n") if x.strip()]
+        n, chars, symbols, dup, repeat = plain_statistics(text)
+        rates = [
+            chars / n, symbols / n, dup / len(lines), repeat / n, min(n / len(lines), 200), sum("A" <= x <= "Z" for x in text) / chars,
+            sum("!" <= x <= "~" and not x.isalnum() and x not in ".," for x in text) / n, sum("0" <= x <= "9" for x in text) / chars, sum(a == b for a, b in zip(w, w[1:])) / n,
+        ]
+        return 2 ** (-np.mean([path(rates, r, 0) for r in forest["roots"]]) / forest["norm"])
+
+    some = sorted(i for i in got if not got[i].base_failed)[::9]
+    assert all(abs(got[i].anomaly - anomaly(docs[i])) < 1e-9 for i in some) and len(some) > 80
+    assert all(r.kept == (not r.base_failed and r.anomaly < limit) for r in got.values())
+    rows = [(got[i].anomaly, q) for i, q in quality.items() if not got[i].base_failed]
+    good = sum(q for _, q in rows)
+
+    def gain(at):
+        lost, bad = sum(q for s, q in rows if s >= at), sum(1 - q for s, q in rows if s >= at)
+        return bad - lost if lost <= quality_forest.MAX_LOSS * good else -1
+
+    assert gain(limit) >= max(gain(math.floor(s * quality_forest.BINS) / quality_forest.BINS) for s, _ in rows)
+
+
+def test_trees_part_their_sample_by_splits_within_the_widened_span():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 3))
+    f = quality_forest.fit_forest(x)
+    draw = np.random.default_rng(quality_forest.SEED)
+
+    def walk(at, rows, depth):
+        if f["feature"][at] < 0:
+            assert abs(f["depth"][at] - depth - quality_forest._mean_path(len(rows))) < 1e-9
+            return [len(rows)]
+        c = f["feature"][at]
+        low, high = rows[:, c].min(), rows[:, c].max()
+        draw.choice(np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)))
+        assert f["split"][at] == draw.uniform(low - 4 * (high - low), high + 4 * (high - low))
+        go, out = rows[:, c] < f["split"][at], []
+        for child, part in ((f["left"][at], rows[go]), (f["right"][at], rows[~go])):
+            out += walk(child, part, depth + 1) if len(part) else [0 * int(f["feature"][child] == -1 and f["depth"][child] == depth + 1)]
+        return out
+
+    for root in f["roots"][:5]:
+        assert sum(walk(root, x[draw.choice(len(x), quality_forest.PER_TREE, replace=False)], 0)) == quality_forest.PER_TREE
+
+
+def plain_label_model(votes, toxic, weight, right, prior, rounds):
+    """One row, voter and class at a time."""
+    rows, m = range(len(votes)), range(len(votes[0]))
+    share, all_weight = [[0.0] * len(m) for _ in m], sum(weight)
+    clip = lambda x: min(max(x, 1e-4), 1 - 1e-4)
+    spoke = [sum(w for w, v in zip(weight, votes) if v[j]) for j in m]
+    a = [(right[j] if toxic[j] else 1 - right[j]) * spoke[j] / (prior * all_weight) for j in m]
+    b = [(1 - right[j] if toxic[j] else right[j]) * spoke[j] / ((1 - prior) * all_weight) for j in m]
+    for _ in range(rounds):
+        q = []
+        for i in rows:
+            z = math.log(prior / (1 - prior))
+            for j in m:
+                if votes[i][j]:
+                    z += math.log(clip(a[j]) / clip(b[j])) / (1 + sum(min(max(share[j][k], 0), 1) for k in m if votes[i][k]))
+                else:
+                    z += math.log((1 - clip(a[j])) / (1 - clip(b[j])))
+            q.append(1 / (1 + math.exp(-max(-40, min(40, z)))))
+        prior, one = sum(w * p for w, p in zip(weight, q)) / all_weight, all_weight / len(votes)
+        in_class = {True: [w * p for w, p in zip(weight, q)], False: [w * (1 - p) for w, p in zip(weight, q)]}
+        a, b = ([(sum(in_class[c][i] for i in rows if votes[i][j]) + one / 2) / (sum(in_class[c]) + one) for j in m] for c in (True, False))
+        share = [[0.0] * len(m) for _ in m]
+        for j in m:
+            for k in m:
+                if j == k or toxic[j] != toxic[k]:
+                    continue
+                w = in_class[bool(toxic[j])]
+                mean = [sum(w[i] for i in rows if votes[i][c]) / sum(w) for c in (j, k)]
+                sd = [math.sqrt(max(x * (1 - x), 1e-6)) for x in mean]
+                share[j][k] = sum(w[i] * (votes[i][j] - mean[0]) / sd[0] * (votes[i][k] - mean[1]) / sd[1] for i in rows) / sum(w)
+    speaks = [prior * x / (prior * x + (1 - prior) * y) for x, y in zip(a, b)]
+    return q, prior, [x if t else 1 - x for x, t in zip(speaks, toxic)]
+
+
+def test_label_model_against_a_plain_version():
+    rng = random.Random(6)
+    y = [rng.random() < 0.3 for _ in range(150)]
+    votes = [[int(rng.random() < (0.7 if t else 0.05)), int(rng.random() < (0.6 if t else 0.02)), int(rng.random() < 0.3), int(rng.random() < (0.02 if t else 0.8))] for t in y]
+    for v in votes:
+        v[1] = v[1] or (v[0] and rng.random() < 0.5)  # correlated voters
+    weight = [rng.choice([1.0, 3.0]) for _ in y]
+    toxic = np.array([True, True, True, False])
+    for rounds in (1, 2, 5):
+        q, found = weak_toxicity.label_model(np.array(votes, dtype=int), toxic, np.array(weight), np.array([0.9, 0.9, 0.6, 0.9]), 0.25, rounds)
+        want, prior, right = plain_label_model(votes, toxic, weight, [0.9, 0.9, 0.6, 0.9], 0.25, rounds)
+        assert np.allclose(q, want, atol=1e-9) and abs(found["prior"] - prior) < 1e-9 and np.allclose(found["accuracy"], right)
+
+
+def test_accuracies_come_from_the_votes():
+    """Wrong starting accuracies are corrected, since the voters confirm or contradict each other."""
+    rng = np.random.default_rng(7)
+    y = rng.random(8000) < 0.3
+    v = np.column_stack([rng.random(8000) < np.where(y, 0.7, 0.02), rng.random(8000) < np.where(y, 0.6, 0.02), rng.random(8000) < np.where(y, 0.3, 0.3), rng.random(8000) < np.where(y, 0.02, 0.8)])
+    true = [y[v[:, k]].mean() for k in range(3)]
+    _, found = weak_toxicity.label_model(v, np.array([True, True, True, False]), np.ones(8000), np.array([0.7, 0.7, 0.7, 0.7]), 0.5)
+    assert all(abs(a - b) < 0.12 for a, b in zip(found["accuracy"], true)) and abs(found["prior"] - 0.3) < 0.08
+
+
+def test_induced_features_against_a_plain_count():
+    rng = random.Random(8)
+    sample = [(" ".join(sorted({word(rng, "aa") for _ in range(30)} | ({rng.choice(INSULTS)} if toxic else set()))), toxic) for toxic in [1] * 60 + [0] * 120]
+    features, voters, _ = weak_toxicity.induce(sample, (1.0, 1.0))
+    has = lambda f, words: any(w == f[1] if f[0] == 0 else len(w) > f[0] and w.startswith(f[1]) for w in words.split())
+    n = {f: [sum(has(f, w) for w, y in sample if y == k) for k in (0, 1)] for f in features}
+    size = [sum(len(w.split()) for w, y in sample if y == k) for k in (0, 1)]
+    assert set(voters) <= set(features) and all(c1 >= 4 and c1 / size[1] > max(20 * (c0 + 0.5), 500 * c0) / size[0] for c0, c1 in n.values())
+    assert {w for k, w in features if k == 0} == set(INSULTS)
+
+
+def test_linear_fit_is_the_least_loss():
+    rng = np.random.default_rng(9)
+    x, weight = (rng.random((200, 6)) < 0.3).astype(float), rng.random(200) + 0.1
+    q = 1 / (1 + np.exp(-(x @ np.array([2, 1, 0, 0, 0.5, -1]) - 1)))
+    coef, bias = weak_toxicity.fit_linear(x, q, weight, ridge=1e-3)
+    a, w = np.column_stack([x, np.ones(200)]), weight / weight.sum()
+
+    def loss(c):
+        z = a @ c
+        return float(w @ (np.logaddexp(0, z) - q * z)) + 0.5e-3 * float(c @ c)
+
+    best = loss(np.append(coef, bias))
+    for _ in range(3000):  # no small step inside the bounds is better
+        c = np.append(coef, bias) + rng.normal(size=7) * rng.choice([1e-3, 1e-2, 0.1])
+        c[:-1] = np.maximum(c[:-1], 0)
+        assert loss(c) >= best - 1e-7
+    assert (coef >= 0).all() and coef[5] == 0
+
+
+def test_scores_against_a_plain_reading(spark, folder):
+    """Each text word by word against the weights of the model."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = weak_toxicity.train(weak_toxicity.training_sample(docs, labels, weak_toxicity.held_fold() != 1))
+    got = {r.doc_id: r.score for r in registry.queries()["op6_weak_toxicity"](spark, folder).collect()}
+    for r in docs.collect():
+        words = set(re.findall(r"[^\W_]+", (r.text or "").lower()))
+        z = model["bias"] + sum(c for (n, f), c in model["coef"].items() if any(w == f if n == 0 else len(w) > n and w[:n] == f for w in words))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_results_do_not_depend_on_the_layout(spark, folder, tmp_path):
+    """The same rows in other files, partitions and order give the same results."""
+    for t in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{folder}/{t}.parquet")
+        df.repartition(7).sortWithinPartitions(F.rand(3)).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name in ("op1_language_id", "op4_quality_forest", "op5_fm_decontam", "op6_weak_toxicity", "op10_token_counts"):
+        one, two = (Counter(map(tuple, registry.queries()[name](spark, d).collect())) for d in (folder, str(tmp_path)))
+        assert one == two, name
+
+
+@pytest.mark.parametrize("n", [5e8, 5e9, 1e12])
+def test_the_share_of_a_sample_is_never_zero(n):
+    """What is drawn of a language or class of any size stays about the same."""
+    keys = np.random.default_rng(0).integers(0, 1 << 40, 200_000) / (1 << 40)
+    share = language_id.PER_LANGUAGE / n
+    assert share * (1 << 40) >= 1 and abs((keys < share * n / 10_000).mean() - language_id.PER_LANGUAGE / 10_000) < 0.01
+
+
+# ---- the pipeline
+
+
+def plain_near_copies(rows):
+    """Kept ids: by the Jaccard similarity of all pairs of five-word shingle sets."""
+    sets = [plain_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or (both := len(sets[i] & sets[j])) and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    by = {}
+    for k, (i, _) in enumerate(rows):
+        by.setdefault(find(k), []).append((i is None, i or 0))
+    return sorted(i for n, i in map(min, by.values()) if not n)
+
+
 def test_pipeline(spark, folder):
     """Each stage against a plain version on its own input, and run() against the stages."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns = docs.columns
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
-    got = []
+    bench = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if r.text]
+    got = [docs]
     for _, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, folder).toPandas(), docs.schema) if len(got) < 4 else stage(spark, docs, folder)
+        docs = spark.createDataFrame(stage(spark, docs, folder).toPandas(), docs.schema) if len(got) < 5 else stage(spark, docs, folder)
         got.append(docs)
-    assert [d.columns for d in got[:4]] == [columns] * 4
-    # toxicity: what its scores reject goes, all else stays
-    start = spark.read.parquet(f"{folder}/documents.parquet")
-    score = {r.doc_id: r.score for r in weak_toxicity.score_toxicity(start, labels, weak_toxicity.held_fold() != 1).collect()}
-    assert {r.doc_id for r in got[0].collect()} == {i for i, s in score.items() if s < weak_toxicity.LIMIT}
-    verdict = {r.doc_id: r.kept for r in quality_forest.judge_quality(got[0], labels).collect()}
-    assert {r.doc_id for r in got[1].collect()} == {i for i, k in verdict.items() if k}
-    rows = [(r.doc_id, r.text) for r in got[1].collect()]
-    comps = plain_components([i for i, _ in rows], [plain_fingerprint(t) for _, t in rows])
-    assert sorted(r.doc_id for r in got[2].collect()) == sorted(set(comps))
-    phrases = fm_decontam.Phrases([(r.item_id, r.text) for r in bench.collect()])
-    assert got[3].count() == got[2].count() and not any(fm_decontam.search_shard([r.text for r in got[3].collect()], phrases)[1])
-    clean = {r.doc_id: r.text for r in got[3].collect()}
-    last = {r.doc_id: r for r in got[4].collect()}
-    assert {i: r.decoded for i, r in last.items()} == clean and all(r.n_tokens == len(r.ids) for r in last.values())
+    assert [d.columns for d in got[:5]] == [columns] * 5
+    start, clean, good, single, cut, last = ({r.doc_id: r for r in d.collect()} for d in got)
+    # Toxic documents hold an insult or a word that begins with one.
+    toxic = {i for i, r in start.items() if any(w.startswith(tuple(INSULTS)) for w in (r.text or "").lower().split())}
+    assert len(set(clean) ^ (set(start) - toxic)) <= 0.02 * len(start) and len(toxic) > 80
+    # Bad documents shout or are full of symbols; short and repetitive ones fail the base rules.
+    n = {i: plain_statistics(r.text) for i, r in clean.items()}
+    base = {i for i, s in n.items() if s[0] >= 50 and 100 * s[4] <= 50 * s[0]}
+    bad = {i for i, r in clean.items() if r.text and (r.text.isupper() or re.search(r"[*#%]{3}", r.text))}
+    assert set(good) <= base and len(set(good) ^ (base - bad)) <= 0.01 * len(base) and len(bad) > 60
+    assert sorted(single) == plain_near_copies([(i, r.text) for i, r in good.items()])
+    assert {i: r.text for i, r in cut.items()} == {i: cut_plainly(r.text, bench) for i, r in single.items()}
+    assert any(cut[i].text != single[i].text for i in cut) or 2001 not in single
+    assert {i: r.decoded for i, r in last.items()} == {i: r.text for i, r in cut.items()} and all(r.n_tokens == len(r.ids) for r in last.values())
     assert {r.doc_id: (r.decoded, tuple(r.ids)) for r in corpus_pipeline.run(spark, folder).collect()} == {i: (r.decoded, tuple(r.ids)) for i, r in last.items()}
+
+
+CLASH = ["_toxicity", "_text", "_key", "root", "fp", "ids", "score", "quality", "toxic", "item_id", "hits", "items"]
+
+
+def test_pipeline_of_hard_cases(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, columns of clashing names."""
+    rng = random.Random(12)
+    prose = lambda n: "\n".join(" ".join(word(rng, "aa") for _ in range(12)) for _ in range(n))
+    phrase = " ".join(f"phrase{i}" for i in range(12))
+    same, long = prose(8), "\n".join(f"word{k} next{k} long" for k in range(200_000))
+    docs = [(1, None), (2, ""), (3, " \n "), (4, same), (4, same), (4, prose(9)), (None, same), (None, prose(9)), (5, long), (6, long + " end"), (7, prose(9) + " " + phrase), (8, prose(4) + "\n" + phrase + "\n" + prose(5)), (9, same + " tail")]
+    rows = [(i, t, None if k % 3 == 0 else "aa", None if k % 2 else "s", None if t is None else len(t)) for k, (i, t) in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in CLASH})
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (4, 1, None), (None, 0, 1), (99, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, phrase), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, got, str(tmp_path)).write.parquet(f"{tmp_path}/out{k}")
+        got = spark.read.parquet(f"{tmp_path}/out{k}")
+        kept.append(got)
+        assert got.columns == df.columns or k == 4
+    assert [d.count() for d in kept] == [13, 10, 6, 6, 6]
+    out = [(r.doc_id, r.decoded) for r in kept[4].collect()]
+    assert sorted((i is None, i or 0) for i, _ in out) == [(False, i) for i in (4, 4, 5, 7, 8)] + [(True, 0)]
+    assert (5, long) in out and (4, same) in out and (None, same) not in out and not any("phrase3" in t for _, t in out)
+    assert all(r[c] == c for r in kept[3].select(*CLASH).collect() for c in CLASH)
+    assert all(r.n_chars == len(r.text) for r in kept[3].collect())
+
+
+def test_pipeline_of_empty_tables(spark, folder, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    spark.read.parquet(f"{folder}/documents.parquet").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))  # no labels and no benchmark
+    assert 0 < out.count() < 906
