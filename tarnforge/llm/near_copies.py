@@ -144,7 +144,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """Candidates by the Golay keys: one node of each SimHash against the others of it, and against one of each linked SimHash."""
-    one = cut(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("node")))
+    one = nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("node"))
     same = nodes.join(one.select(F.col("fp").alias("sim"), "node"), "sim").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
     near = golay_dedup.links(one)
     near = near.join(one.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
@@ -160,7 +160,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     chosen = members.where(F.array_contains("pivots", F.col("fp"))).select("key", F.col("fp").alias("pivot"), F.col("n").alias("pn"), F.col("odd").alias("podd"))
     star = members.drop("pivots").join(chosen, "key").where("fp <> pivot").where(possible("n", "odd", "pn", "podd"))
     first = verified(ordered(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).unionByName(fingerprint_pairs(nodes)), "a", "b"), docs, nodes)
-    rooted = cut(members.drop("pivots").join(components(first).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rooted = members.drop("pivots").join(components(first).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     left = cut(rooted.join(mixed, "key", "left_semi"))
     one, two = (left.select("key", F.col("fp").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
