@@ -17,13 +17,14 @@ Byte strings are held as strings of one character (U+0000 to U+00FF) for each by
 takes them from and to binary.
 
 Defined cases: a null text is empty and has no ids; whole texts are encoded whatever their
-length; special strings are ordinary text; repeated rows stay repeated; an empty table
+length; a null id is kept; special strings are ordinary text; repeated rows stay repeated; an empty table
 gives no rows; other columns stay, but for an earlier ``ids``, which is replaced.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 
 import numpy as np
 from pyspark import StorageLevel
@@ -180,16 +181,33 @@ def most_frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.where(F.col("n") >= bound) if bound is not None else counted.limit(0)
 
 
-def encoded_words(docs: DataFrame, bpe: Bpe, pattern: str) -> dict[str, bytes]:
-    """Ids of the most frequent pre-tokens, folded by Spark; of bounded number and length. The ids
-    of a word are held as the bytes of 32-bit numbers."""
+def encoded_words(docs: DataFrame, bpe: Bpe, pattern: str) -> bytes:
+    """The most frequent pre-tokens and their ids, folded by Spark, as one Arrow stream of bounded size.
+    The ids of a word are held as the bytes of 32-bit numbers."""
+    import pyarrow as pa
+
     # Read twice, for the bound and for the words; lost parts are computed again.
     counted = count_words(docs, pattern).where(F.octet_length("w") <= LONGEST).persist(StorageLevel.DISK_ONLY)
     try:
         folded = most_frequent(counted, FREQUENT).select("w", let(bpe.tables, lambda t: bpe.encode_word(t, F.col("w"))).alias("ids")).toArrow()
     finally:
         counted.unpersist()
-    return {w: np.array(ids.split(","), dtype=np.int32).tobytes() for w, ids in zip(folded.column(0).to_pylist(), folded.column(1).to_pylist())}
+    out = pa.BufferOutputStream()
+    names = ["w", "ids"]
+    with pa.ipc.new_stream(out, pa.schema([("w", pa.string()), ("ids", pa.binary())])) as stream:
+        for b in folded.to_batches():
+            ids = pa.array([np.array(x.split(","), dtype=np.int32).tobytes() for x in b.column(1).to_pylist()], pa.binary())
+            stream.write_batch(pa.RecordBatch.from_arrays([b.column(0), ids], names))
+    return out.getvalue().to_pybytes()
+
+
+def known_words(stream: bytes) -> dict[str, bytes]:
+    import pyarrow as pa
+
+    out: dict[str, bytes] = {}
+    for b in pa.ipc.open_stream(stream):
+        out.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    return out
 
 
 _loaded: dict = {}
@@ -212,12 +230,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, bpe: Bpe | None =
 
     docs = docs.drop("ids")
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(encoded_words(docs, bpe or Bpe(read_ranks(path)), pattern))
+    shared, token = docs.sparkSession.sparkContext.broadcast(encoded_words(docs, bpe or Bpe(read_ranks(path)), pattern)), uuid.uuid4().hex
     at = docs.columns.index("text")
 
     def run(batches):
         encoder, words, cache = _library(path, pattern)
-        known = shared.value
+        known = _loaded.get(token)
+        if known is None:  # once a worker; an earlier table is let go
+            for old in [k for k in _loaded if isinstance(k, str)]:
+                del _loaded[old]
+            known = _loaded[token] = known_words(shared.value)
         for b in batches:
             flat, sizes = [], [0]
             for x in b.column(at):
