@@ -77,20 +77,28 @@ def place(entries: dict[str, str]) -> tuple[list[str], list[str]]:
         size = size * 5 // 4
 
 
+def literal_array(strings: list[str]) -> Column:
+    """Strings as one literal, split at a mark of two control characters that gives them back. All
+    characters are of ISO-8859-1, so that the texts of plans, which repeat the literal, are half as long
+    in memory."""
+    for k in range(1, 31):
+        mark = chr(k) + chr(k + 1)
+        if mark.join(strings).split(mark) == strings:
+            return F.split(F.lit(mark.join(strings)), mark)
+    raise ValueError("no mark parts these strings")
+
+
 class LiteralMap:
-    """A map of non-empty strings as two literal arrays; no key or value holds ``MARK``.
+    """A map of non-empty strings as two literal arrays.
 
     ``arrays`` is bound once by the caller (see ``let``) and handed back to ``get``, so that a
     plan holds one copy of it.
     """
 
-    MARK = "\ue000"
-
     def __init__(self, entries: dict[str, str], kind: str = "string"):
         keys, values = place(entries)
         self.size = len(keys)
-        values = F.split(F.lit(self.MARK.join(v or "0" for v in values)), self.MARK)
-        self.arrays = F.struct(F.split(F.lit(self.MARK.join(keys)), self.MARK).alias("keys"), values.cast(f"array<{kind}>").alias("values"))
+        self.arrays = F.struct(literal_array(keys).alias("keys"), literal_array([v or "0" for v in values]).cast(f"array<{kind}>").alias("values"))
 
     def get(self, arrays: Column, key: Column) -> Column:
         """The value, or null."""
@@ -120,7 +128,7 @@ class Bpe:
             by_id[r] = b.decode("latin-1")
         self.ranks = LiteralMap({b.decode("latin-1"): str(r) for b, r in ranks.items()}, "int")
         self.tables = self.ranks.arrays
-        self.pieces = F.split(F.lit(LiteralMap.MARK.join(by_id)), LiteralMap.MARK)
+        self.pieces = literal_array(by_id)
 
     def rank(self, t: Column, piece: Column) -> Column:
         return F.coalesce(self.ranks.get(t, piece), F.lit(NONE))
@@ -230,6 +238,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, bpe: Bpe | None =
 
     docs = docs.drop("ids")
     small_batches(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))  # the driver keeps texts of plans, which hold the literals
     shared, token = docs.sparkSession.sparkContext.broadcast(encoded_words(docs, bpe or Bpe(read_ranks(path)), pattern)), uuid.uuid4().hex
     at = docs.columns.index("text")
 
