@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import os
 import re
+import time
 import zipfile
+from collections.abc import Callable
 from itertools import groupby
 from pathlib import PurePosixPath
 
@@ -72,7 +75,7 @@ def read_csv(spark: SparkSession, path: str, expected: list[str], archive: str =
 
     ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = first.select("source_file", "_block", "_first", ahead.alias("_ahead"))
-    out = raw.join(F.broadcast(first), ["source_file", "_block"]).withColumn("source_row", F.col("_at") - F.col("_first") + F.col("_ahead") + 2)
+    out = raw.join(first, ["source_file", "_block"]).withColumn("source_row", F.col("_at") - F.col("_first") + F.col("_ahead") + 2)
     return out.select("source_archive", "source_file", "source_row", *expected)
 
 
@@ -122,6 +125,28 @@ def parquet_envelope(path: str) -> str:
     return h.hexdigest()
 
 
+def fetch(open_source: Callable, destination: str, attempts: int | None = 3, pause: float = 1.0) -> str:
+    """A local copy of a Parquet file that is there as a whole or not at all: the bytes of ``open_source()``
+    go to a file beside the destination, which takes its name once its envelope is sound. Failed
+    attempts are repeated, without bound for None. Returns the SHA-256."""
+    part, tried = f"{destination}.part", 0
+    while True:
+        tried += 1
+        try:
+            with open_source() as source, open(part, "wb") as out:
+                while chunk := source.read(1 << 20):
+                    out.write(chunk)
+            digest = parquet_envelope(part)
+            os.replace(part, destination)
+            return digest
+        except (OSError, SourceError):
+            if os.path.exists(part):
+                os.remove(part)
+            if attempts is not None and tried >= attempts:
+                raise
+            time.sleep(pause)
+
+
 def read_seed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A small CSV with a quoted header."""
     return spark.read.csv(path, header=True, quote='"', schema=schema)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnforge.functions.lineage import remove
+
 AUDIT_COUNTERS = (
     "source_rows", "output_rows", "entities", "positive_rows", "negative_rows", "censored_rows", "same_day_rows", "post_failure_rows",
     "duplicate_keys", "orphan_rows", "mismatched_rows", "label_errors", "window_errors", "parity_errors", "warnings",
@@ -28,26 +31,50 @@ def write_stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _pointers(spark: SparkSession, root: str, table: str) -> list[str]:
+    fs, at = _folder(spark, f"{root.rstrip('/')}/_pointers/{table}")
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().startswith("p-")) if fs.exists(at) else []
+
+
 def promote(spark: SparkSession, stage: str, view: str, root: str, table: str) -> None:
-    """Publishes a validated stage: the pointer row of the table is replaced, then the view. Readers see
-    the old or the new rows, never a mixture; the data is not copied."""
-    spark.createDataFrame([(table, stage)], "table_name string, location string").coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/_pointers/{table}")
+    """Publishes a validated stage. The pointer is a small file that is written under a hidden name and
+    then renamed to the next number: a reader finds the file before it or this one, whole, at any time.
+    Then the view is replaced. The data is not copied, and older pointers stay, to go back to."""
+    known = _pointers(spark, root, table)
+    name = f"p-{int(known[-1].split('-')[1]) + 1 if known else 0:08d}-{uuid.uuid4().hex[:12]}"
+    fs, folder = _folder(spark, f"{root.rstrip('/')}/_pointers/{table}")
+    fs.mkdirs(folder)
+    hidden, final = (spark._jvm.org.apache.hadoop.fs.Path(folder, n) for n in (f".{name}", name))
+    out = fs.create(hidden, True)
+    out.write(bytearray(stage.encode()))
+    out.close()
+    if not fs.rename(hidden, final):
+        raise OSError(f"the pointer of {table} can't be renamed")
     open_published(spark, root, table).createOrReplaceTempView(view)
 
 
 def open_published(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(spark.read.parquet(f"{root.rstrip('/')}/_pointers/{table}").first()["location"])
+    """The rows of the last pointer."""
+    last = _pointers(spark, root, table)[-1]
+    return spark.read.parquet(spark.read.text(f"{root.rstrip('/')}/_pointers/{table}/{last}").first()[0])
+
+
+def rebuild(df: DataFrame, root: str, table: str, view: str, nonce: str) -> DataFrame:
+    """A full rebuild of a table: a new stage beside the one that is read, then promoted."""
+    path = stage_path(root, table, run_id(nonce))
+    write_stage(df, path)
+    promote(df.sparkSession, path, view, root, table)
+    return open_published(df.sparkSession, root, table)
 
 
 def drop_stages(spark: SparkSession, paths: list[str], succeeded: bool) -> int:
     """Removes stages of a run that succeeded; those of a failed run stay for inspection."""
-    if not succeeded:
-        return 0
-    n = 0
-    for p in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(p)
-        n += int(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
-    return n
+    return sum(remove(spark, p) for p in paths) if succeeded else 0
 
 
 def redact(message: str) -> str:

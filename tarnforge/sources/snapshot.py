@@ -13,9 +13,11 @@ class SnapshotError(ValueError):
     """A snapshot is not what its manifest says."""
 
 
-def export(df: DataFrame, path: str, date: str, part: str = "mes") -> None:
-    """Snappy Parquet by month, one task's rows of a month in one file of bounded rows."""
+def export(df: DataFrame, path: str, date: str, part: str = "mes", tasks_per_month: int = 1) -> None:
+    """Snappy Parquet by month in files of bounded rows. The rows of a month meet in ``tasks_per_month``
+    tasks, so that there are few files, whatever the tasks of the scan."""
     months = df.withColumn(part, F.date_format(F.col(date), "yyyy-MM"))
+    months = months.repartition(F.col(part), *([F.pmod(F.xxhash64(*df.columns), F.lit(tasks_per_month))] if tasks_per_month > 1 else []))
     months.write.partitionBy(part).option("compression", "snappy").option("maxRecordsPerFile", 4_000_000).mode("overwrite").parquet(path)
 
 
@@ -77,23 +79,40 @@ def model_cache(df: DataFrame, path: str, features: list[str], keep: list[str],
     df.select(*keep, *[F.col(c).cast("float").alias(c) for c in features]).repartitionByRange(F.col(date)).sortWithinPartitions(date).write.mode("overwrite").parquet(path)
 
 
+def load_slice(spark: SparkSession, path: str, date: str, start: str, end: str, cols: list[str] | None = None) -> DataFrame:
+    """The days from start to end of a model cache: row groups outside are skipped by their statistics."""
+    df = spark.read.parquet(path).where(F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return df.select(*cols) if cols else df
+
+
+def months_of(spark: SparkSession, path: str, date: str):
+    """(month, its rows) of a model cache, one month after the other."""
+    for r in spark.read.parquet(path).select(F.trunc(date, "month").alias("m")).distinct().orderBy("m").collect():  # as many rows as months
+        yield r["m"], spark.read.parquet(path).where((F.col(date) >= F.lit(r["m"])) & (F.col(date) < F.add_months(F.lit(r["m"]), 1)))
+
+
 def float_columns(cols: list[str]) -> list[Column]:
     return [F.col(c).cast("float").alias(c) for c in cols]
 
 
 def freeze(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
-    """A write-once sample: reused if it is there."""
+    """A write-once sample with the hash of its files: reused if it is there and unchanged."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if refresh or not there:
         df.write.mode("overwrite").parquet(path)
+        write_manifest(spark, path, {"dataset_sha256": dataset_hash(spark, path)})
+    elif read_manifest(spark, path)["dataset_sha256"] != dataset_hash(spark, path):
+        raise SnapshotError("the sample's files differ from their hash")
     return spark.read.parquet(path)
 
 
 def export_csv(df: DataFrame, path: str, most: int = 1_000_000) -> None:
-    """A small result as one CSV file."""
-    df.limit(most).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A result of at most ``most`` rows as one CSV file; a larger one is an error."""
+    if df.limit(most + 1).count() > most:
+        raise SnapshotError(f"more than {most} rows")
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def footer_nulls(path: str, cols: list[str]) -> dict[str, int] | None:
