@@ -1,9 +1,9 @@
 """The one-big-table: identity, rolling features of every attribute, label; validated and published.
 
 At the preset (22 attributes, raw and normalised, three windows) it has 847 columns, and 429 in each
-single-representation projection. All windows share one partition and order: one exchange, one
-sort. The stage is written once, and everything after it (validation, projections, publication)
-reads what was written.
+single-representation projection. Identity, attributes and labels are a narrow frame; all windows of
+all attributes are made of it in one vectorised pass: one exchange, one sort. The stage is written
+once, and everything after it (validation, projections, publication) reads what was written.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tarnforge.constants import HORIZON_DAYS, MODEL_IDS, WINDOW_DAYS
 from tarnforge.functions.keys import epoch_day
 from tarnforge.functions.scalar import any_of
-from tarnforge.operators import clean, labels, profile, sets, windows
+from tarnforge.operators import clean, labels, profile, sets, wide_windows
 from tarnforge.sources import publish
 
 # Identity and label columns, in order.
@@ -63,14 +63,18 @@ def build(facts: DataFrame, failures: DataFrame, spec: Spec = Spec(), start: str
     context = clean.context_scope(facts, "OBSERVATION_DATE", start, end, spec.windows, spec.horizon)
     if entities is not None:
         context = clean.first_entities(context, "SSD_KEY", entities)
-    out = windows.rolling(context.withColumn("_day", epoch_day(F.col("OBSERVATION_DATE"))), "SSD_KEY", "_day", spec.bases(), spec.windows)
-    out = windows.with_shifts(out, spec.bases(), spec.windows)
+    out = context.select(*IDENTITY, *spec.bases(), epoch_day(F.col("OBSERVATION_DATE")).alias("_day"))
     seen = labels.last_seen(context, "SSD_KEY", "OBSERVATION_DATE")
     failed = labels.failure_summary(failures, "SSD_KEY", "FAILURE_DATE")
     out = out.join(failed, "SSD_KEY", "left").join(seen, "SSD_KEY", "left")
-    out = out.withColumn("DAYS_TO_FAILURE", F.datediff("first_failure_date", "OBSERVATION_DATE")).withColumn("LABEL_STATUS", labels.status("OBSERVATION_DATE", spec.horizon))
-    out = out.withColumn("TARGET_30D", labels.target("LABEL_STATUS")).withColumnsRenamed({"first_failure_date": "FIRST_FAILURE_DATE", "last_seen_date": "LAST_SEEN_DATE"})
-    return clean.output_scope(out, "OBSERVATION_DATE", start, end).select(*spec.columns())
+    status = labels.status("OBSERVATION_DATE", spec.horizon)
+    out = out.select(
+        "_day", *IDENTITY, *spec.bases(), F.col("first_failure_date").alias("FIRST_FAILURE_DATE"), F.col("last_seen_date").alias("LAST_SEEN_DATE"),
+        F.datediff("first_failure_date", "OBSERVATION_DATE").alias("DAYS_TO_FAILURE"), status.alias("LABEL_STATUS"),
+    )
+    out = out.withColumn("TARGET_30D", labels.target("LABEL_STATUS"))
+    out = wide_windows.with_families(out, "SSD_KEY", "_day", spec.bases(), spec.windows, spec.columns())
+    return clean.output_scope(out, "OBSERVATION_DATE", start, end)
 
 
 def count_errors(spec: Spec) -> Column:
