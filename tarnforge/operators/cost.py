@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnforge.constants import EPISODE_DAYS
 from tarnforge.operators import events as ev
 
 
@@ -29,10 +30,10 @@ def sweep(curve: DataFrame, events: int, exposure: float, ks=range(1, 51)) -> Da
     )
 
 
-def apply_thresholds(df: DataFrame, key: str, day: str, score: str, chosen: list[tuple[int, float]]) -> list[dict]:
+def apply_thresholds(df: DataFrame, key: str, day: str, score: str, chosen: list[tuple[int, float]], duration: int | None = EPISODE_DAYS) -> list[dict]:
     """Costs on other rows at thresholds chosen before; they are never tuned again. One curve for all."""
     taus = sorted({t for _, t in chosen if t < float("inf")}, reverse=True)
-    got = {r.tau: (r.alerts, r.hits) for r in ev.curve(df, key, day, score, taus).collect()} if taus else {}
+    got = {r.tau: (r.alerts, r.hits) for r in ev.curve(df, key, day, score, taus, duration).collect()} if taus else {}
     events, months = ev.anticipable(df, key).first()["events"], ev.exposure(df, key, day).first()["entity_months"]
     out = []
     for k, t in chosen:
@@ -59,13 +60,29 @@ def budgets_by_k(swept: DataFrame, exposure: float) -> DataFrame:
     return swept.select("k", F.round(1000.0 * F.col("alerts") / float(exposure), 4).alias("budget"))
 
 
-def same_budget(scored: dict[str, DataFrame], key: str, day: str, score: str, budget: float, n: int = 200) -> list[dict]:
+def cost_at_budget(curve: DataFrame, events: int, exposure: float, budgets: DataFrame) -> DataFrame:
+    """Costs on other rows at alert budgets (k, budget) chosen before. The threshold of each k is the one
+    with the most alerts within its budget, for which no label is used; then the labels tell the
+    cost. No threshold fits a budget of 0 or one below all rates."""
+    c = curve.withColumn("rate", 1000.0 * F.col("alerts") / float(exposure))
+    j = budgets.crossJoin(F.broadcast(c))  # a fixed set of k, and as many rows as thresholds
+    fit = F.when((F.col("budget") > 0) & (F.col("rate") <= F.col("budget") + 1e-9), F.struct("rate", "tau", "alerts", "hits", "late"))
+    b = j.groupBy("k", "budget").agg(F.max(fit).alias("b"))
+    none = F.col("b").isNull()
+    z = lambda c: F.when(none, 0.0).otherwise(F.col(f"b.{c}"))
+    return b.select(
+        "k", "budget", F.when(none, F.lit(float("inf"))).otherwise(F.col("b.tau")).alias("tau"), *[z(c).cast("long").alias(c) for c in ("alerts", "hits", "late")], F.round(z("rate"), 4).alias("rate"),
+        F.round(cost_per_1000(z("alerts"), z("hits"), events, exposure, F.col("k")), 4).alias("cost"), F.round(1000.0 * F.col("k") * float(events) / float(exposure), 4).alias("cost_without_model"),
+    )
+
+
+def same_budget(scored: dict[str, DataFrame], key: str, day: str, score: str, budget: float, n: int = 200, duration: int | None = EPISODE_DAYS) -> list[dict]:
     """Several models at one budget: threshold without labels, then hits."""
     out = []
     for name, df in scored.items():
         months = ev.exposure(df, key, day).first()["entity_months"]
-        c = ev.curve(df, key, day, score, ev.thresholds(df, score, n))
+        c = ev.curve(df, key, day, score, ev.thresholds(df, score, n), duration)
         t = threshold_for_budget(c, months, budget).first()
         if t.tau is not None:
-            out.append({"model": name, **ev.point(df, key, day, score, t.tau).first().asDict(), "tau": t.tau})
+            out.append({"model": name, **ev.point(df, key, day, score, t.tau, duration=duration).first().asDict(), "tau": t.tau})
     return out

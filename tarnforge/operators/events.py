@@ -7,13 +7,12 @@ event would extend.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnforge.constants import EPISODE_DAYS, HORIZON_DAYS, MIN_LEAD
+from tarnforge.functions.lineage import cut
 from tarnforge.operators.ranks import running_sums
 
 LEAD = "days_to_failure"
@@ -24,16 +23,16 @@ def anticipable(df: DataFrame, key: str, low: int = MIN_LEAD, high: int = HORIZO
     return df.agg(F.count_distinct(F.when(F.col(LEAD).between(low, high), F.col(key))).alias("events"))
 
 
-def _prepared(df: DataFrame, key: str, day: str, score: str, weight: str | None) -> DataFrame:
+def _prepared(df: DataFrame, key: str, day: str, score: str, weight: str | None, by: list[str] | None = None) -> DataFrame:
     """Days of an entity in order. Rows of a day are first joined to one, of the highest score: only the
     first of them can open an episode. So an entity's array is bounded by its days, however many
     rows a hot entity has."""
-    s = F.col(score).cast("double")
+    s, by = F.col(score).cast("double"), by or []
     known = df.where(s.isNotNull() & ~F.isnan(s))
     w = F.max(F.col(weight).cast("double")) if weight else F.lit(1.0)
-    days = known.groupBy(key, F.col(day).cast("int").alias("_day")).agg(F.max(s).alias("_score"), F.max_by(F.col(LEAD).cast("double"), s).alias("_lead"), w.alias("_weight"))
+    days = known.groupBy(*by, key, F.col(day).cast("int").alias("_day")).agg(F.max(s).alias("_score"), F.max_by(F.col(LEAD).cast("double"), s).alias("_lead"), w.alias("_weight"))
     rows = F.struct(F.col("_day").alias("day"), F.col("_score").alias("score"), F.col("_lead").alias("lead"))
-    return days.groupBy(key).agg(F.sort_array(F.collect_list(rows)).alias("rows"), F.max("_weight").alias("weight"))
+    return days.groupBy(*by, key).agg(F.sort_array(F.collect_list(rows)).alias("rows"), F.max("_weight").alias("weight"))
 
 
 def _openers(rows: Column, tau, duration: int | None) -> Column:
@@ -69,60 +68,110 @@ def point(df: DataFrame, key: str, day: str, score: str, tau: float, beta: float
     return j.withColumn("f_beta", f).withColumns({c: F.round(c, 6) for c in ("precision", "recall")}).withColumn("f_beta", F.round("f_beta", 6))
 
 
-def thresholds(df: DataFrame, score: str, n: int = 400) -> list[float]:
-    """Descending thresholds at log-spaced ranks of the finite scores. Ranks are found in the counts of
-    distinct scores, and at most n values come to the driver."""
-    s = df.select(F.col(score).cast("double").alias("s")).where("s IS NOT NULL AND NOT isnan(s) AND abs(s) < double('Infinity')")
-    summed = running_sums(s.groupBy("s").agg(F.count("*").alias("k")), "s", {"hi": "k"}, descending=True)
-    total = (summed.agg(F.max("hi")).first()[0]) or 0
-    if not total:
-        return []
-    ranks = sorted({int(x) for x in np.round(np.logspace(0, np.log10(total), n))})
-    spans = summed.select("s", (F.col("hi") - F.col("k")).alias("lo"), "hi")
-    hit = F.exists(F.array(*map(F.lit, ranks)), lambda r: (r > F.col("lo")) & (r <= F.col("hi")))
-    return [r.s for r in spans.where(hit).orderBy(F.desc("s")).select("s").collect()]
+def _known_scores(df: DataFrame, score: str) -> DataFrame:
+    s = F.col(score).cast("double")
+    return df.where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf")))
 
 
-def curve(df: DataFrame, key: str, day: str, score: str, taus: list[float], duration: int | None = EPISODE_DAYS, weight: str | None = None) -> DataFrame:
-    """tau, alerts, hits, late for each threshold. Parallel over entities, with all thresholds inside:
-    an Arrow function runs over each batch of entities' arrays and its sums are pre-aggregated."""
+def _log_ranks(total: int, n: int) -> list[int]:
+    """n ranks from the first to the last at equal steps of their logarithm, without repeats."""
+    return sorted({int(x) for x in np.round(np.logspace(0, np.log10(total), n))}) if total else []
+
+
+def thresholds_by(df: DataFrame, by: str, score: str, n: int = 400) -> dict:
+    """Of each group descending thresholds at log-spaced ranks of the finite scores. Ranks are found in the
+    counts of distinct scores, in one order of (group, score); at most n values a group come to the driver."""
+    counted = _known_scores(df, score).groupBy(F.struct(F.col(by).alias("by"), F.col(score).cast("double").alias("s")).alias("at")).agg(F.count("*").alias("k"))
+    summed = running_sums(counted, "at", {"hi": "k"}, descending=True)
+    groups = {r["by"]: (r["first"], r["total"]) for r in summed.groupBy(F.col("at.by").alias("by")).agg(F.min(F.col("hi") - F.col("k")).alias("first"), F.sum("k").alias("total")).collect()}
+    if not groups:
+        return {}
+    ranks = F.create_map(*[x for g, (first, total) in groups.items() for x in (F.lit(g), F.array(*[F.lit(first + r) for r in _log_ranks(total, n)]))])
+    hit = F.exists(ranks[F.col("at.by")], lambda r: (r > F.col("hi") - F.col("k")) & (r <= F.col("hi")))
+    out: dict = {g: [] for g in groups}
+    for r in summed.where(hit).select("at.by", "at.s").collect():
+        out[r["by"]].append(r["s"])
+    return {g: sorted(t, reverse=True) for g, t in out.items()}
+
+
+def thresholds(df: DataFrame, score: str, n: int = 400) -> list[float]:
+    """Descending thresholds at log-spaced ranks of the finite scores."""
+    return thresholds_by(df.select(F.col(score), F.lit("").alias("_all")), "_all", score, n).get("", [])
+
+
+def _count_episodes(rows, weights: list[float], levels: np.ndarray, span: int) -> np.ndarray:
+    """Alerts, hits and late ones by level, of a list array of entities' days. All levels at once, a day
+    after the other."""
+    total = np.zeros((len(levels), 3))
+    at, flat = rows.offsets.to_numpy(), rows.values
+    day, score = flat.field("day").to_numpy().astype(np.int64), flat.field("score").to_numpy()
+    lead = flat.field("lead").to_numpy(zero_copy_only=False).astype(float)  # null: nan
+    kind = np.where((lead >= MIN_LEAD) & (lead <= HORIZON_DAYS), 1, np.where((lead >= 1) & (lead < MIN_LEAD), 2, 0))
+    free = np.empty(len(levels), dtype=np.int64)
+    low = levels.min() if len(levels) else np.inf
+    for k, w in enumerate(weights):
+        free.fill(-(2**60))
+        for i in range(at[k], at[k + 1]):
+            if score[i] < low:
+                continue
+            go = (levels <= score[i]) & (free <= day[i])
+            total[go, 0] += w
+            if kind[i]:
+                total[go, kind[i]] += w
+            free[go] = day[i] + span
+    return total
+
+
+def curve_by(df: DataFrame, by: str, key: str, day: str, score: str, taus: dict, duration: int | None = EPISODE_DAYS, weight: str | None = None) -> DataFrame:
+    """``by``, tau, alerts, hits, late for each group and its thresholds. Parallel over entities, with all
+    thresholds inside: an Arrow function runs over each batch of entities' arrays and its sums are
+    pre-aggregated. Days below a group's lowest threshold are dropped before."""
     import pyarrow as pa
 
     span = duration if duration is not None else 2**40
-    levels = np.asarray(taus, dtype=float)
+    levels = {g: np.asarray(t, dtype=float) for g, t in taus.items()}
 
     def run(batches):
-        total = np.zeros((len(levels), 3))
+        total = {g: np.zeros((len(t), 3)) for g, t in levels.items()}
         for b in batches:
-            for rows, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                day_ = np.array([r["day"] for r in rows], dtype=np.int64)
-                s = np.array([r["score"] for r in rows], dtype=float)
-                lead = np.array([math.nan if r["lead"] is None else r["lead"] for r in rows], dtype=float)
-                free = np.full(len(levels), -(2**60), dtype=np.int64)
-                for i in range(len(day_)):  # all thresholds at once
-                    go = (levels <= s[i]) & (free <= day_[i])
-                    if go.any():
-                        total[go, 0] += w
-                        if MIN_LEAD <= lead[i] <= HORIZON_DAYS:
-                            total[go, 1] += w
-                        elif 1 <= lead[i] < MIN_LEAD:
-                            total[go, 2] += w
-                        free[go] = day_[i] + span
-        yield pa.RecordBatch.from_arrays([pa.array(levels), *[pa.array(total[:, k].copy()) for k in range(3)]], ["tau", "alerts", "hits", "late"])
-
-    p = _prepared(df, key, day, score, weight).select("rows", "weight")
-    return p.mapInArrow(run, "tau double, alerts double, hits double, late double").groupBy("tau").agg(*[F.sum(c).alias(c) for c in ("alerts", "hits", "late")])
+            groups = b.column(0).to_pylist()
+            for g in dict.fromkeys(groups):
+                own = b.filter(pa.array([x == g for x in groups])) if len(total) > 1 else b
+                if g in total:
+                    total[g] += _count_episodes(own.column(1), own.column(2).to_pylist(), levels[g], span)
+        for g, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(t), kind), pa.array(levels[g]), *[pa.array(t[:, k].copy()) for k in range(3)]], ["by", "tau", "alerts", "hits", "late"])
 
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def pr_auc(curve_df: DataFrame, events: int) -> DataFrame:
+    spark_kind = df.schema[by].dataType
+    kind = to_arrow_type(spark_kind)
+    known = [g for g, t in taus.items() if t]
+    lowest = F.create_map(*[F.lit(x) for g in known for x in (g, float(min(taus[g])))]) if known else F.create_map(F.lit("").cast(spark_kind), F.lit(0.0))
+    p = _prepared(df.where(F.col(score).cast("double") >= lowest[F.col(by)]), key, day, score, weight, [by]).select(by, "rows", "weight")
+    out = p.mapInArrow(run, f"by {spark_kind.simpleString()}, tau double, alerts double, hits double, late double").groupBy("by", "tau").agg(*[F.sum(c).alias(c) for c in ("alerts", "hits", "late")])
+    return out.withColumnRenamed("by", by)
+
+
+def curve(df: DataFrame, key: str, day: str, score: str, taus: list[float], duration: int | None = EPISODE_DAYS, weight: str | None = None) -> DataFrame:
+    """tau, alerts, hits, late for each threshold."""
+    return curve_by(df.withColumn("_all", F.lit("")), "_all", key, day, score, {"": taus}, duration, weight).drop("_all")
+
+
+def pr_auc_by(curve_df: DataFrame, by: list[str], events: int) -> DataFrame:
     """Area with interpolated precision: at each recall the best precision at that recall or above.
-    Null without events or thresholds. The curve has as many rows as thresholds."""
+    Null without events or thresholds. A group's curve has as many rows as thresholds."""
     p = F.when(F.col("alerts") > 0, F.col("hits") / F.col("alerts")).otherwise(0.0)
-    c = curve_df.select((F.col("hits") / F.lit(float(events) if events else None)).alias("r"), p.alias("p"))
-    c = c.where("r IS NOT NULL").groupBy("r").agg(F.max("p").alias("p"))
-    best = F.max("p").over(Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0))
-    step = F.col("r") - F.coalesce(F.lag("r").over(Window.orderBy("r")), F.lit(0.0))
-    return c.select(step.alias("d"), best.alias("b")).agg(F.round(F.sum(F.col("d") * F.col("b")), 6).alias("pr_auc"))
+    c = curve_df.select(*by, (F.col("hits") / F.lit(float(events) if events else None)).alias("r"), p.alias("p"))
+    c = c.where("r IS NOT NULL").groupBy(*by, "r").agg(F.max("p").alias("p"))
+    w = Window.partitionBy(*by)
+    best = F.max("p").over(w.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0))
+    step = F.col("r") - F.coalesce(F.lag("r").over(w.orderBy("r")), F.lit(0.0))
+    return c.select(*by, step.alias("d"), best.alias("b")).groupBy(*by).agg(F.round(F.sum(F.col("d") * F.col("b")), 6).alias("pr_auc"))
+
+
+def pr_auc(curve_df: DataFrame, events: int) -> DataFrame:
+    return pr_auc_by(curve_df, [], events)
 
 
 def exposure(df: DataFrame, key: str, day: str) -> DataFrame:
@@ -143,14 +192,13 @@ def lead_times(df: DataFrame, key: str, day: str, score: str, tau: float) -> Dat
     return a.agg(F.percentile(LEAD, 0.5).alias("median_lead"), *[F.count_if(F.col("alert_class") == c).alias(c) for c in ("early", "in_window", "late", "none_ahead")])
 
 
-def univariate_auc(df: DataFrame, key: str, day: str, cols: list[str], n: int = 100) -> list[dict]:
-    """Area of each column in both signs, and the better sign's lift over random alarms."""
-    events = anticipable(df, key).first()["events"]
-    base = df.agg(F.avg(F.when(F.col(LEAD).between(MIN_LEAD, HORIZON_DAYS), 1.0).otherwise(0.0))).first()[0]
-    out = []
-    for c in cols:
-        for sign in (1, -1):
-            d = df.withColumn("_s", sign * F.col(c).cast("double"))
-            area = pr_auc(curve(d, key, day, "_s", thresholds(d, "_s", n)), events).first()["pr_auc"]
-            out.append({"column": c, "sign": sign, "pr_auc": area, "lift": None if not base or area is None else area / base})
-    return out
+def univariate_auc(df: DataFrame, key: str, day: str, cols: list[str], n: int = 100, duration: int | None = EPISODE_DAYS) -> DataFrame:
+    """column_name, sign, pr_auc, lift: the area of each column in both signs, and its lift over random
+    alarms. The columns are unpivoted once, and all curves are made in one pass."""
+    one = df.agg(F.count_distinct(F.when(F.col(LEAD).between(MIN_LEAD, HORIZON_DAYS), F.col(key))).alias("events"), F.avg(F.when(F.col(LEAD).between(MIN_LEAD, HORIZON_DAYS), 1.0).otherwise(0.0)).alias("base")).first()
+    parts = F.array(*[F.struct(F.lit(f"{sign:+d}|{c}").alias("side"), (sign * F.col(c).cast("double")).alias("s")) for c in cols for sign in (1, -1)])
+    long = cut(df.select(key, day, LEAD, F.inline(parts)).where("s IS NOT NULL"))
+    areas = pr_auc_by(curve_by(long, "side", key, day, "s", thresholds_by(long, "side", "s", n), duration), ["side"], one["events"])
+    sides = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f"{sign:+d}|{c}") for c in cols for sign in (1, -1)])).alias("side"))
+    out = sides.join(areas, "side", "left")
+    return out.select(F.expr("substr(side, 4)").alias("column_name"), F.expr("CAST(substr(side, 1, 2) AS int)").alias("sign"), "pr_auc", (F.col("pr_auc") / F.nullif(F.lit(one["base"]).cast("double"), F.lit(0.0))).alias("lift"))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnforge.constants import MIN_DONORS
+from tarnforge.functions.lineage import cut
+
+#: Groups whose modes are broadcast at most.
+FEW = 200_000
 
 
 def mode_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -20,16 +24,18 @@ def impute_hierarchical(df: DataFrame, value: str, levels: list[tuple[str, list[
     """Fills ``value`` from the first level whose peer group has enough donors.
 
     ``levels``: (method, keys, least donors; None: any). Imputed rows never donate. Adds
-    <name>_imputed, <name>_method and <name>_was_missing; what no level fills is unresolved.
+    <name>_imputed, <name>_method and <name>_was_missing; what no level fills is unresolved. The modes
+    of a level of at most ``FEW`` groups are broadcast, so that no row moves; those of more are joined.
     """
     name = name or value
     out = df
     filled, method = F.col(value), F.when(F.col(value).isNotNull(), F.lit("reported"))
     extra = []
     for i, (label, keys, least) in enumerate(levels):
-        m = mode_by(df, keys, value).select(*[F.col(k).alias(f"_l{i}_{k}") for k in keys], F.col("mode_value").alias(f"_m{i}"), F.col("donors").alias(f"_d{i}"))
+        m = cut(mode_by(df, keys, value).select(*[F.col(k).alias(f"_l{i}_{k}") for k in keys], F.col("mode_value").alias(f"_m{i}"), F.col("donors").alias(f"_d{i}")))
         on = [F.col(k).eqNullSafe(F.col(f"_l{i}_{k}")) for k in keys]
-        out = out.join(m, on, "left") if keys else out.crossJoin(F.broadcast(m))
+        small = F.broadcast(m) if m.count() <= FEW else m
+        out = out.join(small, on, "left") if keys else out.crossJoin(F.broadcast(m))
         ok = F.col(f"_m{i}").isNotNull() & (F.lit(True) if least is None else F.col(f"_d{i}") >= least)
         filled, method = F.coalesce(filled, F.when(ok, F.col(f"_m{i}"))), method.when(ok, F.lit(label))
         extra += [f"_l{i}_{k}" for k in keys] + [f"_m{i}", f"_d{i}"]

@@ -100,6 +100,37 @@ def evaluate_folds(df: DataFrame, date: str, folds: list, make: Callable[[], obj
     return {"values": values, "mean": mean, "std": statistics.stdev(values) if len(values) > 1 else 0.0, "train_mean": statistics.fmean(train_values), "gap": statistics.fmean(train_values) - mean, "oof": oof}
 
 
+def prompt_cases(df: DataFrame, age: str, attributes: list[str], parts: dict[str, str]) -> DataFrame:
+    """What a language model would be shown of a row: a JSON object of its age and, for each attribute, of
+    the values named by ``parts`` (name to column suffix), rounded; null where unknown. Neither labels
+    nor identifiers are in it."""
+    guard_features([age, *[f"{a}{x}" for a in attributes for x in parts.values()]])
+    number = lambda c: F.round(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), 3)
+    body = F.struct(number(age).alias("age_days"), *[F.struct(*[number(f"{a}{x}").alias(n) for n, x in parts.items()]).alias(a) for a in attributes])
+    return df.withColumn("prompt_case", F.to_json(body, {"ignoreNullFields": "false"}))
+
+
+class KeyedCache:
+    """Answers by the SHA-256 of model, instructions and batch, each asked for once. An answer is written
+    under another name first, so that a broken run leaves none that is cut."""
+
+    def __init__(self, folder: str):
+        self.folder = Path(folder)
+        self.folder.mkdir(parents=True, exist_ok=True)
+
+    @staticmethod
+    def key(model: str, instructions: str, batch: list[dict]) -> str:
+        return hashlib.sha256(json.dumps([model, instructions, batch], sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+    def answer(self, model: str, instructions: str, batch: list[dict], ask: Callable[[list[dict]], object]) -> object:
+        path = self.folder / f"{self.key(model, instructions, batch)}.json"
+        if not path.exists():
+            part = path.with_suffix(".part")
+            part.write_text(json.dumps(ask(batch)))
+            part.rename(path)
+        return json.loads(path.read_text())
+
+
 class RunLog:
     """Append-only JSON run log with aliases and an idempotent result cache."""
 

@@ -9,9 +9,18 @@ from tarnforge.functions.scalar import percent, ratio
 from tarnforge.operators.ranks import running_sums
 
 
-def _total():
-    """All rows as one window part; over aggregated rows only."""
-    return Window.partitionBy()
+def _with_totals(df: DataFrame, totals: dict[str, str]) -> DataFrame:
+    """Adds {name: sum of a column over all rows} of aggregated rows, from one row that is broadcast; no
+    task sees all groups."""
+    return df.crossJoin(F.broadcast(df.agg(*[F.sum(c).alias(n) for n, c in totals.items()])))
+
+
+def _ranked(df: DataFrame, name: str) -> DataFrame:
+    """Of (pattern_json, row_count): rank under ``name``, most frequent first, ``observed``, how many there
+    are, ``upto``, the rows up to this one, and ``total``, all rows. By range partitions."""
+    order = F.struct((-F.col("row_count")).alias("n"), F.col("pattern_json").alias("p"))
+    out = running_sums(df.withColumn("_order", order).withColumn("_one", F.lit(1).cast("long")), "_order", {"_rank": "_one", "upto": "row_count"})
+    return out.select(*df.columns, F.col("_rank").cast("int").alias(name), F.col("_rank_all").alias("observed"), "upto", F.col("upto_all").alias("total"))
 
 
 def _unpivot(df: DataFrame, ids: list[str], groups: dict[str, dict[str, str]], label: str) -> DataFrame:
@@ -59,10 +68,9 @@ def null_patterns(df: DataFrame, cols: list[str], limit: int | None = None) -> D
     """Exact patterns: id (SHA-256), JSON, null columns, rows, share, rank, and how many patterns
     there are in all, counted before the limit."""
     g = df.groupBy(pattern(cols).alias("pattern_json")).agg(F.count("*").alias("row_count"))
-    out = g.select(
+    out = _ranked(g, "pattern_rank").select(
         F.sha2("pattern_json", 256).alias("pattern_id"), "pattern_json", F.size(F.from_json("pattern_json", "array<string>")).alias("null_columns"), "row_count",
-        percent(F.col("row_count"), F.sum("row_count").over(_total())).alias("row_pct"), F.count("*").over(_total()).alias("observed_patterns"),
-        F.row_number().over(Window.orderBy(F.desc("row_count"), "pattern_json")).alias("pattern_rank"),
+        percent(F.col("row_count"), F.col("total")).alias("row_pct"), F.col("observed").alias("observed_patterns"), "pattern_rank",
     )
     return out if limit is None else out.where(F.col("pattern_rank") <= limit)
 
@@ -70,7 +78,8 @@ def null_patterns(df: DataFrame, cols: list[str], limit: int | None = None) -> D
 def null_count_distribution(df: DataFrame, cols: list[str]) -> DataFrame:
     """By number of null columns: patterns, rows, share."""
     p = null_patterns(df, cols)
-    return p.groupBy("null_columns").agg(F.count("*").alias("patterns"), F.sum("row_count").alias("row_count")).withColumn("row_pct", percent(F.col("row_count"), F.sum("row_count").over(_total())))
+    g = p.groupBy("null_columns").agg(F.count("*").alias("patterns"), F.sum("row_count").alias("row_count"))
+    return _with_totals(g, {"_all": "row_count"}).withColumn("row_pct", percent(F.col("row_count"), F.col("_all"))).drop("_all")
 
 
 def patterns_by_group(df: DataFrame, group: str, cols: list[str], top: int | None = None) -> DataFrame:
@@ -87,8 +96,8 @@ def patterns_by_group(df: DataFrame, group: str, cols: list[str], top: int | Non
 
 def patterns_to_reach(df: DataFrame, cols: list[str], share: float = 90.0) -> DataFrame:
     """How many patterns, most frequent first, reach a share of the rows."""
-    p = patterns_by_group(df.withColumn("_all", F.lit(1)), "_all", cols)
-    before = F.col("cumulative_pct") - F.col("group_pct")
+    p = _ranked(df.groupBy(pattern(cols).alias("pattern_json")).agg(F.count("*").alias("row_count")), "pattern_rank")
+    before = percent(F.col("upto"), F.col("total")) - percent(F.col("row_count"), F.col("total"))
     return p.agg(F.coalesce(F.count_if(before < share), F.lit(0)).alias("patterns_needed"), F.count("*").alias("patterns"))
 
 
@@ -148,7 +157,8 @@ def pair_interaction(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def distribution(df: DataFrame, by: list[str], top: int | None = None) -> DataFrame:
     """Counts and share of all rows; also two-way. ``top`` is applied after the share."""
-    g = df.groupBy(*by).agg(F.count("*").alias("row_count")).withColumn("row_pct", percent(F.col("row_count"), F.sum("row_count").over(_total())))
+    g = _with_totals(df.groupBy(*by).agg(F.count("*").alias("row_count")), {"_all": "row_count"})
+    g = g.withColumn("row_pct", percent(F.col("row_count"), F.col("_all"))).drop("_all")
     return g if top is None else g.orderBy(F.desc("row_count"), *by).limit(top)
 
 
@@ -277,9 +287,10 @@ def quantile_lift(df: DataFrame, col: str, target: str, bins: int = 10) -> DataF
 
 def value_lift(df: DataFrame, col: str, target: str) -> DataFrame:
     """Prevalence, row share and lift by value."""
-    g = df.groupBy(col).agg(F.count("*").alias("row_count"), F.avg(F.col(target).cast("double")).alias("p"))
-    base = F.sum(F.col("p") * F.col("row_count")).over(_total()) / F.sum("row_count").over(_total())
-    return g.select(col, "row_count", F.round("p", 6).alias("prevalence"), percent(F.col("row_count"), F.sum("row_count").over(_total())).alias("row_pct"), F.round(ratio(F.col("p"), base), 4).alias("lift"))
+    y = F.col(target).cast("double")
+    g = _with_totals(df.groupBy(col).agg(F.count("*").alias("row_count"), F.avg(y).alias("p"), F.sum(y).alias("_sum"), F.count(y).alias("_n")), {"_all": "row_count", "_all_sum": "_sum", "_all_n": "_n"})
+    base = F.col("_all_sum") / F.col("_all_n")
+    return g.select(col, "row_count", F.round("p", 6).alias("prevalence"), percent(F.col("row_count"), F.col("_all")).alias("row_pct"), F.round(ratio(F.col("p"), base), 4).alias("lift"))
 
 
 def crosstab(df: DataFrame, rows: str, cols: str, values: list) -> DataFrame:
@@ -291,8 +302,9 @@ def risk_by_pattern(df: DataFrame, pattern_col: Column, failed: Column, complete
     """Failure rate by null pattern against the baseline in percentage points, only over rows whose
     follow-up is complete."""
     g = df.where(complete).groupBy(pattern_col.alias("pattern")).agg(F.count("*").alias("row_count"), F.count_if(failed).alias("failures"))
-    base = 100.0 * F.sum("failures").over(_total()) / F.sum("row_count").over(_total())
-    return g.withColumn("failure_pct", percent(F.col("failures"), F.col("row_count"))).withColumn("difference_pp", F.round(100.0 * F.col("failures") / F.col("row_count") - base, 4))
+    g = _with_totals(g, {"_all": "row_count", "_failed": "failures"})
+    base = 100.0 * F.col("_failed") / F.col("_all")
+    return g.withColumn("failure_pct", percent(F.col("failures"), F.col("row_count"))).withColumn("difference_pp", F.round(100.0 * F.col("failures") / F.col("row_count") - base, 4)).drop("_all", "_failed")
 
 
 def missingness_risk(df: DataFrame, cols: list[str], failed: Column) -> DataFrame:

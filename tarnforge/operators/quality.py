@@ -73,15 +73,28 @@ def columns_absent(df: DataFrame, forbidden: list[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class Check:
+    """A test: its failing rows, or, of a test of single rows, the frame and the condition of failure."""
+
     name: str
     failures: DataFrame
     severity: str = "error"
+    condition: Column | None = None
 
 
 def report(checks: list[Check]) -> DataFrame:
-    """All checks in one job: name, severity, failing rows, passed."""
-    rows = [c.failures.agg(F.count("*").alias("failing_rows")).select(F.lit(c.name).alias("test_name"), F.lit(c.severity).alias("severity"), "failing_rows") for c in checks]
-    return sets.union_years(*rows).withColumn("passed", F.col("failing_rows") == 0)
+    """All checks in one job: name, severity, failing rows, passed. Tests of the rows of one frame are
+    counted in one pass over it."""
+    parts, frames = [], {}
+    for c in checks:
+        if c.condition is None:
+            parts.append(c.failures.agg(F.count("*").alias("failing_rows")).select(F.lit(c.name).alias("test_name"), F.lit(c.severity).alias("severity"), "failing_rows"))
+        else:
+            frames.setdefault(id(c.failures), []).append(c)
+    for own in frames.values():
+        counts = own[0].failures.agg(*[F.count_if(F.coalesce(c.condition, F.lit(False))).alias(f"_{i}") for i, c in enumerate(own)])
+        rows = F.array(*[F.struct(F.lit(c.name).alias("test_name"), F.lit(c.severity).alias("severity"), F.col(f"_{i}").alias("failing_rows")) for i, c in enumerate(own)])
+        parts.append(counts.select(F.inline(rows)))
+    return sets.union_years(*parts).withColumn("passed", F.col("failing_rows") == 0)
 
 
 def zero_gate(counters: dict[str, int | None]) -> None:

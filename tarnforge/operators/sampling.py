@@ -37,6 +37,18 @@ def stable_sample(df: DataFrame, key: Column, n: int, seed: str = "") -> DataFra
     return df.orderBy(F.sha2(F.concat(key.cast("string"), F.lit(seed)), 256), key).limit(n)
 
 
+def sample_per_group(df: DataFrame, groups: list[str], key: Column, n: int, seed: str = "0") -> DataFrame:
+    """n rows of each group in a random order that the seed fixes: by a hash of the key."""
+    order = F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")).cast("binary"))
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(order))).where(F.col("_rank") <= n).drop("_rank")
+
+
+def cap_rows(df: DataFrame, key: str, positive: Column, most: int | None, seed: str = "0") -> DataFrame:
+    """About ``most`` rows: all of a smaller input, else an entity sample of that share, with weights."""
+    rows = df.count() if most is not None else 0
+    return entity_sample(df, key, positive, most / rows, seed) if most is not None and rows > most else df.withColumn("weight", F.lit(1.0))
+
+
 def bernoulli(df: DataFrame, percent: float, seed: int) -> DataFrame:
     return df.sample(withReplacement=False, fraction=percent / 100.0, seed=seed)
 

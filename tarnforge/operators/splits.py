@@ -35,7 +35,7 @@ def folds_between(first: dt.date, last: dt.date, n: int = 4, months: int = 2, em
         start = _month_shift(end, -i * months)
         out.append(Fold(start - dt.timedelta(days=embargo), start, _month_shift(start, months)))
     if out[0].train_end <= first:
-        raise ValueError("the first fold has no training rows; take fewer folds")
+        raise ValueError("nothing lies before the embargo of the earliest fold")
     return out
 
 
@@ -47,7 +47,7 @@ def embargo_folds(df: DataFrame, date: str, n: int = 4, months: int = 2, embargo
 def holdout(df: DataFrame, date: str, train_to: str, test_from: str, test_to: str, embargo: int = 30) -> tuple[DataFrame, DataFrame]:
     """Training up to a day, test from another, with more than ``embargo`` days between."""
     if (dt.date.fromisoformat(test_from) - dt.date.fromisoformat(train_to)).days <= embargo:
-        raise ValueError("the gap between training and test is within the embargo")
+        raise ValueError("test begins before the embargo after training is over")
     d = F.col(date).cast("date")
     return df.where(d <= F.lit(train_to).cast("date")), df.where(d.between(F.lit(test_from).cast("date"), F.lit(test_to).cast("date")))
 

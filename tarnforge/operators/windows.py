@@ -50,6 +50,11 @@ def top_k(df: DataFrame, part: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
+def lexsort(df: DataFrame, key: str, day: str, parts: int | None = None) -> DataFrame:
+    """Rows of an entity together and in day order; no order between entities, hence no global sort."""
+    return (df.repartition(parts, key) if parts else df.repartition(key)).sortWithinPartitions(key, day)
+
+
 def gaps(df: DataFrame, day: str) -> DataFrame:
     """Days of a spine whose predecessor is not the day before."""
     return df.withColumn("previous", F.lag(day).over(Window.orderBy(day))).where(F.datediff(F.col(day), F.col("previous")) != 1)

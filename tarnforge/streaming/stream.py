@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnforge.constants import EPISODE_DAYS
+from tarnforge.functions.lineage import remove
 from tarnforge.operators.merge import dedup_latest, merge_by_hash
 
 
@@ -48,14 +49,30 @@ def episodes(stream: DataFrame, key: str, day: str, score: str, tau: float, dura
     return live.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, opened_day long", "free long", "append", "NoTimeout")
 
 
-def upsert_sink(root: str, keys: list[str], hash_col: str, order: list, stamp: str | None = None):
-    """A foreachBatch function: each micro-batch is merged into a new version folder of the table, and
-    the version is named by the batch, so that a repeated batch writes the same version again."""
+def versions(spark, root: str) -> list[int]:
+    """Numbers of the versions of a table that are whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and done(n))
+
+
+def latest_version(spark, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/v{versions(spark, root)[-1]}")
+
+
+def upsert_sink(root: str, keys: list[str], hash_col: str, order: list, stamp: str | None = None, keep: int = 2):
+    """A foreachBatch function: each micro-batch is merged with the last whole version before it into a new
+    version folder, named by the batch, so that a repeated batch writes the same version again. A
+    version holds the whole table: this is for tables of moderate size. ``keep`` versions stay."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = dedup_latest(batch, keys, order)
-        out = fresh if epoch == 0 else merge_by_hash(spark.read.parquet(f"{root}/v{epoch - 1}"), fresh, keys, hash_col, stamp)
+        fresh, known = dedup_latest(batch, keys, order), [v for v in versions(spark, root) if v < epoch]
+        out = merge_by_hash(spark.read.parquet(f"{root}/v{known[-1]}"), fresh, keys, hash_col, stamp) if known else fresh
         out.write.mode("overwrite").parquet(f"{root}/v{epoch}")
+        for v in [*known, epoch][:-keep]:
+            remove(spark, f"{root}/v{v}")
 
     return write
