@@ -318,7 +318,10 @@ def d1(spark, d):
 
 @query("d6_label_diagnostics", _LABELLED + " SELECT year(d) AS year, label_status, count(*) AS row_count FROM l GROUP BY 1, 2")
 def d6(spark, d):
-    return labelled(spark, d).groupBy(F.year("d").alias("year"), "label_status").agg(F.count("*").alias("row_count"))
+    from tarnforge.plans import wide_table
+
+    stage = labelled(spark, d).select(F.col("d").alias("OBSERVATION_DATE"), F.col("label_status").alias("LABEL_STATUS"))
+    return wide_table.years_by_label(stage).withColumnRenamed("LABEL_STATUS", "label_status")
 
 
 FLAGSHIP = """WITH {daily}, {failed}, seen AS (SELECT user_id, max(d) AS last_seen FROM daily GROUP BY 1), r AS (
@@ -443,9 +446,11 @@ def _curve(spark, d):
     return s, events.curve(s, "user_id", "day", "value", events.thresholds(s, "value", N), SPAN)
 
 
-def _scale(spark, d):
-    s = scored(spark, d)
-    return events.anticipable(s, "user_id").first()["events"], events.exposure(s, "user_id", "day").first()["entity_months"]
+def _scale(spark, d, s=None):
+    """Events and entity-months, in one job."""
+    s = scored(spark, d) if s is None else s
+    row = events.anticipable(s, "user_id").crossJoin(events.exposure(s, "user_id", "day")).first()  # one row each
+    return row["events"], row["entity_months"]
 
 
 @query("e1_anticipable_events", f"WITH {SCORED} SELECT count(DISTINCT user_id) AS events FROM scored WHERE days_to_failure BETWEEN 7 AND 30")
@@ -507,7 +512,8 @@ def e12(spark, d):
 
 @query("e13_budgets_by_k", f"{_SWEEP} SELECT k, round(1000.0 * alerts / months, 4)::DOUBLE AS budget FROM sw, ex")
 def e13(spark, d):
-    return cost.budgets_by_k(cost.sweep(_curve(spark, d)[1], *_scale(spark, d)), _scale(spark, d)[1])
+    n, months = _scale(spark, d)
+    return cost.budgets_by_k(cost.sweep(_curve(spark, d)[1], n, months), months)
 
 
 @query("e19_lead_times", f"""WITH {SCORED}, f AS (SELECT user_id, arg_min(days_to_failure, day) FILTER (WHERE value >= {TAU}) AS lead_1, min(day) AS fd FROM scored WHERE value >= {TAU} GROUP BY 1),

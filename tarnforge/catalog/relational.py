@@ -238,25 +238,13 @@ def e8(spark, d):
 
 @query("e10_apply_thresholds", _SWEEP + " SELECT k, round(CASE WHEN tau = 'Infinity'::DOUBLE THEN cost_without_model ELSE cost END, 3) AS cost FROM sw WHERE k IN (1, 25, 50)")
 def e10(spark, d):
+    """Thresholds chosen once, applied by one curve."""
     s, c = _curve(spark, d)
     chosen = [(r.k, r.tau) for r in cost.sweep(c, *_scale(spark, d), ks=(1, 25, 50)).collect()]
-    finite = [x for x in chosen if x[1] < float("inf")]
-    at = {t: events.episodes(s, "user_id", "day", "value", t, SPAN) for _, t in finite}
-    n, months = _scale(spark, d)
-    out = []
-    for k, t in chosen:
-        a, h = (at[t].count(), at[t].where("outcome = 'hit'").count()) if t in at else (0, 0)
-        out.append((k, round(1000.0 * ((a - h) + k * (n - h)) / months, 3)))
-    return spark.createDataFrame(out, "k int, cost double")
+    got = cost.apply_thresholds(s, "user_id", "day", "value", chosen, SPAN)
+    return spark.createDataFrame([(r["k"], round(r["cost"], 3)) for r in got], "k int, cost double")
 
 
 @query("e20_first_alerts", f"WITH {SCORED}, f AS (SELECT user_id, min(day) AS fd FROM scored WHERE value >= 80 GROUP BY 1) SELECT f.user_id, f.fd AS first_day, s.days_to_failure, CASE WHEN s.days_to_failure > 30 THEN 'early' WHEN s.days_to_failure >= 7 THEN 'in_window' WHEN s.days_to_failure >= 1 THEN 'late' ELSE 'none_ahead' END AS alert_class FROM f JOIN scored s ON s.user_id = f.user_id AND s.day = f.fd")
 def e20(spark, d):
     return events.first_alerts(scored(spark, d), "user_id", "day", "value", 80.0)
-
-
-@query("e21_univariate_area", None)
-def e21(spark, d):
-    """Area of the event curve of each sign of two columns, with its lift over random alarms."""
-    rows = events.univariate_auc(scored(spark, d), "user_id", "day", ["value", "n"], N)
-    return spark.createDataFrame([(r["pr_auc"], r["column"], r["sign"], r["lift"]) for r in rows], "pr_auc double, column_name string, sign int, lift double").orderBy(F.desc("pr_auc"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
-from tarnforge.catalog.base import DAILY, FAILED, daily, failures, query, read
+from tarnforge.catalog.analytics import SPAN, TAU, _ONE, _episode_ctes
+from tarnforge.catalog.base import DAILY, FAILED, daily, failures, query, read, scratch
 from tarnforge.functions.keys import date_key, surrogate_key
 from tarnforge.plans import wide_table as w
 from tarnforge.streaming import stream
@@ -43,24 +45,75 @@ FROM daily r LEFT JOIN failed f USING (user_id) LEFT JOIN seen s USING (user_id)
 def obt_wide(spark, d):
     """The 847-column table, stored and counted from what was stored."""
     spec = w.Spec()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tarnforge"
-    stage = f"{folder.rstrip('/')}/obt-{uuid.uuid4().hex}"
+    stage = scratch(spark, "obt")
     w.build(*_facts(spark, d, spec.ids), spec).write.parquet(stage)
     out = spark.read.parquet(stage)
     return out.groupBy("LABEL_STATUS").agg(F.count("*").alias("row_count"), F.lit(len(out.columns)).alias("width"))
 
 
+def _stream(spark, path: str, schema, **options):
+    """A folder or one file of Parquet as a stream."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").options(**options)
+    return reader.parquet(path if _is_folder(spark, path) else f"{path[:-1]}[{path[-1]}]")
+
+
+def _events(spark, d):
+    path = f"{d}/events.parquet"
+    return _stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _ended(spark, out):
+    """All that a stream gives by its end, as a table."""
+    folder = scratch(spark, "stream")
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 @query("st_stream_latest_once", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def st_latest(spark, d):
     """The events as a stream, each delivered twice, de-duplicated within the watermark."""
-    source = read(spark, d, "events")
-    live = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
-    live = live.withColumn("ts", F.col("ts").cast("timestamp"))
-    twice = live.unionByName(live)
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tarnforge').rstrip('/')}/stream-{uuid.uuid4().hex}"
-    out = stream.latest_once(twice, ["event_id"], "ts", "30 days")
-    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+    live = _events(spark, d)
+    return _ended(spark, stream.latest_once(live.unionByName(live), ["event_id"], "ts", "30 days")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("st_windowed_means", """WITH w AS (SELECT event_type, value, date_trunc('day', ts) - to_days(CAST(i AS INTEGER)) AS a FROM events, range(7) t(i))
+SELECT event_type, CAST(a AS DATE) AS first_day, round(avg(value), 6) AS mean_value, count(value) AS n_values FROM w WHERE a + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""")
+def st_means(spark, d):
+    """Sliding means of all windows that the watermark has closed."""
+    out = _ended(spark, stream.windowed_means(_events(spark, d), "event_type", "ts", "value"))
+    return out.select("event_type", F.to_date("window_start").alias("first_day"), F.round("mean_value", 6).alias("mean_value"), "n_values")
+
+
+@query("st_late_rows", "SELECT CAST(ts + to_days(CAST(event_id % 4 AS INTEGER)) AS DATE) AS day, count(*) AS row_count, count(*) FILTER (WHERE event_id % 4 > 2) AS late_rows FROM events GROUP BY 1")
+def st_late(spark, d):
+    """Rows that arrive later than two days, counted by a stream as a whole."""
+    live = _events(spark, d).withColumn("arrived", F.col("ts") + F.make_dt_interval((F.col("event_id") % 4).cast("int")))
+    name = f"late_{uuid.uuid4().hex}"
+    stream.late_rows(live, "ts", "arrived", "2 days").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("st_episodes", f"WITH RECURSIVE {_episode_ctes(_ONE)} SELECT user_id, CAST(day AS BIGINT) AS opened_day FROM opened")
+def st_episodes(spark, d):
+    """The episode state machine over a stream of daily scores."""
+    path = scratch(spark, "daily")
+    daily(spark, d).select("user_id", "day", "value").write.parquet(path)
+    return _ended(spark, stream.episodes(_stream(spark, path, "user_id long, day int, value double"), "user_id", "day", "value", TAU, SPAN))
+
+
+@query("st_micro_batch_upsert", """WITH t AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10), s AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS p_name, p_size FROM part WHERE p_size <= 40)
+SELECT p_partkey, coalesce(s.p_name, t.p_name) AS p_name FROM t FULL JOIN s USING (p_partkey)""")
+def st_upsert(spark, d):
+    """Two deliveries, a micro-batch each, merged into versions of a table."""
+    folder, p = scratch(spark, "upsert"), read(spark, d, "part")
+    first, second = p.where("p_size > 10"), p.where("p_size <= 40").withColumn("p_name", F.when(F.col("p_size") > 25, F.upper("p_name")).otherwise(F.col("p_name")))
+    for n, rows in enumerate((first, second)):
+        rows.select("p_partkey", "p_name", "p_size", surrogate_key(F.col("p_name"), F.col("p_size")).alias("row_hash"), F.lit(n).alias("stamp")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(1.1)  # files are taken in the order of their times
+    live = _stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, maxFilesPerTrigger="1")
+    sink = stream.upsert_sink(f"{folder}/table", ["p_partkey"], "row_hash", [F.desc("stamp")])
+    live.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.latest_version(spark, f"{folder}/table").select("p_partkey", "p_name")
 
 
 def _is_folder(spark, path: str) -> bool:
