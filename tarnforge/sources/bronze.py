@@ -120,7 +120,8 @@ def parquet_envelope(path: str) -> str:
         while chunk := f.read(1 << 20):
             h.update(chunk)
             last = (last + chunk)[-4:]
-    if head != b"PAR1" or last != b"PAR1":
+        size = f.tell()
+    if head != b"PAR1" or last != b"PAR1" or size < 12:
         raise SourceError(f"{path} is no Parquet file")
     return h.hexdigest()
 

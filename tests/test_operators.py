@@ -341,3 +341,40 @@ def test_ranking_metrics(spark):
     assert metrics.roc_auc(df, "s", "y").first()[0] == pytest.approx(np.mean(pairs), abs=1e-6)
     ap = sum(((s == t) & (y == 1)).sum() / y.sum() * y[s >= t].mean() for t in np.unique(s))
     assert metrics.average_precision(df, "s", "y").first()[0] == pytest.approx(ap, abs=1e-6)
+
+
+def test_bernoulli_and_caps(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 100).alias("e"))
+    assert abs(sampling.bernoulli(df, 10, 3).count() - 2000) < 250 and sampling.bernoulli(df, 10, 3).count() == sampling.bernoulli(df, 10, 3).count()
+    assert sampling.cap_rows(df, "e", F.lit(False), None).count() == sampling.cap_rows(df, "e", F.lit(False), 20_000).count() == 20_000
+    some = sampling.cap_rows(df, "e", F.col("e") == 1, 5000)
+    assert 2000 < some.count() < 8000 and {r.weight for r in some.select("weight").distinct().collect()} == {1.0, 4.0}
+
+
+def test_modes_are_broadcast_or_joined(spark, monkeypatch):
+    from tarnforge.operators import impute
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.choice("ab"), rng.choice("xyz"), rng.choice([None, 1, 2, 3])) for _ in range(300)], "f string, c string, v int")
+    levels = [("fine", ["f", "c"], 40), ("coarse", ["f"], 30), ("all", [], None)]
+    one = sorted(map(str, impute.impute_hierarchical(df, "v", levels).collect()))
+    monkeypatch.setattr(impute, "FEW", 0)
+    assert sorted(map(str, impute.impute_hierarchical(df, "v", levels).collect())) == one
+
+
+def test_curves_of_groups_are_curves_of_each(spark):
+    from tarnforge.operators import events
+
+    rng = random.Random(5)
+    rows = [(g, e, day, rng.choice([None, float("nan"), 1.0, 2.0, 3.5, rng.random() * 4]), rng.choice([None, 3, 9, 20])) for g in "pq" for e in range(12) for day in range(30)]
+    df = spark.createDataFrame(rows, "g string, e int, day int, s double, days_to_failure int")
+    taus = events.thresholds_by(df, "g", "s", 9)
+    both = events.curve_by(df, "g", "e", "day", "s", taus, 5)
+    areas = {r.g: r.pr_auc for r in events.pr_auc_by(both, ["g"], 12).collect()}
+    for g in "pq":
+        own = df.where(F.col("g") == g)
+        assert taus[g] == events.thresholds(own, "s", 9)
+        one = events.curve(own, "e", "day", "s", taus[g], 5)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, both.where(F.col("g") == g).drop("g").collect()))
+        assert areas[g] == events.pr_auc(one, 12).first().pr_auc
+    assert events.thresholds(df.where("false"), "s", 9) == [] and events.curve(df, "e", "day", "s", [], 5).count() == 0

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnforge.operators import metrics, models, splits
-from tarnforge.sources import bronze, publish, snapshot
+from tarnforge.sources import bronze, publish, snapshot, tables
 
 
 def test_zip_members(tmp_path):
@@ -64,6 +64,48 @@ def test_parquet_records(spark, tmp_path):
         bronze.parquet_envelope(str(tmp_path / "bad"))
 
 
+def test_fetch_is_whole_or_not_there(spark, tmp_path):
+    import io
+
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/t")
+    good = next((tmp_path / "t").glob("*.parquet")).read_bytes()
+    answers = [b"PAR1 cut off", OSError("gone"), good]
+
+    def source():
+        x = answers.pop(0)
+        if isinstance(x, OSError):
+            raise x
+        return io.BytesIO(x)
+
+    to = str(tmp_path / "copy.parquet")
+    assert bronze.fetch(source, to, attempts=3, pause=0) == bronze.parquet_envelope(to) and spark.read.parquet(to).count() == 3
+    answers += [b"", b"PAR1"]
+    with pytest.raises(bronze.SourceError):
+        bronze.fetch(source, str(tmp_path / "other"), attempts=2, pause=0)
+    assert not [n for n in os.listdir(tmp_path) if n.startswith("other")]
+    answers += [b""] * 5 + [good]
+    bronze.fetch(source, str(tmp_path / "other"), attempts=None, pause=0)
+
+
+def test_seed(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('"a","b"\n"1","x, y"\n')
+    assert bronze.read_seed(spark, str(tmp_path / "s.csv")).collect() == [("1", "x, y")]
+
+
+def test_connector(spark, tmp_path):
+    spark.range(10).select("id", (F.col("id") * 2).alias("twice")).write.parquet(f"{tmp_path}/t.parquet")
+    c = tables.Connector(spark, str(tmp_path), ".parquet")
+    q = c.query("SELECT twice FROM {t} WHERE id > 7;", ["t"])
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.twice for r in q.collect()) == [16, 18] and "GreaterThan(id,7)" in plan
+    assert c.table("t", ["id"]).columns == ["id"] and not [v for v in spark.catalog.listTables() if v.name.startswith("_t_")]
+    for bad in (lambda: c.table("../t"), lambda: c.query("DROP TABLE {t}", ["t"]), lambda: tables.scan(spark, "a; b")):
+        with pytest.raises(bronze.GuardError):
+            bad()
+    one = tables.session(spark).first()
+    assert one.catalog == "spark_catalog" and one.user
+
+
 def test_guarded_query(spark):
     spark.range(5).createOrReplaceTempView("five")
     assert len(bronze.query_small(spark, "select * from five;", 5)) == 5
@@ -114,6 +156,34 @@ def test_publish(spark, tmp_path):
     assert publish.redact("Password=abc x") == "Password=*** x"
 
 
+def test_a_reader_always_finds_a_pointer(spark, tmp_path):
+    """Pointers are added under new names; a half-written one is hidden."""
+    root = str(tmp_path)
+    for n in range(3):
+        path = publish.stage_path(root, "t", f"{n}" * 12)
+        publish.write_stage(spark.range(n + 1), path)
+        publish.promote(spark, path, "t_view", root, "t")
+        assert publish.open_published(spark, root, "t").count() == n + 1
+    names = sorted(os.listdir(f"{root}/_pointers/t"))
+    assert len([x for x in names if x.startswith("p-")]) == 3 and not [x for x in names if x.startswith(".p-") and not x.endswith(".crc")]
+    with open(f"{root}/_pointers/t/.p-00000009-x", "w") as f:
+        f.write("half")
+    assert publish.open_published(spark, root, "t").count() == 3
+
+
+def test_prompt_cases_and_answers(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.00049, None), (2, float("nan"), 7.0)], "age int, a double, a_mean double")
+    got = [r.prompt_case for r in models.prompt_cases(df, "age", ["a"], {"now": "", "mean": "_mean"}).orderBy("age").collect()]
+    assert got == ['{"age_days":1.0,"a":{"now":2.0,"mean":null}}', '{"age_days":2.0,"a":{"now":null,"mean":7.0}}']
+    with pytest.raises(ValueError):
+        models.prompt_cases(df.withColumn("target", F.lit(1)), "target", ["a"], {"now": ""})
+    cache, asked = models.KeyedCache(str(tmp_path / "c")), []
+    ask = lambda batch: asked.append(batch) or [0.5]
+    for batch in ([{"id": 1}], [{"id": 1}], [{"id": 2}]):
+        assert cache.answer("m", "say", batch, ask) == [0.5]
+    assert len(asked) == 2 and len(os.listdir(tmp_path / "c")) == 2
+
+
 def test_models(spark):
     rows = [(dt.date(2024, 1, 1) + dt.timedelta(k % 300), float(k % 10), float((k * 7) % 5) if k % 4 else None, int(k % 10 >= 6)) for k in range(1200)]
     df = spark.createDataFrame(rows, "day date, a double, b double, y int").cache()
