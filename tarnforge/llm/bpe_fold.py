@@ -238,7 +238,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, bpe: Bpe | None =
 
     docs = docs.drop("ids")
     small_batches(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))  # the driver keeps texts of plans, which hold the literals
     shared, token = docs.sparkSession.sparkContext.broadcast(encoded_words(docs, bpe or Bpe(read_ranks(path)), pattern)), uuid.uuid4().hex
     at = docs.columns.index("text")
 

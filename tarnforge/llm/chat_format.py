@@ -9,7 +9,10 @@ Layout of a turn: ``<turn:ROLE>CONTENT</turn>``. Inside roles and texts ``&``, `
 ``>`` are written ``&amp;``, ``&lt;`` and ``&gt;``, so no text can form a control string
 and the escaping is undone exactly.
 
-Defined cases: a null text is empty; a null role is empty; turns are ordered by turn
+A conversation becomes one row, so its turns meet in one task and one array: a conversation may be as
+large as a row. Conversations are dealt out by id, so that many of them never meet.
+
+Defined cases: a null text is empty; a null role is empty; texts of any length are whole; turns are ordered by turn
 (null first), then role, then rendered content, so ties and repeated rows have one
 order; rows with a null conversation id form one conversation; a part of an unknown
 kind is rendered as text; an empty table gives no rows; other columns are ignored.

@@ -29,6 +29,8 @@ def id_crc(col) -> F.Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch brings to a Python worker, however long the texts are."""
+    """Bound what one Arrow batch brings to a Python worker, however long the texts are, and the texts of
+    plans that the driver keeps. The settings stay with the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 14))
