@@ -112,7 +112,7 @@ def prompt_cases(df: DataFrame, age: str, attributes: list[str], parts: dict[str
 
 class KeyedCache:
     """Answers by the SHA-256 of model, instructions and batch, each asked for once. An answer is written
-    under another name first, so that a broken run leaves none that is cut."""
+    under another name first, so that a broken run leaves none that is cut. The folder is the driver's."""
 
     def __init__(self, folder: str):
         self.folder = Path(folder)
@@ -132,7 +132,8 @@ class KeyedCache:
 
 
 class RunLog:
-    """Append-only JSON run log with aliases and an idempotent result cache."""
+    """Append-only JSON run log with aliases and an idempotent result cache, in a folder of the driver:
+    what is logged is small, and no executor reads it."""
 
     def __init__(self, folder: str):
         self.folder = Path(folder)

@@ -215,3 +215,14 @@ def test_without_training_data_operators():
 
     root = pathlib.Path(__file__).parent.parent / "tarnforge"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "tarnforge.llm" in p.read_text()]
+
+
+def test_archive_is_importable(tmp_path):
+    import subprocess
+    import sys
+
+    from tarnforge.functions import package
+
+    path = package.archive(str(tmp_path))
+    said = subprocess.run([sys.executable, "-c", f"import sys; sys.path.insert(0, {path!r}); import tarnforge.operators.events as e; print(e.__file__)"], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+    assert path in said.stdout, said.stderr
