@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A rank file becomes a literal map: a hash table in which each byte string has one of three
-slots, so that a lookup reads at most three array elements. Encoding folds the ranked merges over the byte array of a word: the state holds
+A rank file becomes a literal map, a row of arrays in the query: a hash table in which each byte string has
+one of three slots, so that a lookup reads at most three array elements. Encoding folds the ranked merges over the byte array of a word: the state holds
 the pieces and the rank of each neighbouring pair, and each step joins the leftmost pair of
 lowest rank and renews its two neighbours, until no pair has a rank.
 
@@ -28,10 +28,10 @@ import uuid
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnforge.llm.common import small_batches, table
+from tarnforge.llm.common import free_name, small_batches, table
 
 FREQUENT, LONGEST, CACHE = 1 << 17, 48, 1 << 17
 NONE = 2**31 - 1
@@ -55,11 +55,11 @@ def _hashes(key: str) -> int:
     return xxhash.xxh64_intdigest(key.encode(), 42)
 
 
-def place(entries: dict[str, str]) -> tuple[list[str], list[str]]:
+def place(entries: dict[str, int]) -> tuple[list[str], list[int]]:
     """Cuckoo placement: each key in one of its three slots. Keys and values by slot; "" is free."""
     size = max(8, int(len(entries) * 1.25))
     while True:
-        keys, values, room = [""] * size, [""] * size, True
+        keys, values, room = [""] * size, [0] * size, True
         for turn, (key, value) in enumerate(entries.items()):
             for k in range(500):
                 h = _hashes(key)
@@ -77,15 +77,16 @@ def place(entries: dict[str, str]) -> tuple[list[str], list[str]]:
         size = size * 5 // 4
 
 
-def literal_array(strings: list[str]) -> Column:
-    """Strings as one literal, split at a mark of two control characters that gives them back. All
-    characters are of ISO-8859-1, so that the texts of plans, which repeat the literal, are half as long
-    in memory."""
-    for k in range(1, 31):
-        mark = chr(k) + chr(k + 1)
-        if mark.join(strings).split(mark) == strings:
-            return F.split(F.lit(mark.join(strings)), mark)
-    raise ValueError("no mark parts these strings")
+def literal_row(arrays: dict[str, tuple[list, str]]) -> Column:
+    """Literal arrays (values and their Arrow type, by name) as a struct. The query holds them as a local
+    relation of one row, and reads it as a scalar subquery: as literals of an expression they would
+    stand in the text of every plan and of each of its updates, megabytes that the driver writes and keeps.
+    To be projected as a column that one higher-order function reads; the optimizer then joins both
+    projections, so that no row carries the arrays."""
+    import pyarrow as pa
+
+    row = pa.table({n: pa.array([v], pa.list_(getattr(pa, kind)())) for n, (v, kind) in arrays.items()})
+    return SparkSession.active().createDataFrame(row).select(F.struct(*arrays).alias("row")).scalar()
 
 
 class LiteralMap:
@@ -95,10 +96,10 @@ class LiteralMap:
     plan holds one copy of it.
     """
 
-    def __init__(self, entries: dict[str, str], kind: str = "string"):
+    def __init__(self, entries: dict[str, int]):
         keys, values = place(entries)
         self.size = len(keys)
-        self.arrays = F.struct(literal_array(keys).alias("keys"), literal_array([v or "0" for v in values]).cast(f"array<{kind}>").alias("values"))
+        self.arrays = literal_row({"keys": (keys, "string"), "values": (values, "int32")})
 
     def get(self, arrays: Column, key: Column) -> Column:
         """The value, or null."""
@@ -120,15 +121,15 @@ def let(value: Column, body) -> Column:
 
 
 class Bpe:
-    """Column functions of one vocabulary. ``t`` is the bound ``tables``."""
+    """Functions of one vocabulary. ``t`` is the bound ``tables``."""
 
     def __init__(self, ranks: dict[bytes, int]):
         by_id = [""] * (max(ranks.values(), default=-1) + 1)
         for b, r in ranks.items():
             by_id[r] = b.decode("latin-1")
-        self.ranks = LiteralMap({b.decode("latin-1"): str(r) for b, r in ranks.items()}, "int")
+        self.ranks = LiteralMap({b.decode("latin-1"): r for b, r in ranks.items()})
         self.tables = self.ranks.arrays
-        self.pieces = literal_array(by_id)
+        self.pieces = literal_row({"pieces": (by_id, "string")})
 
     def rank(self, t: Column, piece: Column) -> Column:
         return F.coalesce(self.ranks.get(t, piece), F.lit(NONE))
@@ -166,10 +167,18 @@ class Bpe:
         raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
         return let(raw, lambda w: F.coalesce(self.ranks.get(t, w).cast("string"), F.array_join(F.transform(self.merged(t, w), lambda p: self.ranks.get(t, p).cast("string")), ",")))
 
-    def decode(self, ids: Column) -> Column:
-        """Binary of an array of ids: the binary pieces, concatenated."""
-        joined = let(self.pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""))
-        return F.encode(joined, "ISO-8859-1")
+    def encoded(self, df: DataFrame, word: str, name: str) -> DataFrame:
+        """Adds the ids of the words of a column."""
+        held = free_name(df.columns, "_tables")
+        rows = df.withColumn(held, self.tables)
+        return rows.select(*df.columns, let(F.col(held), lambda t: self.encode_word(t, F.col(word))).alias(name))
+
+    def decoded(self, df: DataFrame, ids: str, name: str) -> DataFrame:
+        """Adds the binary of arrays of ids: the binary pieces, concatenated."""
+        held = free_name(df.columns, "_pieces")
+        rows = df.withColumn(held, self.pieces)
+        joined = let(F.col(held), lambda p: F.array_join(F.transform(ids, lambda i: F.get(p["pieces"], i)), ""))
+        return rows.select(*df.columns, F.encode(joined, "ISO-8859-1").alias(name))
 
 
 def count_words(docs: DataFrame, pattern: str) -> DataFrame:
@@ -197,7 +206,7 @@ def encoded_words(docs: DataFrame, bpe: Bpe, pattern: str) -> bytes:
     # Read twice, for the bound and for the words; lost parts are computed again.
     counted = count_words(docs, pattern).where(F.octet_length("w") <= LONGEST).persist(StorageLevel.DISK_ONLY)
     try:
-        folded = most_frequent(counted, FREQUENT).select("w", let(bpe.tables, lambda t: bpe.encode_word(t, F.col("w"))).alias("ids")).toArrow()
+        folded = bpe.encoded(most_frequent(counted, FREQUENT).select("w"), "w", "ids").toArrow()
     finally:
         counted.unpersist()
     out = pa.BufferOutputStream()
@@ -282,8 +291,8 @@ def op8_bpe_fold(spark, sf_dir: str) -> DataFrame:
     path = public.path("byte_bpe_multi_50k.tiktoken")
     bpe = Bpe(read_ranks(path))
     out = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public.PATTERN, bpe)
-    return out.select(
+    return bpe.decoded(out, "ids", "raw").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
+        F.sha2("raw", 256).alias("decoded_sha256"),
     )
