@@ -54,7 +54,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public.path("byte_bpe_multi_50k.tiktoken")
     bpe = bpe_fold.Bpe(bpe_fold.read_ranks(path))
     out = bpe_fold.encode_documents(docs.select("doc_id", "lang", "source", "text"), path, public.PATTERN, bpe)
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), bpe.decode(F.col("ids")).cast("string").alias("decoded"))
+    out = bpe.decoded(out, "ids", "decoded")
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").cast("string").alias("decoded"))
 
 
 STAGES = [("toxicity", toxicity), ("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontamination), ("encoding", encoding)]
