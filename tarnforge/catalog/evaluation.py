@@ -141,6 +141,14 @@ def w13(spark, d):
     return sampling.sample_per_group(read(spark, d, "orders"), ["o_orderpriority"], F.col("o_orderkey"), 20, "6").select("o_orderpriority", "o_orderkey")
 
 
+@query("bernoulli_share", "SELECT true AS near_a_fifth, true AS repeatable FROM (SELECT count(*) FROM lineitem)")
+def bernoulli(spark, d):
+    """Each row by itself with a chance of 20 %: the share is near it, and the same for the same seed."""
+    l = read(spark, d, "lineitem")
+    n, one, two = l.count(), *[sampling.bernoulli(l, 20, 7).count() for _ in range(2)]
+    return spark.createDataFrame([(abs(one - 0.2 * n) < 5 * (0.16 * n) ** 0.5, one == two)], "near_a_fifth boolean, repeatable boolean")
+
+
 @query("w14_offset_period", f"WITH {DAILY} SELECT a.user_id, a.d, round(avg(b.value) + 1e-7, 4) AS previous_mean, count(b.value) AS previous_count FROM daily a LEFT JOIN daily b ON b.user_id = a.user_id AND b.d BETWEEN a.d - 13 AND a.d - 7 GROUP BY 1, 2")
 def w14(spark, d):
     """The period before the window, recomputed by the oracle as a join of all pairs of days."""

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import tempfile
+import zipfile
+
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from tarnforge.catalog.base import query, read, scratch
+from tarnforge.catalog.base import SPARSE, query, read, scratch, sparse_lines
 from tarnforge.operators import clean, quality
 from tarnforge.sources import bronze, publish, snapshot, tables
 
@@ -24,6 +30,44 @@ def s4(spark, d):
     return out.select("source_archive", "source_row", "n_nationkey", "n_name")
 
 
+@query("s2_zip_members", f"SELECT 'nations.zip' AS source_archive, 'x/20180101.csv' AS source_file, place + 1 AS source_row, '20180101' AS source_date, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM ({_NATION})")
+def s2(spark, d):
+    """A member of an archive on the driver, found by its date and extracted with lineage columns."""
+    cols, names = ["n_nationkey", "n_name"], ["source_archive", "source_file", "source_row", "source_date"]
+    rows = read(spark, d, "nation").select(*cols).orderBy("n_nationkey").collect()
+    with tempfile.TemporaryDirectory() as folder:
+        with zipfile.ZipFile(f"{folder}/nations.zip", "w") as z:
+            z.writestr("x/20180101.csv", "n_nationkey,n_name\n" + "".join(f"{r.n_nationkey},{r.n_name}\n" for r in rows))
+            z.writestr("__MACOSX/20180102.csv", "")
+        (_, member), = bronze.eligible_members(f"{folder}/nations.zip")
+        bronze.extract_member(f"{folder}/nations.zip", member, cols, f"{folder}/out.csv")
+        with open(f"{folder}/out.csv", newline="") as f:
+            got = [(a, b, int(n), *rest) for a, b, n, *rest in list(csv.reader(f))[1:]]
+    return spark.createDataFrame(got, ", ".join(f"{c} {'long' if c == 'source_row' else 'string'}" for c in [*names, *cols]))
+
+
+@query("s6_fetched_file", "SELECT r_regionkey, r_name, 64 AS hash_chars FROM region")
+def s6(spark, d):
+    """A file that arrives cut off at first, and whole at the second attempt."""
+    path = scratch(spark, "source")
+    read(spark, d, "region").select("r_regionkey", "r_name").coalesce(1).write.parquet(path)
+    content = bytes(spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("content").first()[0])
+    answers = [content[: len(content) // 2], content]
+    with tempfile.TemporaryDirectory() as folder:
+        digest = bronze.fetch(lambda: io.BytesIO(answers.pop(0)), f"{folder}/region.parquet", pause=0)
+        rows = pq.read_table(f"{folder}/region.parquet").to_pylist()
+    return spark.createDataFrame([(r["r_regionkey"], r["r_name"], len(digest)) for r in rows], "r_regionkey int, r_name string, hash_chars int")
+
+
+@query("s19_footer_nulls", f"WITH {SPARSE} SELECT count(*) FILTER (WHERE l_tax IS NULL) AS l_tax, count(*) FILTER (WHERE l_discount IS NULL) AS l_discount, 0::BIGINT AS l_partkey FROM sparse")
+def s19(spark, d):
+    """Nulls from the footers of files on the driver, without reading a column."""
+    with tempfile.TemporaryDirectory() as folder:
+        pq.write_table(sparse_lines(spark, d).select("l_tax", "l_discount", "l_partkey").toArrow(), f"{folder}/lines.parquet")
+        got = snapshot.footer_nulls(f"{folder}/lines.parquet", ["l_tax", "l_discount", "l_partkey"])
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{c} long" for c in got))
+
+
 @query("s3_load_plan", "WITH m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'), r AS (SELECT m, (row_number() OVER (ORDER BY m) - 1) // 2 AS g FROM m) SELECT min(m) || '..' || max(m) AS id, (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders WHERE strftime(o_orderdate, '%Y-%m') BETWEEN min(m) AND max(m)) AS n_days FROM r GROUP BY g")
 def s3(spark, d):
     """Days of a year in at most six loads of whole months."""
