@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import uuid
+from array import array
 
 import numpy as np
 from pyspark import StorageLevel
@@ -218,25 +219,38 @@ def encoded_words(docs: DataFrame, bpe: Bpe, pattern: str) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def known_words(stream: bytes) -> dict[str, bytes]:
-    import pyarrow as pa
+class Words(dict):
+    """The ids of known words, as bytes; any other word is encoded when it is asked for. Rare words of
+    at most ``LONGEST`` characters are kept in a cache that is emptied when it holds ``CACHE``."""
+
+    def __init__(self, stream: bytes, encode):
+        import pyarrow as pa
+
+        for b in pa.ipc.open_stream(stream):
+            self.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        self.encode, self.rare = encode, {}
 
-    out: dict[str, bytes] = {}
-    for b in pa.ipc.open_stream(stream):
-        out.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-    return out
+    def __missing__(self, word: str) -> bytes:
+        ids = self.rare.get(word)
+        if ids is None:
+            ids = array("i", self.encode(word)).tobytes()
+            if len(word) <= LONGEST:
+                if len(self.rare) >= CACHE:
+                    self.rare.clear()
+                self.rare[word] = ids
+        return ids
 
 
 _loaded: dict = {}
 
 
 def _library(path: str, pattern: str):
-    """The library's encoder of this rank file, and a cache, once a worker."""
+    """The library's encoder of this rank file, once a worker."""
     if (path, pattern) not in _loaded:
         import regex
         import tiktoken
 
-        _loaded[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}), regex.compile(pattern), {}
+        _loaded[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}), regex.compile(pattern)
     return _loaded[path, pattern]
 
 
@@ -251,34 +265,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, bpe: Bpe | None =
     at = docs.columns.index("text")
 
     def run(batches):
-        encoder, words, cache = _library(path, pattern)
-        known = _loaded.get(token)
-        if known is None:  # once a worker; an earlier table is let go
+        encoder, pieces = _library(path, pattern)
+        words = _loaded.get(token)
+        if words is None:  # once a worker; an earlier table is let go
             for old in [k for k in _loaded if isinstance(k, str)]:
                 del _loaded[old]
-            known = _loaded[token] = known_words(shared.value)
+            words = _loaded[token] = Words(shared.value, encoder.encode_ordinary)
         for b in batches:
             flat, sizes = [], [0]
             for x in b.column(at):
-                pieces = words.findall(x.as_py() or "")
-                got = list(map(known.get, pieces))
-                if None in got:
-                    for i, g in enumerate(got):
-                        if g is None:
-                            w = pieces[i]
-                            g = cache.get(w)
-                            if g is None:
-                                if len(cache) >= CACHE:
-                                    cache.clear()
-                                g = np.array(encoder.encode_ordinary(w), dtype=np.int32).tobytes()
-                                if len(w) <= LONGEST:
-                                    cache[w] = g
-                            got[i] = g
-                flat.append(np.frombuffer(b"".join(got), dtype=np.int32))
+                flat.append(np.frombuffer(b"".join(map(words.__getitem__, pieces.findall(x.as_py() or ""))), dtype=np.int32))
                 sizes.append(sizes[-1] + len(flat[-1]))
             ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([ids if i == at else b.column(i) for i in range(b.num_columns)], names)
-        cache.clear()  # an idle worker holds no words
+        words.rare.clear()  # an idle worker holds no rare words
 
     names = ["ids" if c == "text" else c for c in docs.columns]
     kinds = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType()) if i == at else f.dataType) for i, (n, f) in enumerate(zip(names, docs.schema.fields))])
