@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnforge.llm import block_repeats, bpe_fold, chat_format, fm_decontam, golay_dedup, hilbert_shards, language_id, quality_forest, token_counts, url_rules, weak_toxicity
+from tarnforge.llm import block_repeats, bpe_fold, chat_format, fm_decontam, golay_dedup, hard_negatives, hilbert_shards, language_id, quality_forest, token_counts, url_rules, weak_toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_bpe_fold": bpe_fold.op8_bpe_fold,
         "op9_golay_dedup": golay_dedup.op9_golay_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op13_block_repeats": block_repeats.op13_block_repeats,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_rules": url_rules.OP3_SQL,
         "op5_fm_decontam": fm_decontam.OP5_SQL,
         "op7_chat_format": chat_format.OP7_SQL,
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
         "op13_block_repeats": block_repeats.OP13_SQL,
     }
