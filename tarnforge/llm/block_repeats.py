@@ -231,7 +231,8 @@ def _told(rows: DataFrame, window: int) -> tuple[DataFrame, int]:
         raise ValueError("a repeat has two words at least")
     packets = packed(rows, lambda t: (to_bytes(t), t.nbytes // 6))  # about a word
     width = bucket_bits(packets)
-    return answered(answered(packets, _ask_blocks(window, width), _answer_blocks, "blocks"), _ask_windows(window, width), _answer_windows, "windows"), width
+    hits = packets.join(answered(packets, _ask_blocks(window, width), _answer_blocks, "blocks"), "packet", "left")
+    return hits.join(answered(hits, _ask_windows(window, width), _answer_windows, "windows"), "packet", "left"), width
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -34,8 +34,8 @@ def from_bytes(body) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
-def packed(rows: DataFrame, pack=None) -> DataFrame:
-    """Checkpointed (packet, body, size): runs of rows of one partition, each of about ``PACKET_BYTES``.
+def packed(rows: DataFrame, pack=None, limit: int = PACKET_BYTES) -> DataFrame:
+    """Checkpointed (packet, body, size): runs of rows of one partition, each of about ``limit`` bytes.
     ``pack`` takes a run as an Arrow table and gives (body, size); else the body is the run itself
     and the size its rows."""
     small_batches(rows.sparkSession)
@@ -46,7 +46,7 @@ def packed(rows: DataFrame, pack=None) -> DataFrame:
         for b in batches:
             held.append(b)
             size += b.nbytes
-            if size >= PACKET_BYTES:
+            if size >= limit:
                 yield done(held)
                 held, size = [], 0
         if any(b.num_rows for b in held):
@@ -67,7 +67,8 @@ def bucket_bits(packets: DataFrame) -> int:
 
 
 def answered(packets: DataFrame, ask, answer, name: str) -> DataFrame:
-    """The packets with a column ``name``: array of (bucket, body), in the order of buckets.
+    """Checkpointed (packet, ``name``): of each packet an array of (bucket, body), in the order of buckets. It is
+    small beside the packets, which are joined to it where it is used and not written again.
 
     ``ask(row)`` gives (bucket, body) of a packet, a dictionary of its columns; ``answer(bodies)``
     takes the bodies of one bucket and gives one for each."""
@@ -86,8 +87,7 @@ def answered(packets: DataFrame, ask, answer, name: str) -> DataFrame:
         return pa.table({"packet": t["packet"], "bucket": t["bucket"], "body": pa.array(answer(t["body"].to_pylist()), pa.binary())})
 
     replies = packets.mapInArrow(run, "bucket long, packet long, body binary").groupBy("bucket").applyInArrow(reply, "packet long, bucket long, body binary")
-    told = replies.groupBy("packet").agg(F.array_sort(F.collect_list(F.struct("bucket", "body"))).alias(name))
-    return cut(packets.join(told, "packet", "left"))
+    return cut(replies.groupBy("packet").agg(F.array_sort(F.collect_list(F.struct("bucket", "body"))).alias(name)))
 
 
 def shrunk(sorted_numbers: np.ndarray) -> bytes:
