@@ -20,7 +20,7 @@ broadcast by this code. A hot label or vector makes no task longer, since chunks
 Defined cases: rows with a null id, label or vector or a null, infinite or NaN component take no
 part; vectors are compared with those of the same length only (an empty one has the score 0 with others);
 other rows are those of other ids, and rows that share an id each count, anchors too; equal scores go by id;
-a score that no long holds is no score; anchors without positives have no rows; an empty table gives no
+a score of 2**59 or more in size, which longs can't hold safely, is no score; anchors without positives have no rows; an empty table gives no
 rows; other columns, of any name, are ignored.
 """
 
@@ -41,6 +41,8 @@ DIGIT, SCALE, POSITIVES, NEGATIVES = 9, 256, 5, 10
 LOW, HIGH = (3, 10), (9, 10)
 ANCHORS, CHUNK_BYTES, _STEP = 1024, 16 << 20, 1 << 20
 _NONE = np.iinfo(np.int64).min
+#: Scores are smaller in size, so that longs hold them and the fractions' multiples.
+LARGEST = 1 << 59
 _KEY = ["packet", "slot", "w"]
 
 
@@ -77,12 +79,12 @@ class Vectors:
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products as longs, exact; ``_NONE`` where a long can't hold it."""
+    """Inner products as longs, exact; ``_NONE`` for those of ``LARGEST`` and more."""
     if a.shape[1] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0) < 1 << 53:
         return (a @ b.T).astype(np.int64)
     whole = np.frompyfunc(int, 1, 1)
     exact = whole(a) @ whole(b).T
-    return np.where(abs(exact) < 1 << 62, exact, _NONE).astype(np.int64)
+    return np.where(abs(exact) < LARGEST, exact, _NONE).astype(np.int64)
 
 
 def _windows(column, i: int) -> dict[int, list[dict]]:
@@ -183,12 +185,29 @@ def _joined(chunks: DataFrame, anchors: DataFrame, state: DataFrame, keys: int)
     return rows.join(asked, "r")
 
 
+def _narrowed(frames):
+    """The windows after a digit: narrowed to the bucket of the kth row; closed where that is one score wide, and where
+    no bucket is the kth's, as the window has fewer rows, which all are taken."""
+    for w in frames:
+        found = w["bucket"].notna().to_numpy()
+        last = found & (w["shift"] == 0).to_numpy()
+        bucket, before, shift = (w[c].fillna(0).to_numpy().astype(np.int64) for c in ("bucket", "before", "shift"))
+        top = np.where(found, w["hi"] - (bucket << shift), w["hi"])
+        w["lo"] = np.where(found, np.maximum(w["lo"], top - (np.int64(1) << shift) + 1), w["lo"])
+        w["hi"] = top
+        w["need"] = np.where(found, w["need"] - before, np.where(w["open"], 0, w["need"])).astype("int32")
+        w["cutoff"] = np.where(last, top, w["cutoff"])
+        w["open"] = w["open"].to_numpy() & found & ~last
+        w["shift"] = np.where(found, np.maximum(shift - DIGIT, 0), shift).astype("int32")
+        yield w.drop(columns=["bucket", "before"])
+
+
 def select_best(chunks: DataFrame, anchors: DataFrame, windows: DataFrame, k: int, same: bool, span: int, keys: int) -> DataFrame:
     """The best ``k`` rows of each window: packet, slot, w, anchor_id, id, score, rank.
 
     ``windows``: packet, slot, w, lo, hi; none holds more than ``span`` scores."""
     width = F.col("hi") - F.col("lo") + 1
-    digits = F.greatest(F.ceil(F.log2(width.cast("double"))), F.lit(0)).cast("int")  # of a double: one too many at most, never too few, but see the bound below
+    digits = F.ceil(F.log2(width.cast("double"))).cast("int")  # where the double rounds down there is one bucket more
     state = windows.where("lo <= hi").select(
         *_KEY, "lo", "hi", F.greatest(digits - F.lit(DIGIT), F.lit(0)).alias("shift"), F.lit(k).alias("need"), F.lit(True).alias("open"),
         (F.col("lo") - 1).alias("cutoff"), F.col("hi").alias("most"),
@@ -199,14 +218,9 @@ def select_best(chunks: DataFrame, anchors: DataFrame, windows: DataFrame, k: in
         counted = pairs.mapInArrow(_counts(same, pairs.columns), "packet long, slot long, w long, bucket long, n long").groupBy(*_KEY, "bucket").agg(F.sum("n").alias("n"))
         run = F.sum("n").over(Window.partitionBy(*_KEY).orderBy("bucket"))
         kth = counted.join(state.select(*_KEY, "need"), _KEY).withColumn("upto", run).where("upto >= need and upto - n < need").select(*_KEY, "bucket", (F.col("upto") - F.col("n")).alias("before"))
-        found, last = F.col("bucket").isNotNull(), F.col("shift") == 0
-        top = F.col("hi") - F.expr("shiftleft(bucket, shift)")
-        state = cut(state.join(kth, _KEY, "left").select(
-            *_KEY, F.when(found, F.greatest("lo", top - F.expr("shiftleft(1L, shift)") + 1)).otherwise(F.col("lo")).alias("lo"), F.when(found, top).otherwise(F.col("hi")).alias("hi"),
-            F.when(found, F.greatest(F.col("shift") - F.lit(DIGIT), F.lit(0))).otherwise(F.col("shift")).alias("shift"),
-            F.when(found, F.col("need") - F.col("before")).when(F.col("open"), F.lit(0)).otherwise(F.col("need")).cast("int").alias("need"),
-            (F.col("open") & found & ~last).alias("open"), F.when(found & last, top).otherwise(F.col("cutoff")).alias("cutoff"), "most",
-        ))
+        state = cut(state.join(kth, _KEY, "left").mapInPandas(_narrowed, state.schema))
+        if not state.where("open").limit(1).count():
+            break
     pairs = _joined(chunks, anchors, state, keys)
     got = pairs.mapInArrow(_gathered(same, pairs.columns), "packet long, slot long, w long, anchor_id long, id long, score long")
     order = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.desc("score"), "id"))
@@ -227,7 +241,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, nega
     chosen = rows.where(is_anchor)
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(F.floor(x), F.lit(2.0)))
     longest, count = rows.agg(F.max(norm), F.count(F.when(is_anchor, True))).first()
-    most = min(int((longest or 0.0) * (1 + 1e-9)) + 1, 1 << 62)  # no inner product is larger
+    most = min(int((longest or 0.0) * (1 + 1e-9)) + 1, LARGEST)  # no inner product is larger
     chunks = packed(rows, _pack, CHUNK_BYTES)
     anchors = packed(chosen.repartition(max(1, -(-count // ANCHORS))), _pack, CHUNK_BYTES)
     keys = max(1, min(chunks.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))

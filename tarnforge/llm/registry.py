@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnforge.llm import block_repeats, bpe_fold, chat_format, fm_decontam, golay_dedup, hard_negatives, hilbert_shards, language_id, quality_forest, token_counts, url_rules, weak_toxicity
+from tarnforge.llm import block_repeats, bpe_fold, chat_format, fm_decontam, golay_dedup, hard_negatives, hilbert_shards, language_id, quality_forest, token_align, token_counts, url_rules, weak_toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_golay_dedup": golay_dedup.op9_golay_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_token_align": token_align.op12_token_align,
         "op13_block_repeats": block_repeats.op13_block_repeats,
     }
 
