@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import csv
 import io
-import tempfile
-import zipfile
 
-import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tarnforge.catalog.base import SPARSE, query, read, scratch, sparse_lines
+from tarnforge.functions.lineage import cut
 from tarnforge.operators import clean, quality
-from tarnforge.sources import bronze, publish, snapshot, tables
+from tarnforge.sources import archives, bronze, publish, snapshot, tables
 
 _NATION = "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS place FROM nation"
 
@@ -30,42 +27,63 @@ def s4(spark, d):
     return out.select("source_archive", "source_row", "n_nationkey", "n_name")
 
 
-@query("s2_zip_members", f"SELECT 'nations.zip' AS source_archive, 'x/20180101.csv' AS source_file, place + 1 AS source_row, '20180101' AS source_date, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM ({_NATION})")
+_DAY = "strftime(o_orderdate, '%Y%m%d')"
+
+
+@query("s2_zip_members", f"SELECT year(o_orderdate) || '.zip' AS source_archive, 'x/' || {_DAY} || '.csv' AS source_file, row_number() OVER (PARTITION BY {_DAY} ORDER BY o_orderkey) + 1 AS source_row, {_DAY} AS source_date, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def s2(spark, d):
-    """A member of an archive on the driver, found by its date and extracted with lineage columns."""
-    cols, names = ["n_nationkey", "n_name"], ["source_archive", "source_file", "source_row", "source_date"]
-    rows = read(spark, d, "nation").select(*cols).orderBy("n_nationkey").collect()
-    with tempfile.TemporaryDirectory() as folder:
-        with zipfile.ZipFile(f"{folder}/nations.zip", "w") as z:
-            z.writestr("x/20180101.csv", "n_nationkey,n_name\n" + "".join(f"{r.n_nationkey},{r.n_name}\n" for r in rows))
-            z.writestr("__MACOSX/20180102.csv", "")
-        (_, member), = bronze.eligible_members(f"{folder}/nations.zip")
-        bronze.extract_member(f"{folder}/nations.zip", member, cols, f"{folder}/out.csv")
-        with open(f"{folder}/out.csv", newline="") as f:
-            got = [(a, b, int(n), *rest) for a, b, n, *rest in list(csv.reader(f))[1:]]
-    return spark.createDataFrame(got, ", ".join(f"{c} {'long' if c == 'source_row' else 'string'}" for c in [*names, *cols]))
-
-
-@query("s6_fetched_file", "SELECT r_regionkey, r_name, 64 AS hash_chars FROM region")
+    """Orders as archives of years with a CSV member a day, written and read by executors."""
+    path, o = scratch(spark, "zip"), read(spark, d, "orders")
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    rows = o.select(F.year("o_orderdate").cast("string").alias("archive"), F.concat(F.lit("x/"), day, F.lit(".csv")).alias("member"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    archives.write_members(rows, path, "archive", "member", ["o_orderkey"])
+    return archives.member_rows(spark, path, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query("s2_members_of_days", f"SELECT {_DAY} AS source_date, count(*) AS n, CAST(max(o_orderkey) AS VARCHAR) AS last_key FROM orders WHERE CAST(o_orderdate AS DATE) IN (DATE '1996-02-29', DATE '1997-01-01') GROUP BY 1")
+def s2_days(spark, d):
+    """Of the archives only the members of two days are opened."""
+    path, o = scratch(spark, "zip"), read(spark, d, "orders").where("year(o_orderdate) IN (1996, 1997)")
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    archives.write_members(o.select(F.year("o_orderdate").cast("string").alias("archive"), F.concat(day, F.lit(".csv")).alias("member"), "o_orderkey"), path, "archive", "member", ["o_orderkey"])
+    got = archives.member_rows(spark, path, ["o_orderkey"], days=["1996-02-29", "1997-01-01"])
+    return got.groupBy("source_date").agg(F.count("*").alias("n"), F.max(F.col("o_orderkey").cast("long")).cast("string").alias("last_key"))
+
+
+def _cut_off_at_first(source: str, attempt: int):
+    """Half of a file at the first attempt, all of it then."""
+    system, at = archives.file_system(source)
+    with system.open_input_file(at) as f:
+        content = f.read()
+    return io.BytesIO(content[: len(content) // 2] if attempt == 0 else content)
+
+
+@query("s6_fetched_file", "SELECT s_suppkey, s_name, true AS whole FROM supplier")
 def s6(spark, d):
-    """A file that arrives cut off at first, and whole at the second attempt."""
+    """Files that arrive cut off at first and whole at the second attempt, copied by executors; their hashes are those of the sources."""
     path = scratch(spark, "source")
-    read(spark, d, "region").select("r_regionkey", "r_name").coalesce(1).write.parquet(path)
-    content = bytes(spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("content").first()[0])
-    answers = [content[: len(content) // 2], content]
-    with tempfile.TemporaryDirectory() as folder:
-        digest = bronze.fetch(lambda: io.BytesIO(answers.pop(0)), f"{folder}/region.parquet", pause=0)
-        rows = pq.read_table(f"{folder}/region.parquet").to_pylist()
-    return spark.createDataFrame([(r["r_regionkey"], r["r_name"], len(digest)) for r in rows], "r_regionkey int, r_name string, hash_chars int")
+    read(spark, d, "supplier").select("s_suppkey", "s_name").write.parquet(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    got = cut(archives.copy_whole(files.select(F.col("path").alias("source")), f"{path}-copy", pause=0, opener=_cut_off_at_first))
+    same = got.join(files.select(F.col("path").alias("source"), F.sha2("content", 256).alias("want")), "source").agg((F.count_if(F.col("sha256") == F.col("want")) == F.count("*")).alias("whole"))
+    return spark.read.parquet(f"{path}-copy").crossJoin(F.broadcast(same))  # one row
 
 
-@query("s19_footer_nulls", f"WITH {SPARSE} SELECT count(*) FILTER (WHERE l_tax IS NULL) AS l_tax, count(*) FILTER (WHERE l_discount IS NULL) AS l_discount, 0::BIGINT AS l_partkey FROM sparse")
+@query("s19_footer_nulls", f"WITH {SPARSE} SELECT 'l_tax' AS column_name, count(*) AS row_count, count(*) FILTER (WHERE l_tax IS NULL) AS null_count FROM sparse UNION ALL SELECT 'l_discount', count(*), count(*) FILTER (WHERE l_discount IS NULL) FROM sparse UNION ALL SELECT 'l_partkey', count(*), 0 FROM sparse")
 def s19(spark, d):
-    """Nulls from the footers of files on the driver, without reading a column."""
-    with tempfile.TemporaryDirectory() as folder:
-        pq.write_table(sparse_lines(spark, d).select("l_tax", "l_discount", "l_partkey").toArrow(), f"{folder}/lines.parquet")
-        got = snapshot.footer_nulls(f"{folder}/lines.parquet", ["l_tax", "l_discount", "l_partkey"])
-    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{c} long" for c in got))
+    """Nulls from the footers of files, read by executors, without reading a column."""
+    path = scratch(spark, "footers")
+    sparse_lines(spark, d).select("l_tax", "l_discount", "l_partkey").write.parquet(path)
+    return archives.footer_nulls(spark, path, ["l_tax", "l_discount", "l_partkey"])
+
+
+@query("s19_footer_ranges", "SELECT 'o_orderkey' AS column_name, count(*) AS row_count, CAST(min(o_orderkey) AS VARCHAR) AS low, CAST(max(o_orderkey) AS VARCHAR) AS high FROM orders")
+def s19_ranges(spark, d):
+    """Rows, least and largest key of a snapshot from its footers alone."""
+    path = scratch(spark, "footers")
+    read(spark, d, "orders").select("o_orderkey", "o_totalprice").write.parquet(path)
+    g = archives.footer_stats(spark, path).where("column_name = 'o_orderkey'").groupBy("column_name")
+    return g.agg(F.sum("row_count").alias("row_count"), F.min(F.col("low").cast("long")).cast("string").alias("low"), F.max(F.col("high").cast("long")).cast("string").alias("high"))
 
 
 @query("s3_load_plan", "WITH m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'), r AS (SELECT m, (row_number() OVER (ORDER BY m) - 1) // 2 AS g FROM m) SELECT min(m) || '..' || max(m) AS id, (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders WHERE strftime(o_orderdate, '%Y-%m') BETWEEN min(m) AND max(m)) AS n_days FROM r GROUP BY g")
@@ -87,7 +105,7 @@ def s8(spark, d):
     """A compressed upload, read back, then cleared."""
     root = scratch(spark, "upload")
     path = tables.put_stage(read(spark, d, "nation").select("n_nationkey", "n_name"), root, "0123456789abcdef", "nation")
-    rows = spark.createDataFrame(spark.read.csv(path, header=True, schema="n_nationkey int, n_name string").collect(), "n_nationkey int, n_name string")
+    rows = cut(spark.read.csv(path, header=True, schema="n_nationkey int, n_name string"))
     tables.clear_stage(spark, root, "0123456789abcdef")
     return rows.withColumn("left_after", F.lit(tables.clear_stage(spark, root, "0123456789abcdef")))
 
@@ -153,18 +171,28 @@ def s16(spark, d):
     return spark.createDataFrame([(n, error)], "n long, one_more_is_an_error boolean")
 
 
-@query("s17_manifest", "SELECT count(*) AS row_count, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_day, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_day, count(*) FILTER (WHERE o_orderstatus = 'F') AS positives, count(DISTINCT o_custkey) AS entities, sha256('select 1') AS sql_sha256, 64 AS hash_chars FROM orders")
+@query("s17_manifest", "SELECT count(*) AS row_count, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_day, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_day, count(*) FILTER (WHERE o_orderstatus = 'F') AS positives, count(DISTINCT o_custkey) AS entities, sha256('select 1') AS sql_sha256, true AS hash_of_its_files FROM orders")
 def s17(spark, d):
-    m = snapshot.read_manifest(spark, _snapshot(spark, d))
-    row = (m["rows"], m["first"], m["last"], m["positives"], m["entities"], m["sql_sha256"], len(m["dataset_sha256"]))
-    return spark.createDataFrame([row], "row_count long, first_day string, last_day string, positives long, entities long, sql_sha256 string, hash_chars int")
+    """The manifest's figures; its hash is compared with one that Spark makes of the files' hashes."""
+    path = _snapshot(spark, d)
+    m, files = snapshot.read_manifest(spark, path), snapshot.file_hashes(spark, path)
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "file", "sha256"))), "\n")  # a line a file
+    row = (m["rows"], m["first"], m["last"], m["positives"], m["entities"], m["sql_sha256"])
+    out = spark.createDataFrame([row], "row_count long, first_day string, last_day string, positives long, entities long, sql_sha256 string")
+    return out.crossJoin(files.agg((F.sha2(lines, 256) == F.lit(m["dataset_sha256"])).alias("hash_of_its_files")))
 
 
-@query("s18_file_hashes", "SELECT strftime(o_orderdate, '%Y-%m') AS mes, 1 AS n_files, 64 AS hash_chars FROM orders GROUP BY 1")
+@query("s18_file_hashes", "SELECT strftime(o_orderdate, '%Y-%m') AS mes, 1 AS n_files, true AS changed_with_content, true AS same_again FROM orders GROUP BY 1")
 def s18(spark, d):
-    """A month is one file here, and each has its hash."""
-    h = snapshot.file_hashes(spark, _snapshot(spark, d))
-    return h.groupBy(F.regexp_extract("file", "mes=([^/]+)", 1).alias("mes")).agg(F.count("*").cast("int").alias("n_files"), F.min(F.length("sha256")).alias("hash_chars"))
+    """A month is one file here. The same rows give the same hash again, other rows give each month another one."""
+    first, again, other = (scratch(spark, "hashes") for _ in range(3))
+    o = _orders(spark, d).coalesce(1)
+    for path, rows in ((first, o), (again, o), (other, o.withColumn("o_totalprice", F.col("o_totalprice") + 1))):
+        snapshot.export(rows.sortWithinPartitions("o_orderkey"), path, "day")
+    month = F.regexp_extract("file", "mes=([^/]+)", 1).alias("mes")
+    h, a, b = (snapshot.file_hashes(spark, p).select(month, F.col("sha256").alias(n)) for p, n in ((first, "h"), (again, "a"), (other, "b")))
+    g = h.join(a, "mes").join(b, "mes").groupBy("mes")
+    return g.agg(F.count("*").cast("int").alias("n_files"), F.bool_and(F.col("h") != F.col("b")).alias("changed_with_content"), F.bool_and(F.col("h") == F.col("a")).alias("same_again"))
 
 
 @query("s20_cache_slice", "SELECT o_orderkey, CAST(o_totalprice AS FLOAT) AS o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-10' AND DATE '1996-02-20'")
@@ -206,21 +234,37 @@ def m8(spark, d):
     return publish.rebuild(c.where("c_acctbal > 0"), root, "customers", "_rebuilt", "b").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("s22_audit_rows", "SELECT * FROM (VALUES ('a', 'published', 5, NULL), ('b', 'failed', NULL, 'token=*** is bad')) AS t(run_id, status, output_rows, error)")
+@query("s22_audit_rows", """SELECT r_name AS run_id, CASE WHEN n > 4 THEN 'published' ELSE 'failed' END AS status, CASE WHEN n > 4 THEN n::INTEGER END AS output_rows, CASE WHEN n <= 4 THEN 'token=*** is bad' END AS error
+FROM (SELECT r_name, count(n_nationkey) FILTER (WHERE n_nationkey % 7 <> 3) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)""")
 def s22(spark, d):
+    """A run a region: it is published with its nations, or fails where they are few, with its secret masked."""
     path = scratch(spark, "audit")
-    publish.audit(spark, path, "a", "published", {"output_rows": 5})
-    publish.audit(spark, path, "b", "failed", {}, "token=abc is bad")
+    n = read(spark, d, "nation").where("n_nationkey % 7 <> 3")
+    runs = read(spark, d, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy("r_name").agg(F.count("n_nationkey").alias("n"))
+    for r in runs.collect():  # a row a region
+        if r.n > 4:
+            publish.audit(spark, path, r.r_name, "published", {"output_rows": r.n})
+        else:
+            publish.audit(spark, path, r.r_name, "failed", {}, "token=abc is bad")
     return spark.read.parquet(path).select("run_id", "status", F.col("output_rows").cast("int").alias("output_rows"), "error")
 
 
-@query("s24_dropped_stages", "SELECT 0 AS dropped_of_a_failed_run, 2 AS dropped_of_a_good_run")
+@query("s24_dropped_stages", "SELECT r_name, n_nationkey, n_name, CASE WHEN r_regionkey % 2 = 0 THEN 0 ELSE 1 END AS dropped FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey % 2 = 0")
 def s24(spark, d):
-    root = scratch(spark, "stages")
-    paths = [publish.stage_path(root, t, "r") for t in ("x", "y")]
-    for p in paths:
-        publish.write_stage(read(spark, d, "region"), p)
-    return spark.createDataFrame([(publish.drop_stages(spark, paths, False), publish.drop_stages(spark, paths, True))], "dropped_of_a_failed_run int, dropped_of_a_good_run int")
+    """A stage a region. Those of failed runs (even regions) stay for inspection with all their rows, the others are dropped."""
+    root, parts = scratch(spark, "stages"), []
+    n = read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for r in read(spark, d, "region").select("r_regionkey", "r_name").collect():  # a row a region
+        path = publish.stage_path(root, f"nations{r.r_regionkey}", "r")
+        publish.write_stage(n.where(F.col("n_regionkey") == r.r_regionkey).drop("n_regionkey"), path)
+        dropped = publish.drop_stages(spark, [path], r.r_regionkey % 2 == 1)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            parts.append(spark.read.parquet(path).select(F.lit(r.r_name).alias("r_name"), "n_nationkey", "n_name", F.lit(dropped).alias("dropped")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("s25_small_export", "SELECT r_regionkey, r_name, true AS larger_is_an_error FROM region")
@@ -235,18 +279,22 @@ def s25(spark, d):
     return spark.read.csv(path, header=True, schema="r_regionkey int, r_name string").withColumn("larger_is_an_error", F.lit(error))
 
 
-@query("s26_frozen_sample", "SELECT count(*) AS n, 64 AS hash_chars FROM customer WHERE c_acctbal > 0")
+@query("s26_frozen_sample", "SELECT count(*) AS n, true AS hash_of_its_files FROM customer WHERE c_acctbal > 0")
 def s26(spark, d):
-    """Frozen once: another request gets the first rows."""
+    """Frozen once: another request gets the first rows, whose hash is that of the files."""
     path, c = scratch(spark, "frozen"), read(spark, d, "customer")
     snapshot.freeze(c.where("c_acctbal > 0"), path)
-    hashed = len(snapshot.read_manifest(spark, path)["dataset_sha256"])
-    return snapshot.freeze(c, path).agg(F.count("*").alias("n"), F.lit(hashed).alias("hash_chars"))
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "file", "sha256"))), "\n")  # a line a file
+    same = snapshot.file_hashes(spark, path).agg((F.sha2(lines, 256) == F.lit(snapshot.read_manifest(spark, path)["dataset_sha256"])).alias("hash_of_its_files"))
+    return snapshot.freeze(c, path).agg(F.count("*").alias("n")).crossJoin(same)
 
 
-@query("session_context", "SELECT 'spark_catalog' AS catalog, 'default' AS schema")
+@query("session_context", "SELECT 'spark_catalog' AS catalog, 'default' AS schema, n_regionkey, count(*) AS n FROM nation GROUP BY 3")
 def session_context(spark, d):
-    return tables.session(spark).select("catalog", "schema")
+    """A table by its name in the session's catalog and schema."""
+    s = tables.session(spark).select("catalog", "schema")
+    read(spark, d, "nation").createOrReplaceTempView("_nation")
+    return tables.scan(spark, "_nation").groupBy("n_regionkey").agg(F.count("*").alias("n")).crossJoin(F.broadcast(s))  # one row
 
 
 @query("p4_aliased_columns", "SELECT n_nationkey, n_name FROM nation")

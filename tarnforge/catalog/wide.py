@@ -11,7 +11,8 @@ from tarnforge.catalog.analytics import SPAN, TAU, _ONE, _episode_ctes
 from tarnforge.catalog.base import DAILY, FAILED, daily, failures, query, read, scratch
 from tarnforge.functions.keys import date_key, surrogate_key
 from tarnforge.plans import wide_table as w
-from tarnforge.streaming import stream
+from tarnforge.sources.ranges import RangeTable, range_sink
+from tarnforge.streaming import stateful, stream
 
 SPEC = w.Spec(ids=(1, 5))
 
@@ -116,6 +117,89 @@ def st_upsert(spark, d):
     return stream.latest_version(spark, f"{folder}/table").select("p_partkey", "p_name")
 
 
+def _far(spark, schema, folder, **more):
+    """A row far ahead of all others, as a table of a folder, so that a stream that ends closes all that it holds."""
+    path = f"{folder}/far-{uuid.uuid4().hex}"
+    stateful.sentinel(spark, schema, {"ts": stateful.FAR, "user_id": -1, **more}).write.parquet(path)
+    return path
+
+
+@query("st_sessions", """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events), s AS (SELECT user_id, ts, count(*) FILTER (WHERE gap IS NULL OR gap >= INTERVAL 6 HOUR) OVER (PARTITION BY user_id ORDER BY ts, gap DESC NULLS LAST ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, n_events, count(*) AS n_sessions, max(hours) AS longest_hours FROM (SELECT user_id, k, count(*) AS n_events, round(epoch(max(ts) - min(ts)) / 3600.0, 4) AS hours FROM s GROUP BY 1, 2) GROUP BY 1, 2""")
+def st_sessions(spark, d):
+    """Sessions of users with gaps under six hours, all closed by a last row far ahead."""
+    folder, path = scratch(spark, "sessions"), f"{d}/events.parquet"
+    schema = spark.read.parquet(path).select("user_id", F.col("ts").cast("timestamp").alias("ts")).schema
+    live = _events(spark, d).select("user_id", "ts").unionByName(_stream(spark, _far(spark, schema, folder), schema))
+    out = _ended(spark, stateful.sessions(live, "user_id", "ts", "6 hours", "1 day")).where("user_id <> -1")
+    hours = F.round((F.unix_micros("last_at") - F.unix_micros("first_at")) / 3.6e9, 4)
+    return out.groupBy("user_id", "n_events").agg(F.count("*").alias("n_sessions"), F.max(hours).alias("longest_hours"))
+
+
+@query("st_episodes_with_timers", f"WITH RECURSIVE {_episode_ctes(_ONE)} SELECT user_id, CAST(day AS BIGINT) AS opened_day FROM opened")
+def st_episodes_timers(spark, d):
+    """The episodes again, of alerts in any order, with state that ends."""
+    folder = scratch(spark, "daily")
+    rows = daily(spark, d).select("user_id", F.col("d").cast("timestamp").alias("ts"), "value")
+    rows.write.parquet(f"{folder}/in")
+    live = _stream(spark, f"{folder}/in", rows.schema).unionByName(_stream(spark, _far(spark, rows.schema, folder, value=1e9), rows.schema))
+    return _ended(spark, stateful.episodes(live, "user_id", "ts", "value", TAU, "400 days", SPAN)).where("user_id <> -1")
+
+
+@query("st_late_labels", """WITH t AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'purchase'), f AS (SELECT user_id AS u, ts AS failed FROM events WHERE event_type = 'error')
+SELECT t.user_id, count(*) AS row_count, count(days) AS labelled, sum(days)::BIGINT AS days FROM (SELECT t.user_id, t.ts, min(date_diff('day', CAST(t.ts AS DATE), CAST(failed AS DATE))) AS days FROM t LEFT JOIN f ON f.u = t.user_id AND failed >= t.ts AND CAST(failed AS DATE) - CAST(t.ts AS DATE) <= 10 GROUP BY 1, 2) t GROUP BY 1""")
+def st_late_labels(spark, d):
+    """Purchases labelled by the first error in the ten days that follow, which comes on a stream of its own."""
+    folder, path = scratch(spark, "labels"), f"{d}/events.parquet"
+    rows = spark.read.parquet(path).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    far = lambda: _stream(spark, _far(spark, rows.schema, folder), rows.schema)
+    bought = _events(spark, d).where("event_type = 'purchase'").select("user_id", "ts").unionByName(far())
+    failed = _events(spark, d).where("event_type = 'error'").select("user_id", "ts").unionByName(far()).withColumnRenamed("ts", "failed")
+    out = _ended(spark, stateful.late_labels(bought, failed, "user_id", "ts", "failed", "400 days", 10)).where("user_id <> -1")
+    return out.groupBy("user_id").agg(F.count("*").alias("row_count"), F.count("days_to_failure").alias("labelled"), F.sum(F.col("days_to_failure").cast("long")).alias("days"))
+
+
+@query("m1_merge_by_ranges", """WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01' AND o_orderkey % 3 > 0), t AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 11 > 0)
+SELECT o_orderkey, coalesce(s.o_totalprice, t.o_totalprice) AS o_totalprice FROM t FULL JOIN s USING (o_orderkey)""")
+def m1_ranges(spark, d):
+    """A table of orders in ranges of dates, into which a batch of the first year is merged, whole."""
+    return _merged_orders(spark, d).read().select("o_orderkey", "o_totalprice")
+
+
+@query("m1_untouched_ranges", "SELECT 12 AS ranges, count(*) AS row_count, true AS untouched_keep_files, true AS others_keep_base FROM orders WHERE o_orderkey % 11 > 0 OR (o_orderdate < TIMESTAMP '1993-01-01' AND o_orderkey % 3 > 0)")
+def m1_untouched(spark, d):
+    """The same merge: ranges behind the batch's last day keep all their files, the others their base files."""
+    t = _merged_orders(spark, d)
+    before, after = t.manifest(0)["ranges"], t.manifest()["ranges"]
+    untouched = all(a == b for a, b in zip(before, after) if a["low"] and a["low"] >= "1993-01-01")
+    return t.read().agg(F.lit(len(after)).alias("ranges"), F.count("*").alias("row_count"), F.lit(untouched).alias("untouched_keep_files"), F.lit(all(a["base"] == b["base"] for a, b in zip(before, after))).alias("others_keep_base"))
+
+
+def _merged_orders(spark, d):
+    o = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"), "o_orderkey", "o_totalprice").withColumn("row_hash", surrogate_key(F.col("o_totalprice").cast("string")))
+    base = o.where("o_orderkey % 11 > 0")
+    t = RangeTable(spark, scratch(spark, "ranges"), ["day", "o_orderkey"], range_rows=-(-base.count() // 12))
+    t.create(base)
+    batch = o.where("day < DATE '1993-01-01' AND o_orderkey % 3 > 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    t.merge(batch.withColumn("row_hash", surrogate_key(F.col("o_totalprice").cast("string"))), [F.desc("o_totalprice")], "row_hash")
+    return t
+
+
+@query("st_upsert_by_ranges", """WITH t AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10), s AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS p_name, p_size FROM part WHERE p_size <= 40)
+SELECT p_partkey, coalesce(s.p_name, t.p_name) AS p_name FROM t FULL JOIN s USING (p_partkey)""")
+def st_upsert_ranges(spark, d):
+    """Two deliveries, a micro-batch each, merged into a table of ranges, whose ranges of two merges are rewritten."""
+    folder, p = scratch(spark, "upsert"), read(spark, d, "part")
+    first, second = p.where("p_size > 10"), p.where("p_size <= 40").withColumn("p_name", F.when(F.col("p_size") > 25, F.upper("p_name")).otherwise(F.col("p_name")))
+    for n, rows in enumerate((first, second)):
+        rows.select("p_partkey", "p_name", "p_size", surrogate_key(F.col("p_name"), F.col("p_size")).alias("row_hash"), F.lit(n).alias("stamp")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(1.1)  # files are taken in the order of their times
+    live = _stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, maxFilesPerTrigger="1")
+    table = RangeTable(spark, f"{folder}/table", ["p_partkey"], range_rows=max(1, first.count() // 4))
+    live.writeStream.foreachBatch(range_sink(table, [F.desc("stamp")], "row_hash", 1)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("p_partkey", "p_name")
+
+
 def _is_folder(spark, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()

@@ -99,26 +99,53 @@ def thresholds(df: DataFrame, score: str, n: int = 400) -> list[float]:
     return thresholds_by(df.select(F.col(score), F.lit("").alias("_all")), "_all", score, n).get("", [])
 
 
+def episode_openers(entity: np.ndarray, day: np.ndarray, span: int) -> np.ndarray:
+    """Which alerts open an episode, of alerts in the order of (entity, day).
+
+    The next opener after an opener is the first alert of the entity ``span`` or more days later: a pointer that
+    one sorted search finds for all alerts. From each entity's first alert the openers are reached by doubling: the
+    reached set grows by the pointers' targets, then each pointer takes its target's, log n times.
+    """
+    n = len(day)
+    if not n:
+        return np.zeros(0, dtype=bool)
+    first = np.concatenate([[True], entity[1:] != entity[:-1]])
+    low = day.min()
+    width = int(day.max() - low) + 1
+    at = (np.cumsum(first) - 1) * (width + 1) + (day - low)  # entities one after the other, a day apart
+    end = np.append(np.flatnonzero(first)[1:], n)[np.cumsum(first) - 1]
+    jump = np.minimum(np.searchsorted(at, at + min(span, width)), end)
+    jump = np.append(np.where(jump < end, jump, n), n)  # place n: nothing follows
+    reached = np.append(first, False)
+    live = np.flatnonzero(reached)
+    while True:
+        new = jump[live]
+        new = new[new < n]
+        new = new[~reached[new]]
+        if not len(new):
+            return reached[:n]
+        reached[new] = True
+        jump = jump[jump]
+        live = np.flatnonzero(reached)
+
+
 def _count_episodes(rows, weights: list[float], levels: np.ndarray, span: int) -> np.ndarray:
-    """Alerts, hits and late ones by level, of a list array of entities' days. All levels at once, a day
-    after the other."""
+    """Alerts, hits and late ones by level, of a list array of entities' days, each level for all entities at once."""
     total = np.zeros((len(levels), 3))
-    at, flat = rows.offsets.to_numpy(), rows.values
-    day, score = flat.field("day").to_numpy().astype(np.int64), flat.field("score").to_numpy()
+    flat, size = rows.flatten(), rows.value_lengths().to_numpy(zero_copy_only=False)
+    entity = np.repeat(np.arange(len(size)), size)
+    day, score = flat.field("day").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("score").to_numpy(zero_copy_only=False)
     lead = flat.field("lead").to_numpy(zero_copy_only=False).astype(float)  # null: nan
     kind = np.where((lead >= MIN_LEAD) & (lead <= HORIZON_DAYS), 1, np.where((lead >= 1) & (lead < MIN_LEAD), 2, 0))
-    free = np.empty(len(levels), dtype=np.int64)
-    low = levels.min() if len(levels) else np.inf
-    for k, w in enumerate(weights):
-        free.fill(-(2**60))
-        for i in range(at[k], at[k + 1]):
-            if score[i] < low:
-                continue
-            go = (levels <= score[i]) & (free <= day[i])
-            total[go, 0] += w
-            if kind[i]:
-                total[go, kind[i]] += w
-            free[go] = day[i] + span
+    weight = np.asarray(weights, dtype=float)[entity] if len(entity) else np.zeros(0)
+    # Alerts of a level are alerts of all lower ones: from the lowest on, rows only go.
+    live = np.arange(len(day))
+    for k in np.argsort(levels, kind="stable"):
+        live = live[score[live] >= levels[k]]
+        if not len(live):
+            break
+        opened = live[episode_openers(entity[live], day[live], span)]
+        total[k] = weight[opened].sum(), weight[opened[kind[opened] == 1]].sum(), weight[opened[kind[opened] == 2]].sum()
     return total
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnforge.functions.lineage import cut
 from tarnforge.functions.scalar import percent, ratio
+from tarnforge.operators.gram import gram
 from tarnforge.operators.ranks import running_sums
 
 
@@ -246,32 +248,61 @@ def monthly_prevalence(df: DataFrame, date: str, key: str, positive: Column, eve
     return g.withColumn("events_per_1000", F.round(1000 * ratio(F.col("event_entities"), F.col("entities")), 4))
 
 
-def average_rank(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Ranks with ties averaged: from the counts of distinct values, so that raw rows are not sorted in
-    one partition."""
-    n = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
-    r = running_sums(n, "_v", {"_upto": "_n"}).select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(r, F.col(col) == F.col("_v"), "left").drop("_v")
+def average_ranks(counted: DataFrame) -> DataFrame:
+    """``(column_name, value, k)``, k rows each, to column_name, value, rank (ties averaged) and rows of the column: one
+    ranking of all columns.
+
+    The counts of distinct (column, value) lie in one range order, in which a column's ranks are the running
+    sum from its first value on. Raw rows are never sorted, and the exchanges don't grow with the columns.
+    """
+    n = counted.groupBy(F.struct("column_name", "value").alias("at")).agg(F.sum("k").alias("n"))
+    summed = running_sums(n, "at", {"upto": "n"}).select("at.column_name", "at.value", "n", "upto")
+    ahead = summed.groupBy("column_name").agg(F.min(F.col("upto") - F.col("n")).alias("ahead"), F.sum("n").alias("rows"))  # one row a column
+    rank = F.col("upto") - F.col("ahead") - (F.col("n") - 1) / 2.0
+    return summed.join(F.broadcast(ahead), "column_name").select("column_name", "value", rank.alias("rank"), "rows")
+
+
+def _long(cols: list[str]) -> Column:
+    """The columns of a row as rows of column_name and value."""
+    return F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols]))
 
 
 def rank_correlations(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """Pearson and Spearman of each column with a target."""
-    d = df.select(*cols, target).dropna()
-    for c in [*cols, target]:
-        d = average_rank(d, c, f"_r_{c}")
-    g = d.agg(*[e for c in cols for e in (F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"_p_{c}"), F.corr(f"_r_{c}", f"_r_{target}").alias(f"_s_{c}"))])
-    u = _unpivot(g, [], {c: {"pearson": f"_p_{c}", "spearman": f"_s_{c}"} for c in cols}, "column_name")
-    return u.select("column_name", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+    """Pearson and Spearman of each column with a target.
+
+    All columns are unpivoted once and counted by (column, value, target's value): the only exchange of rows,
+    whatever the columns. Their ranks and the target's are joined to the counts, and the sums are taken
+    about the ranks' known mean.
+    """
+    d = df.select(*dict.fromkeys([*cols, target])).dropna()
+    pairs = cut(d.select(F.col(target).cast("double").alias("t"), _long(list(dict.fromkeys([*cols, target])))).groupBy("column_name", "value", "t").agg(F.count("*").alias("k")))
+    ranks = cut(average_ranks(pairs))
+    own = ranks.where(F.col("column_name") == target).select(F.col("value").alias("t"), F.col("rank").alias("t_rank"))
+    x, y = (F.col(c) - (F.col("rows") + 1) / 2.0 for c in ("rank", "t_rank"))
+    s = pairs.join(ranks, ["column_name", "value"]).join(own, "t").groupBy("column_name").agg(*[F.sum(F.col("k") * e).alias(n) for n, e in (("xy", x * y), ("xx", x * x), ("yy", y * y))])
+    rho = F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))
+    g = d.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"_p_{c}") for c in cols])
+    u = _unpivot(g, [], {c: {"pearson": f"_p_{c}"} for c in cols}, "column_name")
+    return u.join(s.select("column_name", rho.alias("spearman")), "column_name", "left").select("column_name", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
 def rank_matrix(df: DataFrame, cols: list[str], least: float = 0.0) -> DataFrame:
-    """Spearman of each pair of columns, those of at least ``least`` in size."""
-    d = df.select(*cols).dropna()
-    for c in cols:
-        d = average_rank(d, c, f"_r_{c}")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    u = _unpivot(d.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a, b in pairs]), [], {f"{a}|{b}": {"rho": f"{a}|{b}"} for a, b in pairs}, "pair")
-    return u.select(F.substring_index("pair", "|", 1).alias("left_column"), F.substring_index("pair", "|", -1).alias("right_column"), F.round("rho", 6).alias("spearman")).where(F.abs("spearman") >= least)
+    """Spearman of each pair of columns, those of at least ``least`` in size.
+
+    Rows are unpivoted, joined to the ranks of all columns and gathered again: two exchanges, whatever the columns. The sums of
+    all pairs are one matrix a task.
+    """
+    d = cut(df.select(*cols).dropna().withColumn("_row", F.monotonically_increasing_id()))
+    long = d.select("_row", _long(cols))
+    ranks = cut(average_ranks(long.groupBy("column_name", "value").agg(F.count("*").alias("k"))))
+    place = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("column_name"))
+    ranked = long.join(ranks, ["column_name", "value"]).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(place.alias("k"), (F.col("rank") - (F.col("rows") + 1) / 2.0).alias("r")))).alias("v"))
+    sums = cut(gram(ranked.select(F.col("v.r").alias("v")), "v"))  # as many rows as pairs of columns
+    own = sums.where("i = j").select("i", F.sqrt("s").alias("size"))
+    j = sums.where("i < j").join(F.broadcast(own), "i").join(F.broadcast(own.select(F.col("i").alias("j"), F.col("size").alias("other"))), "j")
+    name = lambda c: F.get(F.array(*[F.lit(x) for x in cols]), F.col(c))
+    rho = F.round(F.col("s") / F.nullif(F.col("size") * F.col("other"), F.lit(0.0)), 6)
+    return j.select(name("i").alias("left_column"), name("j").alias("right_column"), rho.alias("spearman")).where(F.abs("spearman") >= least)
 
 
 def quantile_lift(df: DataFrame, col: str, target: str, bins: int = 10) -> DataFrame:
