@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnforge.catalog.base import DAILY, FAILED, SCORED, SPARSE, daily, failures, query, read, scored, sparse_lines
+from tarnforge.catalog.base import DAILY, FAILED, SCORED, SPARSE, daily, failures, query, read, scored, scratch, sparse_lines
 from tarnforge.functions.keys import epoch_day, hash_bucket
+from tarnforge.functions.lineage import cut
 from tarnforge.functions.scalar import signed_log1p
-from tarnforge.operators import cost, events, labels, metrics, preprocess, profile, sampling, splits, windows
+from tarnforge.operators import cost, events, labels, metrics, preprocess, profile, sampling, sketches, splits, windows
+from tarnforge.operators.ranks import running_sums
 
 COLS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -557,3 +559,36 @@ def e23(spark, d):
 
 
 __all__ = ["epoch_day", "flagship"]
+
+
+_SKETCHED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_QUANTILES = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+_SKETCH_SQL = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, round(avg({c}), 4) AS mean, true AS distinct_within, true AS q05_within, true AS q50_within, true AS q95_within FROM sparse" for c in _SKETCHED)
+
+
+@query("a14_sketched_profile", f"WITH {SPARSE} {_SKETCH_SQL}")
+def a14_sketched(spark, d):
+    """A profile merged from sketches kept by month, of which the last month was added later; the estimates are compared with exact ones."""
+    path, l = scratch(spark, "sketches"), sparse_lines(spark, d)
+    last = l.agg(F.trunc(F.max("l_shipdate"), "month")).first()[0]
+    sketches.append(l.where(F.trunc("l_shipdate", "month") < F.lit(last)), path, "l_shipdate", _SKETCHED)
+    sketches.append(l.where(F.trunc("l_shipdate", "month") == F.lit(last)), path, "l_shipdate", _SKETCHED)
+    p = cut(sketches.profile(sketches.merged(sketches.stored(spark, path)), _QUANTILES))
+    long = l.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in _SKETCHED]))).where("v IS NOT NULL")
+    up = [e for n in _QUANTILES for e in (F.avg((F.col("v") <= F.col(n)).cast("int")).alias(f"{n}_upto"), F.avg((F.col("v") < F.col(n)).cast("int")).alias(f"{n}_below"))]
+    exact = long.join(F.broadcast(p.select("column_name", *_QUANTILES)), "column_name").groupBy("column_name").agg(F.count_distinct("v").alias("n"), *up)  # a row a column
+    within = [((F.col(f"{n}_below") <= q + sketches.RANK_ERROR) & (F.col(f"{n}_upto") >= q - sketches.RANK_ERROR)).alias(f"{n}_within") for n, q in _QUANTILES.items()]
+    near = (F.abs(F.col("n_unique") - F.col("n")) <= F.ceil(sketches.DISTINCT_ERROR * F.col("n"))).alias("distinct_within")
+    return p.join(exact, "column_name").select("column_name", "row_count", "null_count", "low", "high", F.round("mean", 4).alias("mean"), near, *within)
+
+
+@query("d12_sketched_scores", """WITH e AS (SELECT CAST(ts AS DATE) AS day, value FROM events), r AS (SELECT day, count(*) AS n FROM e WHERE value IS NOT NULL GROUP BY 1)
+SELECT day, n, true AS within FROM r WHERE day >= (SELECT max(day) FROM e) - 6""")
+def d12_sketched(spark, d):
+    """Percentile scores of the last week against sketches of all months: the greatest error of a day's scores lies within the bound."""
+    e = read(spark, d, "events").select(F.to_date("ts").alias("day"), "value").where("value IS NOT NULL")
+    all_months = sketches.merged(sketches.monthly(e, "day", ["value"]))
+    week = e.where(F.col("day") >= F.date_sub(F.lit(e.agg(F.max("day")).first()[0]), 6))
+    counts = running_sums(e.groupBy("value").agg(F.count("*").alias("k")), "value", {"upto": "k"}).select("value", (F.col("upto") / F.col("upto_all")).alias("exact"))
+    scored_ = week.crossJoin(F.broadcast(all_months)).select("day", "value", sketches.rank(F.col("value").cast("double")).alias("score"))  # one row
+    return scored_.join(counts, "value").groupBy("day").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("score") - F.col("exact"))) <= sketches.RANK_ERROR).alias("within"))
