@@ -24,6 +24,7 @@ other columns, of any name, are ignored by ``find_contamination`` and kept by ``
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -47,8 +48,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of items: the words as numbers, and by length where windows begin
-    and the items they are of."""
+    """The windows of a block of items: the words as numbers, and by length where different windows begin
+    and which list of items has each. Windows that many items share are one, and so is a list that many windows have."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.symbols: dict[bytes, int] = {}  # 0 ends a text, 1 separates
@@ -64,24 +65,42 @@ class Phrases:
             owners.setdefault(n, []).append(np.full(len(text) - n + 1, names.setdefault(item, len(names)), dtype=np.int32))
             at += len(text)
         self.words = np.concatenate(words) if words else np.zeros(0, dtype=np.int32)
+        #: Names of each list's items; those of one item come first.
+        self.lists = [np.array([k], dtype=np.int32) for k in range(len(names))]
         self.names = list(names)
-        self.by_length = {n: (np.concatenate(begins[n]), np.concatenate(owners[n])) for n in sorted(begins)}
+        self.by_length = {n: self._different(n, np.concatenate(begins[n]), np.concatenate(owners[n])) for n in sorted(begins)}
         self.shortest = min(self.by_length, default=0)
 
+    def _different(self, n: int, begins: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows of one length, where each different one begins, and its list."""
+        rows = np.ascontiguousarray(self.words[begins[:, None] + np.arange(n)]).view(np.dtype((np.void, 4 * n))).ravel()
+        _, first, number = np.unique(rows, return_index=True, return_inverse=True)
+        pairs = np.unique(number.astype(np.int64) * len(self.names) + owners)  # of a window and an item, in order
+        window, item = pairs // len(self.names), (pairs % len(self.names)).astype(np.int32)
+        edge = np.searchsorted(window, np.arange(len(first) + 1))
+        lists = item[edge[:-1]].astype(np.int64)
+        known: dict[bytes, int] = {}
+        for k in np.flatnonzero(np.diff(edge) > 1).tolist():
+            own = item[edge[k] : edge[k + 1]]
+            lists[k] = known.setdefault(own.tobytes(), len(self.lists))
+            if lists[k] == len(self.lists):
+                self.lists.append(own)
+        return begins[first], lists
+
     def patterns(self):
-        """Windows of one length, some at a time: their symbols and their items."""
-        for n, (begins, owners) in self.by_length.items():
+        """Windows of one length, some at a time: their symbols and their lists."""
+        for n, (begins, lists) in self.by_length.items():
             for k in range(0, len(begins), _STEP):
-                yield n, self.words[begins[k : k + _STEP, None] + np.arange(n)].astype(np.int64), owners[k : k + _STEP]
+                yield n, self.words[begins[k : k + _STEP, None] + np.arange(n)].astype(np.int64), lists[k : k + _STEP]
 
 
-def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[np.ndarray, set[str]]]:
-    """Of each text (its words): sorted places of the words that are hit, items found."""
+def search_shard(texts: list[list[bytes]], phrases: Phrases, named: bool = True) -> list[tuple[np.ndarray, frozenset[int]]]:
+    """Of each text (its words): sorted places of the words that are hit, and the lists of items found (none unless ``named``)."""
     flat, owner, place = [], [], []
     get = phrases.symbols.get
-    out: list[tuple[np.ndarray, set[str]]] = [(_NO_PLACE, set()) for _ in texts]
+    hits, lists = [_NO_PLACE] * len(texts), [set() for _ in texts]
     if not phrases.by_length:
-        return out
+        return [(h, frozenset()) for h in hits]
     for d, words in enumerate(texts):
         if not words:
             continue
@@ -94,34 +113,44 @@ def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[np.nd
             flat.append(np.ones(1, dtype=np.int32))
             owner.append(np.full(b - a + 1, d))
             place.append(np.arange(a, b + 1))
-    if not flat:
-        return out
-    owner, place = np.concatenate(owner), np.concatenate(place)
-    index = FMIndex(np.concatenate(flat), len(phrases.symbols) + 2)
-    change = np.zeros(index.n + 1, dtype=np.int64)
-    for n, patterns, of in phrases.patterns():
-        low, high = index.search(patterns)
-        some = np.flatnonzero(high > low)
-        at, which = index.locate(low[some], high[some])
-        np.add.at(change, at, 1)
-        np.add.at(change, at + n, -1)
-        for pair in np.unique(owner[at] * len(phrases.names) + of[some[which]]).tolist():
-            name = phrases.names[pair % len(phrases.names)]
-            if name is not None:
-                out[pair // len(phrases.names)][1].add(name)
-    inside = np.flatnonzero(np.cumsum(change)[: len(owner)] > 0)
-    docs, first = np.unique(owner[inside], return_index=True)
-    for d, w in zip(docs.tolist(), np.split(place[inside], first[1:])):
-        out[d] = w, out[d][1]
-    return out
-
-
-def search_blocks(texts: list[list[bytes]], blocks) -> list[tuple[np.ndarray, set[str]]]:
-    """``search_shard`` of all blocks, joined."""
-    out: list[tuple[np.ndarray, set[str]]] = [(_NO_PLACE, set()) for _ in texts]
-    for phrases in blocks():
-        out = [(np.union1d(a, b) if len(a) and len(b) else a if len(a) else b, x | y) for (a, x), (b, y) in zip(out, search_shard(texts, phrases))]
-    return out
+    if flat:
+        owner, place = np.concatenate(owner), np.concatenate(place)
+        index = FMIndex(np.concatenate(flat), len(phrases.symbols) + 2)
+        change = np.zeros(index.n + 1, dtype=np.int64)
+        for n, patterns, of in phrases.patterns():
+            low, high = index.search(patterns)
+            some = np.flatnonzero(high > low)
+            at, which = index.locate(low[some], high[some])
+            np.add.at(change, at, 1)
+            np.add.at(change, at + n, -1)
+            if named:
+                for pair in np.unique(owner[at] * len(phrases.lists) + of[some[which]]).tolist():
+                    lists[pair // len(phrases.lists)].add(pair % len(phrases.lists))
+        inside = np.flatnonzero(np.cumsum(change)[: len(owner)] > 0)
+        docs, first = np.unique(owner[inside], return_index=True)
+        for d, w in zip(docs.tolist(), np.split(place[inside], first[1:])):
+            hits[d] = w
+    return [(h, frozenset(x)) for h, x in zip(hits, lists)]
+
+
+def search_blocks(texts: list[list[bytes]], blocks, named: bool = True) -> tuple[list[np.ndarray], list[tuple[str, ...]]]:
+    """Hit places and names of the items found in each text, of all blocks joined. Texts that share the same windows have the
+    same tuple of names, which is made once."""
+    hits, found = [_NO_PLACE] * len(texts), [()] * len(texts)
+    names: dict[tuple[int, int], list[str]] = {}
+    for k, phrases in enumerate(blocks()):
+        for d, (h, lists) in enumerate(search_shard(texts, phrases, named)):
+            if len(h):
+                hits[d] = np.union1d(hits[d], h) if len(hits[d]) else h
+            if lists:
+                found[d] += ((k, lists),)
+                for x in lists:
+                    if (k, x) not in names:
+                        names[k, x] = [phrases.names[i] for i in phrases.lists[x].tolist() if phrases.names[i] is not None]
+    made: dict[tuple, tuple[str, ...]] = {}
+    for key in set(found):
+        made[key] = tuple(sorted({n for k, lists in key for x in lists for n in names[k, x]}))
+    return hits, [made[key] for key in found]
 
 
 def removal_spans(text: str, hit) -> list[tuple[int, int]]:
@@ -150,8 +179,8 @@ def without_phrases(texts: list[str | None], blocks) -> list[str | None]:
     """The texts without what lies in phrases; where a cut joins words to a new phrase, it is cut in turn."""
     out, todo = list(texts), list(range(len(texts)))
     while todo:
-        found = search_blocks([words_of(out[i]) for i in todo], blocks)
-        todo, hits = [i for i, (h, _) in zip(todo, found) if len(h)], [h for h, _ in found if len(h)]
+        found, _ = search_blocks([words_of(out[i]) for i in todo], blocks, named=False)
+        todo, hits = [i for i, h in zip(todo, found) if len(h)], [h for h in found if len(h)]
         for i, h in zip(todo, hits):
             out[i] = remove_spans(out[i], removal_spans(out[i], h))
     return out
@@ -215,22 +244,39 @@ def _with_columns(run, new: dict, kinds: dict, names: list[str]):
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, text)`` to doc_id, text, n_words, hits (places of hit words), items."""
+    """``(doc_id, text)`` to doc_id, text, n_words, hits (places of hit words), n_items, item_set, items.
+
+    ``item_set`` is the name of the set of items found, the SHA-256 of their sorted ids joined by commas. The ids themselves are
+    in ``items`` at the first document of each shard that has the set, and null at the others: where thousands of
+    documents share a window with thousands of items, the lists are not repeated (see ``item_sets``)."""
     small_batches(docs.sparkSession)
     blocks = shared_blocks(benchmark, window)
-    df = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    nothing = {c: F.lit(None).cast(t).alias(c) for c, t in (("n_words", "long"), ("hits", "array<int>"), ("n_items", "long"), ("item_set", "string"), ("items", "array<string>"))}
+    df = docs.select("doc_id", "text", *nothing.values())
     names = df.columns
-    kinds = {"n_words": pa.int64(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
+    kinds = {"n_words": pa.int64(), "hits": pa.list_(pa.int32()), "n_items": pa.int64(), "item_set": pa.string(), "items": pa.list_(pa.string())}
 
     def run(batches):
         for shard, texts in _shards(batches, 1):
             words = [words_of(t) for t in texts]
-            found = search_blocks(words, blocks)
-            yield from _with_columns(shard, {"n_words": [len(w) for w in words], "hits": [h.astype(np.int32) for h, _ in found], "items": [sorted(i) for _, i in found]}, kinds, names)
+            hits, items = search_blocks(words, blocks)
+            known: dict[int, str] = {}  # tuples of equal sets are one object
+            first = []
+            for x in items:
+                first.append(None if id(x) in known else x)
+                if id(x) not in known:
+                    known[id(x)] = hashlib.sha256(",".join(x).encode("utf-8", "surrogatepass")).hexdigest()
+            new = {"n_words": [len(w) for w in words], "hits": [h.astype(np.int32) for h in hits], "n_items": [len(x) for x in items], "item_set": [known[id(x)] for x in items], "items": first}
+            yield from _with_columns(shard, new, kinds, names)
 
     return df.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields]))
 
 
+def item_sets(found: DataFrame) -> DataFrame:
+    """item_set, items: each different set of items that documents were found to hold, once."""
+    return found.where(F.col("items").isNotNull()).groupBy("item_set").agg(F.any_value("items").alias("items"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with the removal spans cut from their texts; all columns stay. ``n_chars``, where
     present, follows the new text."""
@@ -250,10 +296,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def op5_fm_decontam(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(
-        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
-    )
+    return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "n_items", F.col("item_set").alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
 OP5_SQL = r"""

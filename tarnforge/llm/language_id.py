@@ -2,8 +2,8 @@
 
 Text is lower-cased; all that is no letter is one boundary character. N-grams of 1 to
 ``MOST_N`` characters are hashed to 2**``BITS`` features. Document frequencies are counted over all
-labelled training documents. The regression is fitted on a bounded sample of them (different
-texts, about ``PER_LANGUAGE`` a language, fewer where that would make more than ``MOST`` in all) by
+labelled training documents. The regression is fitted on a bounded sample of them (of each language the ``PER_LANGUAGE``
+different texts with letters of the smallest hashes, fewer where that would make more than ``MOST`` in all, never none) by
 follow-the-regularised-leader with a rate for each coordinate and an elastic-net penalty, whose L1
 part keeps the weights sparse. A part of the sample that is not fitted calibrates one
 temperature. Every whole text is then scored. The sample is chosen and ordered by hashes of the
@@ -18,12 +18,14 @@ no rows; other columns, of any name, are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnforge.llm.common import id_crc, small_batches, table
+from tarnforge.llm.common import cut, id_crc, small_batches, table
 
 BITS, MOST_N, PER_LANGUAGE, MOST, EPOCHS, SEED = 15, 3, 1000, 16_000, 4, 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-3
@@ -137,7 +139,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray) -> di
     rng = np.random.default_rng(SEED)
     data = [(at, tf_idf(at, c, idf), place[lang]) for at, c, lang in rows]
     order = rng.permutation(len(data))
-    held = set(order[: len(data) // 5].tolist()) if len(data) >= 20 else set()
+    held, left = set(), Counter(y for _, _, y in data)
+    for i in order[: len(data) // 5].tolist() if len(data) >= 20 else []:
+        if left[data[i][2]] > 1:  # one text of each language is fitted
+            held.add(i)
+            left[data[i][2]] -= 1
     model = Ftrl(1 << BITS, len(names))
     for _ in range(EPOCHS):
         for i in rng.permutation(len(data)).tolist():
@@ -151,15 +157,18 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray) -> di
 
 
 def training_sample(docs: DataFrame, lang: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
-    """Features of a bounded sample of the different texts of each language, chosen by a hash of the text."""
-    sizes = {r[lang]: r["count"] for r in docs.groupBy(lang).count().collect()}
-    if not sizes:
-        return []
-    each = min(PER_LANGUAGE, max(1, MOST // len(sizes)))
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, each / n))])
+    """Features of a bounded sample of each language: the different texts of the smallest hashes. Texts are made
+    different before they are drawn, so that a language of copies of one text is learnt from that text."""
     key = F.xxhash64("text", F.lit(3))
-    chosen = docs.where(F.pmod(key, F.lit(1 << 40)) / float(1 << 40) < share[F.col(lang)])
-    chosen = chosen.groupBy(F.col(lang).alias("lang"), key.alias("key")).agg(F.first("text").alias("text"))  # of equal texts
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    texts = cut(lettered.select(F.col(lang).alias("lang"), key.alias("key")).distinct())
+    languages = texts.select("lang").distinct().count()
+    if not languages:
+        return []
+    each = min(PER_LANGUAGE, max(1, MOST // languages))
+    drawn = texts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("place") <= each).select("lang", "key")
+    # Of at most MOST rows, or one a language.
+    chosen = lettered.select(F.col(lang).alias("lang"), key.alias("key"), "text").join(F.broadcast(drawn), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.first("text").alias("text"))
 
     def run(batches):
         for b in batches:
