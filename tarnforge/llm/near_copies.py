@@ -12,10 +12,14 @@ from two sources and are all verified by their whole sets:
 
 Texts of the same set are one node. A bucket (of one SimHash or one band) first compares its members
 with ``PIVOTS`` of them only, so that a group of near copies costs its size and not the square of it.
-What is then in one component needs no more; in buckets of several components all pairs of
-different ones are compared. The components are those of all linked candidates.
-
-Pairs are compared inside the joins by the parities of ``WIDTH`` classes of hashes first: every
+What is then in one component needs no more. The members of buckets of several components, such as texts
+that share a template and are otherwise different, are joined by prefixes: in one order of all shingles, rarest first,
+two linked sets share a shingle among the first fifth (and one) of each. So a shared template
+makes no candidates, since its shingles are the most frequent ones, and no bucket is compared pair by pair. The order
+is by ``COUNTERS`` counts of hashed shingles; any order is exact, and that one makes few candidates. The components
+are those of all linked candidates.
+
+Pairs of pivots are compared inside the join by the parities of ``WIDTH`` classes of hashes first: every
 parity that differs takes a shingle of one set only, so too many rule a pair out, and no linked
 pair is lost. Only what passes is made as a row. Whole sets are made and moved of texts in such
 pairs alone: the texts are found by their hashes, which are broadcast up to ``FEW`` and else joined.
@@ -42,6 +46,8 @@ SHINGLE, BANDS, ROWS, PIVOTS = 5, 20, 4, 2
 #: As a fraction, so that the comparison is of whole numbers.
 SHARE = 4, 5
 WIDTH = 512
+#: Counts of hashed shingles that the driver holds and sends, of 4 bytes each.
+COUNTERS = 1 << 20
 #: Text hashes that are broadcast at most, of 8 bytes each.
 FEW = 1 << 20
 _STEP = 1 << 10
@@ -128,18 +134,27 @@ def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that are as similar as ``SHARE``, by their whole sets."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = cut(nodes.join(wanted, "fp").select("fp", F.col("hash").alias("_hash")))
+def whole_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """fp and grams of the nodes of ``wanted`` (fp), from the texts."""
+    texts = cut(nodes.join(wanted.select("fp"), "fp", "left_semi").select("fp", F.col("hash").alias("_hash")))
     few = texts.count() <= FEW
     chosen = docs.select("text", F.xxhash64("text").alias("_hash")).join(F.broadcast(texts.select("_hash")) if few else texts.select("_hash"), "_hash", "left_semi")
-    grams = cut(sets(chosen).join(texts.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.any_value("grams").alias("grams")))
+    return cut(sets(chosen).join(texts.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.any_value("grams").alias("grams")))
+
+
+def near_pairs(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are as similar as ``SHARE``."""
     both = F.size(F.array_intersect("x", "y"))
     near = both * sum(SHARE) >= (F.size("x") + F.size("y")) * SHARE[0]  # both / (x + y - both) >= SHARE
     one, two = grams.select(F.col("fp").alias("a"), F.col("grams").alias("x")), grams.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
-    return cut(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"))
+    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are as similar as ``SHARE``, by their whole sets."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    return cut(near_pairs(pairs, whole_sets(wanted, docs, nodes)))
 
 
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -160,12 +175,57 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     chosen = members.where(F.array_contains("pivots", F.col("fp"))).select("key", F.col("fp").alias("pivot"), F.col("n").alias("pn"), F.col("odd").alias("podd"))
     star = members.drop("pivots").join(chosen, "key").where("fp <> pivot").where(possible("n", "odd", "pn", "podd"))
     first = verified(ordered(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).unionByName(fingerprint_pairs(nodes)), "a", "b"), docs, nodes)
-    rooted = members.drop("pivots").join(components(first).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = members.select("key", "fp", "n").join(components(first).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    left = cut(rooted.join(mixed, "key", "left_semi"))
-    one, two = (left.select("key", F.col("fp").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
-    rest = one.join(two, "key").where("a < b and ra <> rb").where(possible("na", "oa", "nb", "ob"))
-    return first.unionByName(verified(ordered(rest, "a", "b"), docs, nodes))
+    left = cut(rooted.join(mixed, "key", "left_semi").select("fp", "root", "n").distinct())
+    return first.unionByName(prefix_links(left, whole_sets(left, docs, nodes)))
+
+
+def prefix_links(left: DataFrame, grams: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes (fp, root, n) of different roots that are as similar as ``SHARE``; ``grams``: fp, grams."""
+    counts = counters(grams)
+    shared = left.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for b in batches:
+            for fp, root, n, grams in zip(*b.columns):
+                g = grams.values.to_numpy().view(np.uint64)
+                first = prefix(g, shared.value).view(np.int64)
+                if len(first):
+                    same = [pa.array(np.full(len(first), x.as_py(), dtype=np.int64)) for x in (fp, root, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(first), *same], ["g", "fp", "root", "n"])
+
+    keyed = cut(left.join(grams, "fp").select("fp", "root", F.col("n").cast("long").alias("n"), "grams").mapInArrow(run, "g long, fp long, root long, n long"))
+    one, two = (keyed.select("g", F.col("fp").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    sizes = (F.col("na") * SHARE[0] <= F.col("nb") * SHARE[1]) & (F.col("nb") * SHARE[0] <= F.col("na") * SHARE[1])
+    pairs = cut(one.join(two, "g").where("a < b and ra <> rb").where(sizes).select("a", "b").distinct())
+    return cut(near_pairs(pairs, grams))
+
+
+def counters(grams: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each of ``COUNTERS`` classes."""
+    def run(batches):
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for b in batches:
+            for x in b.column(0):
+                at = np.unique(x.values.to_numpy().view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
+                total[at] += 1
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(total[at[k : k + (1 << 16)]])], ["at", "n"])
+
+    out = np.zeros(COUNTERS, dtype=np.int32)
+    got = grams.select("grams").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    out[got["at"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
+    return out
+
+
+def prefix(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, of which two linked sets share one; without those that no other set can hold."""
+    often = counts[(grams % np.uint64(COUNTERS)).astype(np.int64)]
+    n = len(grams)
+    first = np.lexsort((grams, often))[: n - -(-n * SHARE[0] // SHARE[1]) + 1]
+    return grams[first[often[first] > 1]]
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
