@@ -5,8 +5,8 @@ which tokens of both end cut them into groups; all tokens of A and of B in a gro
 
 Each run of documents is laid out on one axis of bytes and handed to DuckDB inside the task as tables
 of token intervals: the common ends are a join of both, the group of an A token is a running sum of
-common ends (window), that of a B token and the document of a group are ASOF joins by first bytes (range joins with
-one partner each, as groups and documents don't overlap), and links are a join by group. Of a run its packet keeps, compressed, the
+common ends (window), that of a B token an ASOF join to the next common end (the range join of tokens and groups: as groups don't
+overlap, each token lies in one), and links are a join by group. Of a run its packet keeps, compressed, the
 documents' figures, the different id pairs with the number of its documents that have them linked, and
 which pairs each document has how often. These partial counts are merged by Spark, which gives each
 pair its count in the corpus and whether it is its A id's highest; the packets ask for the pairs they
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,10 +39,13 @@ from tarnforge.llm.common import cut, small_batches, table
 from tarnforge.llm.packets import bucket_bits, from_bytes, grown, packed, shrunk, to_bytes
 
 #: Characters of pieces that a worker keeps of one tokenizer, about.
-CACHE = 1 << 23
+CACHE = 1 << 22
 SPACE = "▁"
 #: Bits of an id in a number of two ids, or of a document and two ids.
 ID_BITS = 20
+_PAIR = (1 << 2 * ID_BITS) - 1
+#: Characters of texts on one axis, about; a longer text is alone on its own.
+RUN_CHARS = 1 << 20
 _HEX = re.compile(r"<0x([0-9A-F]{2})>")
 _SEGMENT = re.compile(r" *[^ ]+| +")
 _loaded: dict = {}
@@ -80,7 +84,7 @@ class Pieces:
             self.chars += sum(map(len, new))
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids for ids, _ in got), dtype=np.int32)])
             self.count = np.concatenate([self.count, [len(ids) for ids, _ in got]])
-            self.same = np.concatenate([self.same, [b == p.encode("utf-8", "surrogatepass") for p, (_, b) in zip(new, got)]])
+            self.same = np.concatenate([self.same, [same for _, same in got]])
 
     def tokens(self, texts: list[list[str]]):
         """Ids, lengths and the document of each token, and of each text whether its tokens' bytes are its own."""
@@ -104,17 +108,26 @@ def byte_level(path: str, pattern: str):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    if tok.normalizer is not None:
+        raise ValueError(f"{path} changes texts before it cuts them")
     tok.encode_special_tokens = True
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+    bytes_as, model = set(letters.values()), tok.model
     vocab = tok.get_vocab(with_added_tokens=False)
-    raw = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)}
     sizes = np.zeros(max([*vocab.values(), 0]) + 1, dtype=np.int64)
-    for i, b in raw.items():
-        sizes[i] = len(b)
+    for t, i in vocab.items():
+        sizes[i] = len(t) if all(c in bytes_as for c in t) else 0
+    size_of = sizes.tolist()
 
     def encode(pieces: list[str]):
-        return [(e.ids, b"".join(raw.get(i, b"") for i in e.ids)) for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Ids, and whether they cover all bytes: a byte-level tokenizer that changes no text can only leave some out."""
+        out = []
+        for p in pieces:
+            raw = p.encode("utf-8", "surrogatepass")
+            ids = [t.id for t in model.tokenize(raw.decode("latin-1").translate(letters))]
+            out.append((ids, sum([size_of[i] for i in ids]) == len(raw)))
+        return out
 
     return regex.compile(pattern).findall, Pieces(encode, sizes)
 
@@ -135,7 +148,7 @@ def piece_model(path: str):
 
     def encode(pieces: list[str]):
         got = [[alone] if p == " " and alone is not None else ids for p, ids in zip(pieces, model.encode([p[1:] for p in pieces], num_threads=1))]
-        return [(ids, b"".join(raw[i] for i in ids)) for ids in got]
+        return [(ids, b"".join([raw[i] for i in ids]) == p.encode("utf-8", "surrogatepass")) for p, ids in zip(pieces, got)]
 
     return _SEGMENT.findall if alone is not None else (lambda text: [text]), Pieces(encode, np.array([len(b) for b in raw], dtype=np.int64))
 
@@ -147,49 +160,59 @@ def _tools(a_path: str, pattern: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         _loaded[key] = byte_level(a_path, pattern), piece_model(b_path), con
     return _loaded[key]
 
 
-#: a, b: token intervals (n, id, first, last) in the order of bytes, those of A with their document; docs: (d, first, last).
-_CUTS = """
-CREATE OR REPLACE TEMP TABLE cuts AS
-SELECT CAST(row_number() OVER (ORDER BY last) AS INTEGER) AS g, coalesce(lag(last) OVER (ORDER BY last), 0) AS first, last FROM (SELECT last FROM a SEMI JOIN b USING (last))
-"""
+#: a, b: tokens (n, id, the end of their interval of bytes, d) in the order of bytes. Intervals follow on each other, so that ends say
+#: all. A token's group is one more than the common ends before it; {order} is empty if rows come in order.
 _GROUPED_A = """
-CREATE OR REPLACE TEMP TABLE ga AS
-SELECT n, d, id, CAST(1 + coalesce(sum(CAST(c.g IS NOT NULL AS INTEGER)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS g
-FROM a LEFT JOIN cuts c ON a.last = c.last
+CREATE OR REPLACE TEMP TABLE ga AS SELECT n, d, id, last, ends, CAST(1 - ends + sum(ends) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS g
+FROM (SELECT a.n, a.d, a.id, a.last, CAST(b.last IS NOT NULL AS INTEGER) AS ends FROM a LEFT JOIN b ON a.last = b.last)
 """
-_GROUPED_B = "CREATE OR REPLACE TEMP TABLE gb AS SELECT n, id, g FROM b ASOF JOIN cuts ON b.first >= cuts.first"
-_GROUPS = "SELECT d, count(*) AS n FROM cuts ASOF JOIN docs ON cuts.first >= docs.first GROUP BY d"
+#: The group of a B token is the one whose end is the next at or after its own.
+_GROUPED_B = "CREATE OR REPLACE TEMP TABLE gb AS SELECT b.n, b.id, cuts.g FROM b ASOF JOIN (SELECT g, last FROM ga WHERE ends = 1) AS cuts ON b.last <= cuts.last"
+_GROUPS = "SELECT d, count(*) AS n FROM ga WHERE ends = 1 GROUP BY d"
 _LINKS = f"SELECT (CAST(ga.d AS BIGINT) << {2 * ID_BITS}) | (CAST(ga.id AS BIGINT) << {ID_BITS}) | gb.id AS link FROM ga JOIN gb USING (g)"
 
 
-def align(con, a, b, docs: np.ndarray):
-    """``a``, ``b``: ids, ends on one axis and documents of tokens; ``docs``: ends of documents. Returns of each document
-    its groups' number, links (d, a, b as one number) with how often they are, and groups of the A and B tokens."""
-    small = np.int32 if docs[-1] < 1 << 31 else np.int64
-
-    def intervals(last, **more):
-        return pa.table({"first": np.concatenate([[0], last[:-1]]).astype(small), "last": last.astype(small), **more})
-
+def align(con, a, b, n_docs: int):
+    """``a``, ``b``: ids, ends on one axis and documents of tokens. Returns of each document its groups' number, links (d, a, b
+    as one number) with how often they are, and groups of the A and B tokens."""
+    small = np.int32 if a[1][-1] < 1 << 31 else np.int64
     for name, (ids, last, doc) in (("a", a), ("b", b)):
-        con.register(name, intervals(last, n=np.arange(len(ids), dtype=np.int32), id=ids, d=doc.astype(np.int32)))
-    con.register("docs", intervals(docs, d=np.arange(len(docs), dtype=np.int32)))
-    for sql in (_CUTS, _GROUPED_A, _GROUPED_B):
-        con.execute(sql)
-    groups = np.zeros(len(docs), dtype=np.int64)
+        con.register(name, pa.table({"n": np.arange(len(ids), dtype=np.int32), "id": ids, "last": last.astype(small), "d": doc.astype(np.int32)}))
+    for order in ("", "ORDER BY n"):
+        con.execute(_GROUPED_A.format(order=order))
+        got = con.execute("SELECT n, g FROM ga").fetchnumpy()
+        if (np.diff(got["n"]) > 0).all():  # the running sum was taken in this order
+            break
+    of = [_placed(got["n"], got["g"])]
+    con.execute(_GROUPED_B)
+    got = con.execute("SELECT n, g FROM gb").fetchnumpy()
+    of.append(_placed(got["n"], got["g"]))
+    groups = np.zeros(n_docs, dtype=np.int64)
     got = con.execute(_GROUPS).fetchnumpy()
     groups[got["d"]] = got["n"]
     links = np.unique(np.asarray(con.execute(_LINKS).fetchnumpy()["link"]), return_counts=True)
-    of = [np.asarray(con.execute(f"SELECT g FROM {t} ORDER BY n").fetchnumpy()["g"]).astype(np.int64) for t in ("ga", "gb")]
-    for t in ("a", "b", "docs"):
-        con.unregister(t)
+    con.unregister("a")
+    con.unregister("b")
     return groups, links, *of
 
 
+def _placed(place: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.empty(len(place), dtype=np.int64)
+    out[place] = values
+    return out
+
+
+@lru_cache(maxsize=4)
+def _marked(bits: int) -> np.ndarray:
+    """Ids of so many bits as text, each with a comma, a bar and a semicolon after it."""
+    return np.array([f"{i}{m}" for i in range(1 << bits) for m in ",|;"], dtype=object)
+
+
 def group_texts(ids_a, ga, doc_a, ids_b, gb, n_docs: int) -> list[str]:
     """``a1,a2|b1;a3|b2,b3`` of each document."""
     side = np.concatenate([np.zeros(len(ga), dtype=np.int64), np.ones(len(gb), dtype=np.int64)])
@@ -201,50 +224,65 @@ def group_texts(ids_a, ga, doc_a, ids_b, gb, n_docs: int) -> list[str]:
     doc_of_group = np.zeros(int(g.max(initial=0)) + 1, dtype=np.int64)
     doc_of_group[ga] = doc_a
     doc = doc_of_group[g]
-    marks = [np.array([f"{i}{m}" for i in range(int(ids.max(initial=0)) + 1)], dtype=object) for m in ",|;"] if len(ids) > 1 << 17 else None
-    words = np.empty(len(ids), dtype=object)
-    for k, m in enumerate(",|;"):
-        at = np.flatnonzero(after == k)
-        words[at] = marks[k][ids[at]] if marks else [f"{i}{m}" for i in ids[at].tolist()]
+    words = _marked(int(ids.max(initial=0)).bit_length())[3 * ids.astype(np.int64) + after]
     edges = np.searchsorted(doc, np.arange(n_docs + 1))
     return ["".join(words[a:b].tolist())[:-1] for a, b in zip(edges, edges[1:])]
 
 
+def _aligned(texts: list[str], a_path: str, pattern: str, b_path: str):
+    """Of each text n_a, n_b, n_groups, n_links and its digest; and the links (d, a, b as one number) with how often they are."""
+    (cut_a, a), (cut_b, b), con = _tools(a_path, pattern, b_path)
+    figures, digest = np.zeros((4, len(texts)), dtype=np.int64), [""] * len(texts)
+    where = np.array([i for i, x in enumerate(texts) if x], dtype=np.int64)
+    spaced = [f" {texts[i]}" for i in where.tolist()]
+    found = [cut_a(x) for x in spaced], [cut_b(x) for x in spaced]
+    got = a.tokens(found[0]), b.tokens(found[1])
+    same = got[0][3] & got[1][3]
+    if not same.all():
+        keep = np.flatnonzero(same).tolist()
+        where, spaced = where[keep], [spaced[k] for k in keep]
+        got = a.tokens([found[0][k] for k in keep]), b.tokens([found[1][k] for k in keep])
+    n = len(where)
+    if not n:
+        return figures, digest, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    (ids_a, size_a, doc_a, _), (ids_b, size_b, doc_b, _) = got
+    groups, (links, times), ga, gb = align(con, (ids_a, np.cumsum(size_a), doc_a), (ids_b, np.cumsum(size_b), doc_b), n)
+    of_doc = links >> 2 * ID_BITS
+    for row, x in zip(figures, (np.bincount(doc_a, minlength=n), np.bincount(doc_b, minlength=n), groups, np.bincount(of_doc, times, n))):
+        row[where] = x
+    for i, x in zip(where.tolist(), group_texts(ids_a, ga, doc_a, ids_b, gb, n)):
+        digest[i] = hashlib.sha256(x.encode()).hexdigest()
+    return figures, digest, (where[of_doc] << 2 * ID_BITS) | (links & _PAIR), times
+
+
+def _runs(texts: list[str | None]):
+    """Slices of about ``RUN_CHARS`` characters: what is laid out on one axis at once."""
+    begin = size = 0
+    for i, x in enumerate(texts):
+        if size and size + len(x or "") > RUN_CHARS:
+            yield begin, i
+            begin, size = i, 0
+        size += len(x or "")
+    yield begin, len(texts)
+
+
 def _pack(a_path: str, pattern: str, b_path: str):
     def pack(t: pa.Table):
-        (cut_a, a), (cut_b, b), con = _tools(a_path, pattern, b_path)
         texts = t.column(1).to_pylist()
-        some = [i for i, x in enumerate(texts) if x]
-        spaced = [f" {texts[i]}" for i in some]
-        found_a, found_b = [cut_a(x) for x in spaced], [cut_b(x) for x in spaced]
-        tokens_a, tokens_b = a.tokens(found_a), b.tokens(found_b)
-        same = tokens_a[3] & tokens_b[3]
-        if not same.all():
-            keep = np.flatnonzero(same).tolist()
-            some, spaced = [some[k] for k in keep], [spaced[k] for k in keep]
-            tokens_a, tokens_b = a.tokens([found_a[k] for k in keep]), b.tokens([found_b[k] for k in keep])
-        (ids_a, size_a, doc_a, _), (ids_b, size_b, doc_b, _) = tokens_a, tokens_b
-        ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in spaced], dtype=np.int64)
-        n = len(some)
-        where = np.array(some, dtype=np.int64)
-        out = {c: np.zeros(len(texts), dtype=np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-        digest = [""] * len(texts)
-        pairs, counts, of, times, begin = (np.zeros(0, dtype=np.int64) for _ in range(5))
-        if n:
-            groups, (links, times), ga, gb = align(con, (ids_a, np.cumsum(size_a), doc_a), (ids_b, np.cumsum(size_b), doc_b), ends)
-            out["n_a"][where], out["n_b"][where] = np.bincount(doc_a, minlength=n), np.bincount(doc_b, minlength=n)
-            out["n_groups"][where] = groups
-            of_doc = links >> 2 * ID_BITS
-            out["n_links"][where] = np.bincount(of_doc, times, n).astype(np.int64)
-            for i, x in zip(some, group_texts(ids_a, ga, doc_a, ids_b, gb, n)):
-                digest[i] = hashlib.sha256(x.encode()).hexdigest()
-            pairs, of, counts = np.unique(links & ((1 << 2 * ID_BITS) - 1), return_inverse=True, return_counts=True)
-            begin = where[of_doc]
-        size = np.bincount(begin, minlength=len(texts))
+        figures, digest, links, times = [], [], [], []
+        for i, j in _runs(texts):
+            f, g, k, m = _aligned(texts[i:j], a_path, pattern, b_path)
+            figures.append(f)
+            digest += g
+            links.append(k + (i << 2 * ID_BITS))
+            times.append(m)
+        links, times, figures = np.concatenate(links), np.concatenate(times), np.concatenate(figures, axis=1)
+        pairs, of, counts = np.unique(links & _PAIR, return_inverse=True, return_counts=True)
+        size = np.bincount(links >> 2 * ID_BITS, minlength=len(texts))
         lists = np.concatenate([[0], np.cumsum(size)])
         docs = pa.table({
-            "doc_id": t.column(0).combine_chunks(), **out, "groups_sha256": pa.array(digest, pa.string()),
-            "pair": pa.LargeListArray.from_arrays(lists, pa.array(of.astype(np.int32))), "m": pa.LargeListArray.from_arrays(lists, pa.array(times.astype(np.int64))),
+            "doc_id": t.column(0).combine_chunks(), **dict(zip(("n_a", "n_b", "n_groups", "n_links"), figures)), "groups_sha256": pa.array(digest, pa.string()),
+            "pair": pa.LargeListArray.from_arrays(lists, pa.array(of.astype(np.int32))), "m": pa.LargeListArray.from_arrays(lists, pa.array(times.astype(np.int32))),
         })
         first, second = to_bytes(docs), to_bytes(pa.table({"pair": pairs.astype(np.int64), "n": counts.astype(np.int64)}))
         return np.int64(len(first)).tobytes() + first + second, len(pairs)
@@ -328,8 +366,8 @@ def align_documents(docs: DataFrame, a_path: str, pattern: str, b_path: str) ->
                 doc = np.repeat(np.arange(len(of)), of.value_lengths().to_numpy(zero_copy_only=False))
                 of, m = of.flatten().to_numpy(), m.flatten().to_numpy()
                 best, total = np.zeros(rows.num_rows, dtype=np.int64), np.zeros(rows.num_rows, dtype=np.int64)
-                np.add.at(best, doc, m * (count[of] & 1))
-                np.add.at(total, doc, m * (count[of] >> 1))
+                np.add.at(best, doc, m.astype(np.int64) * (count[of] & 1))
+                np.add.at(total, doc, m.astype(np.int64) * (count[of] >> 1))
                 columns = [rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c] for c in ("doc_id", *figures)]
                 yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in columns] + [pa.array(best), pa.array(total)], names)
 
