@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarnforge.catalog.base import DAILY, FAILED, SCORED, SPARSE, daily, failures, query, read, scored, scratch, sparse_lines
@@ -10,6 +12,7 @@ from tarnforge.functions.lineage import cut
 from tarnforge.functions.scalar import signed_log1p
 from tarnforge.operators import cost, events, labels, metrics, preprocess, profile, sampling, sketches, splits, windows
 from tarnforge.operators.ranks import running_sums
+from tarnforge.sources import snapshot
 
 COLS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -275,6 +278,18 @@ def w1(spark, d):
     return r.select("user_id", "d", F.round(F.col("value_MEAN_7D") + 1e-7, 4).alias("mean_7d"), F.col("value_COUNT_7D").alias("count_7d"), F.round(F.col("value_PREV_MEAN_7D") + 1e-7, 4).alias("prev_mean_7d"), F.col("value_PREV_COUNT_7D").alias("prev_count_7d"))
 
 
+@query("w1_over_entity_cache", _ROLL + " SELECT user_id, d, round(m + 1e-7, 4) AS mean_7d, k AS count_7d, n_events FROM r JOIN (SELECT user_id, count(*) AS n_events FROM events GROUP BY 1) USING (user_id)")
+def w1_cached(spark, d):
+    """Windows, and a join by the entity, over a table in sorted buckets."""
+    name = f"_cache_{uuid.uuid4().hex}"
+    cached = snapshot.entity_cache(daily(spark, d), name, "user_id", "day", 8)
+    n = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_events"))
+    r = windows.rolling(cached, "user_id", "day", ["value"], (7,)).join(n, "user_id")
+    out = cut(r.select("user_id", "d", F.round(F.col("value_MEAN_7D") + 1e-7, 4).alias("mean_7d"), F.col("value_COUNT_7D").alias("count_7d"), "n_events"))
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 @query("w3_mean_shift", _ROLL + " SELECT user_id, d, (k > 0)::INT AS valid, round(CASE WHEN k > 0 AND pk > 0 THEN m - pm END + 1e-7, 4) AS shift, (k > 0 AND pk > 0)::INT AS shift_valid FROM r")
 def w3(spark, d):
     r = windows.with_shifts(windows.rolling(daily(spark, d), "user_id", "day", ["value"], (7,)), ["value"], (7,))
@@ -590,5 +605,5 @@ def d12_sketched(spark, d):
     all_months = sketches.merged(sketches.monthly(e, "day", ["value"]))
     week = e.where(F.col("day") >= F.date_sub(F.lit(e.agg(F.max("day")).first()[0]), 6))
     counts = running_sums(e.groupBy("value").agg(F.count("*").alias("k")), "value", {"upto": "k"}).select("value", (F.col("upto") / F.col("upto_all")).alias("exact"))
-    scored_ = week.crossJoin(F.broadcast(all_months)).select("day", "value", sketches.rank(F.col("value").cast("double")).alias("score"))  # one row
-    return scored_.join(counts, "value").groupBy("day").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("score") - F.col("exact"))) <= sketches.RANK_ERROR).alias("within"))
+    rows = sketches.with_score(week, "value", sketches.grid(all_months, "value", 500))
+    return rows.join(counts, "value").groupBy("day").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("score") - F.col("exact"))) <= sketches.RANK_ERROR + 1 / 500).alias("within"))

@@ -9,7 +9,7 @@ from tarnforge.catalog.analytics import N, SPAN, labelled
 from tarnforge.catalog.analytics import _LABELLED, _SWEEP, _curve, _scale
 from tarnforge.catalog.base import DAILY, SCORED, SPARSE, daily, failures, query, read, scored, sparse_lines
 from tarnforge.functions import keys, scalar
-from tarnforge.operators import clean, cost, events, joins, preprocess, profile, sampling, sets, splits, star, windows
+from tarnforge.operators import clean, cost, events, joins, preprocess, profile, ranks, sampling, sets, splits, star, windows
 
 # ---- projections and predicates
 
@@ -137,7 +137,15 @@ def a15(spark, d):
 
 @query("w6_global_rank", "SELECT l_suppkey, n, row_number() OVER (ORDER BY n DESC, l_suppkey) AS place FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)")
 def w6(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "l_suppkey")))
+    return ranks.ordered(read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")), [F.desc("n"), F.asc("l_suppkey")])
+
+
+@query("w6_neighbours", """SELECT o_orderkey, row_number() OVER w AS place, lag(o_totalprice) OVER w AS before, lag(o_orderkey, 3) OVER w AS third_before, lead(o_orderkey, 2) OVER w AS second_behind FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)""")
+def w6_neighbours(spark, d):
+    """Places and neighbours in the order of all orders, by ranges of it."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    out = ranks.ordered(o, [F.asc("o_orderdate"), F.asc("o_orderkey")], "place", {"before": ("o_totalprice", 1), "third_before": ("o_orderkey", 3)}, {"second_behind": ("o_orderkey", 2)})
+    return out.select("o_orderkey", "place", "before", "third_before", "second_behind")
 
 
 @query("w7_running_sum", "SELECT l_suppkey, l_returnflag, sum(n) OVER (PARTITION BY l_suppkey ORDER BY l_returnflag ROWS UNBOUNDED PRECEDING)::BIGINT AS running, (sum(n) OVER (PARTITION BY l_suppkey))::BIGINT AS whole, (sum(n) OVER ())::BIGINT AS total FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2)")
@@ -162,10 +170,16 @@ def u1(spark, d):
     return sets.union_years(*[o.where(F.year("o_orderdate") == y) for y in (1996, 1998)]).groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
 
 
-@query("u4_multiset_parity", "SELECT true AS parity, false AS parity_without_one")
+@query("u4_multiset_parity", "SELECT n_regionkey, true AS parity, count(*) FILTER (WHERE s_acctbal < -900) = 0 AS parity_without_debtors FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
 def u4(spark, d):
-    s = read(spark, d, "supplier")
-    return spark.createDataFrame([(sets.same_rows(s, s.orderBy(F.desc("s_suppkey"))), sets.same_rows(s, s.where("s_suppkey <> 1")))], "parity boolean, parity_without_one boolean")
+    """Of each region's suppliers: parity with themselves in another order, and with those that are not deep in debt."""
+    s = read(spark, d, "supplier").join(read(spark, d, "nation").select("n_nationkey", "n_regionkey"), F.col("n_nationkey") == F.col("s_nationkey"))
+    regions = [r[0] for r in s.select("n_regionkey").distinct().collect()]  # a row a region
+    got = []
+    for k in regions:
+        own = s.where(F.col("n_regionkey") == k)
+        got.append((k, sets.same_rows(own, own.orderBy(F.desc("s_suppkey"))), sets.same_rows(own, own.where("s_acctbal >= -900"))))
+    return spark.createDataFrame(got, "n_regionkey int, parity boolean, parity_without_debtors boolean")
 
 
 @query("u7_intersection", "SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0")

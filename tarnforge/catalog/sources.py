@@ -226,6 +226,22 @@ def s23(spark, d):
     return spark.table("_customers").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
+@query("q_tests_inside_the_write", """SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 2 ELSE 0 END + CASE WHEN o_totalprice < 2000 THEN 1 ELSE 0 END AS flags,
+count(*) OVER () AS row_count, count(*) FILTER (WHERE o_totalprice < 2000) OVER () AS cheap, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') OVER () AS late, true AS stays FROM orders WHERE o_orderstatus <> 'P'""")
+def q_inside(spark, d):
+    """A stage whose tests are taken in the pass that writes it. It fails them, and stays with its flags, from which alone the counts are read."""
+    path, o = publish.stage_path(scratch(spark, "tested"), "orders", "r"), read(spark, d, "orders").where("o_orderstatus <> 'P'")
+    tests = {"cheap": F.col("o_totalprice") < 2000, "late": F.col("o_orderdate") >= F.lit("1998-01-01")}
+    try:
+        publish.write_tested(o, path, tests)
+        stays = False
+    except ValueError:
+        stays = True
+    stored = spark.read.parquet(path)
+    c = quality.flag_counts(stored, list(tests))
+    return stored.select("o_orderkey", F.col(quality.FLAGS).cast("int").alias("flags"), *[F.lit(v).cast("long").alias(n) for n, v in c.items()], F.lit(stays).alias("stays"))
+
+
 @query("m8_full_rebuild", _PUBLISHED)
 def m8(spark, d):
     """A table built twice: readers get the second build."""

@@ -102,3 +102,20 @@ def zero_gate(counters: dict[str, int | None]) -> None:
     bad = {k: v for k, v in counters.items() if v is None or int(v) != 0}
     if bad:
         raise ValueError(f"gate failed: {bad}")
+
+
+#: Column of a tested stage: which tests a row fails, as bits.
+FLAGS = "_failed_tests"
+
+
+def flagged(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """The frame with ``FLAGS``, for writing: tests of single rows are then taken in the pass that writes. ``tests``: at most 63
+    names with the condition of failure (null is no failure)."""
+    parts = [F.when(F.coalesce(c, F.lit(False)), F.lit(1 << k)).otherwise(0).cast("long") for k, c in enumerate(tests.values())]
+    return df.withColumn(FLAGS, sum(parts, F.lit(0).cast("long")))
+
+
+def flag_counts(stored: DataFrame, tests: list[str]) -> dict[str, int]:
+    """row_count and the failing rows of each test, from the flags alone."""
+    bit = lambda k: F.count_if(F.col(FLAGS).bitwiseAND(F.lit(1 << k)) != 0)
+    return stored.agg(F.count("*").alias("row_count"), *[bit(k).alias(n) for k, n in enumerate(tests)]).first().asDict()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnforge.functions.lineage import cut
@@ -24,3 +24,33 @@ def running_sums(df: DataFrame, by: str, sums: dict[str, str], descending: bool
     out = df.withColumns({f"_o_{n}": F.sum(c).over(own) for n, c in sums.items()}).join(F.broadcast(ahead), "_part")
     out = out.withColumns({n: F.col(f"_o_{n}") + F.col(f"_a_{n}") for n in sums})
     return out.drop("_part", *[f"_o_{n}" for n in sums], *[f"_a_{n}" for n in sums])
+
+
+def ordered(df: DataFrame, order: list[Column], place: str = "place", lags: dict[str, tuple[str, int]] | None = None, leads: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """Adds each row's place in a global order, and under each name of ``lags`` (``leads``) a column's value so many rows
+    before (behind), null beyond the ends. No task sees all rows.
+
+    Rows are dealt out by ranges of the order. A value that lies in an earlier or later range is among the first or last rows of its
+    range; these, as many as the largest offset a range, are handed to all by their places.
+    """
+    lags, leads = lags or {}, leads or {}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = df.columns
+    df = cut(df.repartitionByRange(parts, *order)).withColumn("_part", F.spark_partition_id())
+    sizes = df.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = Window.partitionBy("_part").orderBy(*order)
+    near = {n: F.lag(c, k).over(own) for n, (c, k) in lags.items()} | {n: F.lead(c, k).over(own) for n, (c, k) in leads.items()}
+    df = df.withColumns({"_i": F.row_number().over(own), **near}).join(F.broadcast(sizes.select("_part", "_n", ahead.alias("_ahead"))), "_part")
+    df = df.withColumn(place, F.col("_i") + F.col("_ahead"))
+    reach = max([k for _, k in [*lags.values(), *leads.values()]], default=0)
+    if reach:
+        df = cut(df)
+        wanted = sorted({c for c, _ in [*lags.values(), *leads.values()]})
+        edge = df.where((F.col("_i") <= reach) | (F.col("_i") > F.col("_n") - reach)).select(F.col(place).alias("_edge_place"), F.struct(*wanted).alias("_edge"))
+        for sign, names in ((-1, lags), (1, leads)):
+            for k in sorted({k for _, k in names.values()}):
+                beyond = F.col("_i") <= k if sign < 0 else F.col("_i") > F.col("_n") - k
+                df = df.join(F.broadcast(edge), F.when(beyond, F.col(place) + sign * k) == F.col("_edge_place"), "left")
+                df = df.withColumns({n: F.when(beyond, F.col("_edge")[c]).otherwise(F.col(n)) for n, (c, j) in names.items() if j == k}).drop("_edge_place", "_edge")
+    return df.select(*cols, *lags, *leads, place)

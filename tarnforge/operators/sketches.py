@@ -7,6 +7,8 @@ quantiles. Sketches of any months are merged to a profile of all of them. Errors
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +53,22 @@ def quantile(q: float) -> Column:
     return F.when(F.col("known") > 0, F.kll_sketch_get_quantile_double("quantiles", F.lit(q)))
 
 
-def rank(value: Column) -> Column:
-    """The share of values up to and with this one."""
-    return F.when(F.col("known") > 0, F.kll_sketch_get_rank_double("quantiles", value))
+def grid(of: DataFrame, column: str, steps: int = 500) -> list[float]:
+    """Quantiles of a column at equal steps of the rank: as many numbers as steps."""
+    ranks = F.array(*[F.lit((k + 1) / steps) for k in range(steps)])
+    row = of.where((F.col("column_name") == column) & (F.col("known") > 0)).select(F.kll_sketch_get_quantile_double("quantiles", ranks)).first()
+    return list(row[0]) if row else []
+
+
+def with_score(df: DataFrame, col: str, quantiles: list[float], name: str = "score") -> DataFrame:
+    """Adds the share of the sketched values up to and with each value, within ``RANK_ERROR`` and a step of the grid."""
+    known = np.sort(np.asarray(quantiles, dtype=float))
+
+    @F.pandas_udf("double")
+    def score(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(known, v.to_numpy(float), side="right") / max(len(known), 1)).where(v.notna() & (len(known) > 0))
+
+    return df.withColumn(name, score(F.col(col).cast("double")))
 
 
 def profile(of: DataFrame, quantiles: dict[str, float], by: list[str] | None = None) -> DataFrame:

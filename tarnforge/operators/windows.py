@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnforge.constants import WINDOW_DAYS
+from tarnforge.operators.ranks import ordered
 
 
 def frames(key: str, day: str, n: int):
@@ -56,5 +57,5 @@ def lexsort(df: DataFrame, key: str, day: str, parts: int | None = None) -> Data
 
 
 def gaps(df: DataFrame, day: str) -> DataFrame:
-    """Days of a spine whose predecessor is not the day before."""
-    return df.withColumn("previous", F.lag(day).over(Window.orderBy(day))).where(F.datediff(F.col(day), F.col("previous")) != 1)
+    """Days of a spine whose predecessor is not the day before; in ranges of days, not in one task."""
+    return ordered(df, [F.col(day).asc()], "_place", {"previous": (day, 1)}).drop("_place").where(F.datediff(F.col(day), F.col("previous")) != 1)

@@ -7,9 +7,10 @@ import hashlib
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tarnforge.functions.lineage import remove
+from tarnforge.operators import quality
 
 AUDIT_COUNTERS = (
     "source_rows", "output_rows", "entities", "positive_rows", "negative_rows", "censored_rows", "same_day_rows", "post_failure_rows",
@@ -31,6 +32,16 @@ def write_stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def write_tested(df: DataFrame, path: str, tests: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """Writes a stage whose rows are tested in the same pass, by flags beside them; the counts are then read from the flags'
+    column alone. Returns the rows on disk without their flags, and the counts. Where a test fails the stage stays
+    for inspection, flags and all, and the error names the tests."""
+    stored = write_stage(quality.flagged(df, tests), path)
+    counts = quality.flag_counts(stored, list(tests))
+    quality.zero_gate({n: counts[n] for n in tests})
+    return stored.drop(quality.FLAGS), counts
+
+
 def _folder(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

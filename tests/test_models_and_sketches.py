@@ -140,6 +140,15 @@ def test_sketches_by_month(spark, tmp_path):
     assert sketches.merged(sketches.stored(spark, path)).where("column_name = 'a'").first().row_count == 6033
 
 
+def test_scores_from_a_grid(spark):
+    df = spark.range(5000).select(F.to_date(F.lit("2024-01-01")).alias("day"), (F.col("id") % 1000).cast("double").alias("a"))
+    g = sketches.grid(sketches.merged(sketches.monthly(df, "day", ["a"])), "a", 200)
+    rows = sketches.with_score(spark.createDataFrame([(-1.0,), (0.0,), (499.0,), (999.0,), (None,)], "a double"), "a", g).collect()
+    want = [0.0, 0.001, 0.5, 1.0, None]
+    assert all(r.score is None if w is None else abs(r.score - w) <= sketches.RANK_ERROR + 1 / 200 for r, w in zip(rows, want))
+    assert sketches.with_score(df, "a", []).first().score is None
+
+
 def test_sketches_of_nulls_alone(spark):
     df = spark.sql("SELECT DATE '2024-01-01' AS day, CAST(NULL AS double) AS a FROM range(5)")
     r = sketches.profile(sketches.merged(sketches.monthly(df, "day", ["a"])), {"q": 0.5}).first()
