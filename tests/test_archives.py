@@ -9,7 +9,6 @@ import pyarrow.parquet as pq
 import pytest
 
 from tarnforge.sources import archives
-from tarnforge.sources.bronze import SourceError
 
 
 def zipped(path, members):
