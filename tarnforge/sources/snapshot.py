@@ -13,25 +13,39 @@ class SnapshotError(ValueError):
     """A snapshot is not what its manifest says."""
 
 
-def export(df: DataFrame, path: str, date: str, part: str = "mes", tasks_per_month: int = 1) -> None:
+def export(df: DataFrame, path: str, date: str, part: str = "mes", tasks_per_month: int = 1, order: list[str] | None = None) -> None:
     """Snappy Parquet by month in files of bounded rows. The rows of a month meet in ``tasks_per_month``
-    tasks, so that there are few files, whatever the tasks of the scan."""
-    months = df.withColumn(part, F.date_format(F.col(date), "yyyy-MM"))
+    tasks, so that there are few files, whatever the tasks of the scan.
+
+    A shuffle hands rows over in any order, so the rows of a file are sorted by ``order`` (all columns that have an order, if
+    none are named): the same rows give the same pages again. The optimizer removes a sort before the shuffle."""
+    # Not null, under the name that Spark gives such a folder: else the writer wraps the column and sorts anew by it alone.
+    months = df.withColumn(part, F.coalesce(F.date_format(F.col(date), "yyyy-MM"), F.lit("__HIVE_DEFAULT_PARTITION__")))
     months = months.repartition(F.col(part), *([F.pmod(F.xxhash64(*df.columns), F.lit(tasks_per_month))] if tasks_per_month > 1 else []))
+    order = order or [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant", "interval"))]
+    months = months.sortWithinPartitions(part, *order)
     months.write.partitionBy(part).option("compression", "snappy").option("maxRecordsPerFile", 4_000_000).mode("overwrite").parquet(path)
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Relative path and SHA-256 of every Parquet file, hashed where it lies; other files are ignored."""
+    """Relative path and SHA-256 of every Parquet file, hashed where it lies; other files are ignored.
+
+    ``content_sha256`` is of the pages and Spark's schema only: a writer lists a column's encodings in its footer in the order
+    of a hash set, which differs from one JVM to the next, so that executors write different bytes for the same rows."""
     root = path.rstrip("/").split(":", 1)[-1]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_replace(F.substring_index("path", root, -1), "^/+", "")
-    return files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"))
+    size = F.hex(F.substring("content", -8, 4))  # of the footer, its lowest byte first
+    size = F.conv(F.concat(*[F.substring(size, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("int")
+    pages, footer = F.expr("length(content)") - 8 - size, F.col("content").substr(F.expr("length(content)") - 7 - size, size)
+    schema = F.regexp_extract(F.decode(footer, "ISO-8859-1"), r'(?s)row\.metadata.*?(\{"type":"struct".*\]\})', 1)
+    content = F.sha2(F.concat(F.sha2(F.col("content").substr(F.lit(1), pages), 256), schema), 256)
+    return files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"), content.alias("content_sha256"))
 
 
 def dataset_hash(spark: SparkSession, path: str) -> str:
     """SHA-256 over the sorted ``file sha256`` lines; as many lines as files come to the driver."""
-    lines = sorted(f"{r.file} {r.sha256}" for r in file_hashes(spark, path).collect())
+    lines = sorted(f"{r.file} {r.sha256}" for r in file_hashes(spark, path).select("file", "sha256").collect())
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
