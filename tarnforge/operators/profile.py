@@ -183,10 +183,9 @@ def duplicate_summary(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def payload_duplicates(df: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
-    """In colliding keys only: groups whose payload is equal in all columns. The narrow key count
-    comes first, so that only colliding rows are grouped by the wide payload."""
-    hot = df.groupBy(*keys).count().where("count > 1").select(*keys)
-    g = df.join(hot, keys, "left_semi").groupBy(*keys, *payload).agg(F.count("*").alias("copies")).where("copies > 1")
+    """Groups of equal keys whose payload is equal in all columns. Such keys collide by themselves, so no join finds them first
+    (it sorted all rows in its tasks, and lost null keys)."""
+    g = df.groupBy(*keys, *payload).agg(F.count("*").alias("copies")).where("copies > 1")
     return g.select(*keys, "copies", F.xxhash64(*payload).alias("fingerprint"))
 
 

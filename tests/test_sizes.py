@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tarnforge.operators import profile
 from tarnforge.sources import snapshot
 
 
@@ -31,3 +32,11 @@ def test_hashes_of_content_leave_the_footer_out(spark, tmp_path):
         changed[name] = one()
     assert all(r.sha256 != before.sha256 for r in changed.values())
     assert [n for n, r in changed.items() if r.content_sha256 != before.content_sha256] == ["schema", "pages"]
+
+
+def test_payload_duplicates_are_one_grouping_and_keep_null_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "c"), (None, None), (None, None)], "k int, p string")
+    out = profile.payload_duplicates(df, ["k"], ["p"])
+    assert sorted(tuple(r) for r in out.fillna(0).groupBy("k", "copies").count().collect()) == [(0, 2, 2), (1, 2, 1)]
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange") == 1
