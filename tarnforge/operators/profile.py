@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnforge.functions.lineage import cut
 from tarnforge.functions.scalar import percent, ratio
 from tarnforge.operators.gram import gram
-from tarnforge.operators.ranks import running_sums
+from tarnforge.operators.ranks import few, quantiles, running_sums
 
 
 def _with_totals(df: DataFrame, totals: dict[str, str]) -> DataFrame:
@@ -17,6 +17,18 @@ def _with_totals(df: DataFrame, totals: dict[str, str]) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[F.sum(c).alias(n) for n, c in totals.items()])))
 
 
+def _with_quantiles(agg: DataFrame, df: DataFrame, x: Column, fractions: list[float], by: list[str]) -> DataFrame:
+    """Adds ``_q``, the exact quantiles of x in the rows of df, to aggregates by the same columns."""
+    q = quantiles(df, x, fractions, by)
+    if not by:
+        return agg.crossJoin(F.broadcast(q))  # one row
+    q = q.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(by)})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{i}"))
+    return agg.join(q, same).drop(*[f"_of_{i}" for i in range(len(by))])
+
+
 def _ranked(df: DataFrame, name: str) -> DataFrame:
     """Of (pattern_json, row_count): rank under ``name``, most frequent first, ``observed``, how many there
     are, ``upto``, the rows up to this one, and ``total``, all rows. By range partitions."""
@@ -209,10 +221,10 @@ def flag_overlap(df: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame
 def iqr_outliers(df: DataFrame, col: str, by: list[str], k: float = 1.5, exact: bool = True) -> DataFrame:
     """Bounds by group and rows outside."""
     x = F.col(col).cast("double")
-    q = F.percentile if exact else F.percentile_approx
-    b = df.groupBy(*by).agg(q(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q")).select(*by, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("q3"))
+    b = quantiles(df, x, [0.25, 0.75], by) if exact else df.groupBy(*by).agg(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    b = b.select(*by, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("q3"))
     b = b.withColumn("low", F.round(F.col("q1") - k * (F.col("q3") - F.col("q1")), 6)).withColumn("high", F.round(F.col("q3") + k * (F.col("q3") - F.col("q1")), 6))
-    return (df.join(b, by) if by else df.crossJoin(F.broadcast(b))).groupBy(*by, "q1", "q3", "low", "high").agg(F.count(x).alias("non_null"), F.count_if((x < F.col("low")) | (x > F.col("high"))).alias("outliers"))
+    return (df.join(few(b), by) if by else df.crossJoin(F.broadcast(b))).groupBy(*by, "q1", "q3", "low", "high").agg(F.count(x).alias("non_null"), F.count_if((x < F.col("low")) | (x > F.col("high"))).alias("outliers"))
 
 
 def outlier_lift(df: DataFrame, col: str, target: str, z: float = 3.0) -> DataFrame:

@@ -1,8 +1,12 @@
 """Results and plans that must hold on tables of many partitions."""
 
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
 from tarnforge.operators import profile
+from tarnforge.operators.ranks import quantiles
 from tarnforge.sources import snapshot
 
 
@@ -40,3 +44,39 @@ def test_payload_duplicates_are_one_grouping_and_keep_null_keys(spark):
     assert sorted(tuple(r) for r in out.fillna(0).groupBy("k", "copies").count().collect()) == [(0, 2, 2), (1, 2, 1)]
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and text.count("Exchange") == 1
+
+
+FRACTIONS = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+
+
+def test_quantiles_are_exact(spark):
+    odd = F.when(F.col("id") % 97 == 0, None).when(F.col("id") % 89 == 0, float("inf")).when(F.col("id") % 83 == 0, -float("inf")).when(F.col("id") % 5 == 0, 7.0).otherwise(F.rand(3) * 1e6 - 5e5)
+    df = spark.range(20000).repartition(6).withColumns({"x": odd, "g": F.when(F.col("id") % 4 > 0, F.concat(F.lit("g"), F.col("id") % 4))}).cache()
+    df = df.unionByName(spark.createDataFrame([(0, None, "empty"), (1, 2.5, "one")], "id long, x double, g string"))
+    want = F.percentile("x", F.array(*map(F.lit, FRACTIONS))).alias("_q")
+    flat = lambda rows: {str(r[:-1]): r["_q"] and [float(f"{v:.12g}") for v in r["_q"]] for r in rows.collect()}
+    for accuracy in (10_000, 3):  # brackets of few rows, and brackets that may miss
+        assert flat(quantiles(df, "x", FRACTIONS, ["g"], accuracy=accuracy)) == flat(df.groupBy("g").agg(want))
+        assert flat(quantiles(df, "x", FRACTIONS, accuracy=accuracy)) == flat(df.agg(want))
+    assert quantiles(df.where("false"), "x", [0.5]).collect() == [(None,)] and quantiles(df.where("false"), "x", [0.5], ["g"]).collect() == []
+    rows = [(i, random.Random(i).uniform(900, 105000)) for i in range(200) for i in (i, i + 1000)]
+    two = spark.createDataFrame(rows, "i int, x double").withColumn("g", F.col("i") % 1000)
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE t (g int, x double)")
+        c.executemany("INSERT INTO t VALUES (?, ?)", [(i % 1000, x) for i, x in rows])
+        want = c.execute(f"SELECT g, quantile_cont(x, {FRACTIONS}) FROM t GROUP BY 1").fetchall()
+    assert sorted(tuple(r) for r in quantiles(two, "x", FRACTIONS, ["g"]).collect()) == sorted(want)
+
+
+def without_percentile(df):
+    return "percentile(" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_iqr_outliers_hold_no_map_of_all_values(spark):
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = profile.iqr_outliers(spark.range(10).withColumn("g", F.col("id") % 2), "id", ["g"])
+        assert without_percentile(out) and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
