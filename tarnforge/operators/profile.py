@@ -140,14 +140,15 @@ def feature_availability(df: DataFrame, pairs: list[tuple[str, str]], group: str
 
 def univariate(df: DataFrame, col: str, by: list[str] | None = None, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Counts, quartiles and moments of a column. Moments are of doubles, so that no decimal sum
-    overflows. ``exact`` false takes approximate quartiles, which need bounded memory."""
-    x = F.col(col).cast("double")
-    three = F.array(*map(F.lit, (0.25, 0.5, 0.75)))  # one state for all quartiles
+    overflows. ``exact`` false takes approximate quartiles, in the same pass."""
+    x, three = F.col(col).cast("double"), [0.25, 0.5, 0.75]
     out = df.groupBy(*(by or [])).agg(
         F.count("*").alias("total_rows"), F.count(x).alias("non_null"), F.count_if(x.isNull()).alias("nulls"), percent(F.count_if(x.isNull()), F.count("*")).alias("null_pct"),
-        F.min(x).alias("minimum"), (F.percentile(x, three) if exact else F.percentile_approx(x, three, accuracy)).alias("_q"), F.round(F.avg(x), 6).alias("mean"), F.max(x).alias("maximum"),
-        F.round(F.stddev_samp(x), 6).alias("stddev"), F.round(F.var_samp(x), 4).alias("variance"),
+        F.min(x).alias("minimum"), F.round(F.avg(x), 6).alias("mean"), F.max(x).alias("maximum"), F.round(F.stddev_samp(x), 6).alias("stddev"), F.round(F.var_samp(x), 4).alias("variance"),
+        *([] if exact else [F.percentile_approx(x, F.array(*map(F.lit, three)), accuracy).alias("_q")]),  # one state for all quartiles
     )
+    if exact:
+        out = _with_quantiles(out, df, x, three, by or [])
     q = {n: F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))}
     return out.select(*(by or []), "total_rows", "non_null", "nulls", "null_pct", "minimum", q["q1"], "mean", q["median"], q["q3"], "maximum", "stddev", "variance")
 

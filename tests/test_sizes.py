@@ -80,3 +80,11 @@ def test_iqr_outliers_hold_no_map_of_all_values(spark):
         assert without_percentile(out) and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
+def test_univariate_holds_no_map_of_all_values(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", None), ("b", 4.0)], "g string, x double")
+    assert without_percentile(profile.univariate(df, "x", ["g"])) and without_percentile(profile.univariate(df, "x"))
+    got = {r.g: (r.total_rows, r.q1, r.median, r.q3) for r in profile.univariate(df, "x", ["g"]).collect()}
+    assert got == {None: (2, 1.25, 1.5, 1.75), "a": (1, None, None, None), "b": (1, 4.0, 4.0, 4.0)}
+    assert profile.univariate(df.where("false"), "x").first().total_rows == 0
