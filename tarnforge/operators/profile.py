@@ -232,9 +232,9 @@ def outlier_lift(df: DataFrame, col: str, target: str, z: float = 3.0) -> DataFr
     """Share of IQR and z-score outliers and how their target rate compares with the whole. Population
     deviation; no z-outliers where it is 0."""
     x, y = F.col(col).cast("double"), F.col(target).cast("double")
-    b = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.avg(y).alias("base"))
+    b = _with_quantiles(df.agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.avg(y).alias("base")), df, x, [0.25, 0.75], [])
     j = df.crossJoin(F.broadcast(b))  # one row
-    q1, q3 = F.col("q")[0], F.col("q")[1]
+    q1, q3 = F.col("_q")[0], F.col("_q")[1]
     iqr = (x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))
     far = F.when(F.col("s") > 0, F.abs(x - F.col("m")) / F.col("s") >= z).otherwise(F.lit(False))
     rows = [("iqr", iqr), ("zscore", far)]
@@ -248,9 +248,9 @@ def descriptives(df: DataFrame, col: str) -> DataFrame:
     x = F.col(col).cast("double")
     names = ("p50", "p90", "p99", "p999")
     out = df.agg(
-        F.percentile(x, F.array(*map(F.lit, (0.5, 0.9, 0.99, 0.999)))).alias("_q"), percent(F.count_if(x == 0), F.count(x)).alias("zero_pct"),
-        F.round(F.skewness(x), 4).alias("skew"), F.round(F.kurtosis(x), 4).alias("kurtosis"), F.count_distinct(x).alias("n_unique"),
+        percent(F.count_if(x == 0), F.count(x)).alias("zero_pct"), F.round(F.skewness(x), 4).alias("skew"), F.round(F.kurtosis(x), 4).alias("kurtosis"), F.count_distinct(x).alias("n_unique"),
     )
+    out = _with_quantiles(out, df, x, [0.5, 0.9, 0.99, 0.999], [])
     return out.select(*[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)], "zero_pct", "skew", "kurtosis", "n_unique")
 
 
@@ -321,7 +321,7 @@ def quantile_lift(df: DataFrame, col: str, target: str, bins: int = 10) -> DataF
     """Prevalence and lift in quantile bins; equal edges are merged, the lowest value belongs to the
     first bin. The edges are a bounded array."""
     x = F.col(col).cast("double")
-    b = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"), F.avg(F.col(target).cast("double")).alias("base"))
+    b = _with_quantiles(df.agg(F.avg(F.col(target).cast("double")).alias("base")), df, x, [i / bins for i in range(bins + 1)], []).select(F.array_distinct("_q").alias("edges"), "base")
     j = df.where(x.isNotNull()).crossJoin(F.broadcast(b))  # one row
     k = F.greatest(F.size(F.filter("edges", lambda e: e < x)), F.lit(1))
     g = j.groupBy(k.alias("bin"), "base").agg(F.count("*").alias("row_count"), F.min(x).alias("low"), F.max(x).alias("high"), F.avg(F.col(target).cast("double")).alias("p"))

@@ -88,3 +88,8 @@ def test_univariate_holds_no_map_of_all_values(spark):
     got = {r.g: (r.total_rows, r.q1, r.median, r.q3) for r in profile.univariate(df, "x", ["g"]).collect()}
     assert got == {None: (2, 1.25, 1.5, 1.75), "a": (1, None, None, None), "b": (1, 4.0, 4.0, 4.0)}
     assert profile.univariate(df.where("false"), "x").first().total_rows == 0
+
+
+def test_outliers_and_lifts_hold_no_map_of_all_values(spark):
+    df = spark.range(1000).select((F.col("id") * 1.5).alias("x"), (F.col("id") % 2).alias("y"))
+    assert all(map(without_percentile, (profile.outlier_lift(df, "x", "y"), profile.quantile_lift(df, "x", "y"), profile.descriptives(df, "x"))))
