@@ -284,12 +284,12 @@ def rank_correlations(df: DataFrame, cols: list[str], target: str) -> DataFrame:
 
     All columns are unpivoted once and counted by (column, value, target's value): the only exchange of rows,
     whatever the columns. Their ranks and the target's are joined to the counts, and the sums are taken
-    about the ranks' known mean.
+    about the ranks' known mean. A target of few values is broadcast, as a join by it would sort all counts of a value in one task.
     """
     d = df.select(*dict.fromkeys([*cols, target])).dropna()
     pairs = cut(d.select(F.col(target).cast("double").alias("t"), _long(list(dict.fromkeys([*cols, target])))).groupBy("column_name", "value", "t").agg(F.count("*").alias("k")))
     ranks = cut(average_ranks(pairs))
-    own = ranks.where(F.col("column_name") == target).select(F.col("value").alias("t"), F.col("rank").alias("t_rank"))
+    own = few(ranks.where(F.col("column_name") == target).select(F.col("value").alias("t"), F.col("rank").alias("t_rank")))
     x, y = (F.col(c) - (F.col("rows") + 1) / 2.0 for c in ("rank", "t_rank"))
     s = pairs.join(ranks, ["column_name", "value"]).join(own, "t").groupBy("column_name").agg(*[F.sum(F.col("k") * e).alias(n) for n, e in (("xy", x * y), ("xx", x * x), ("yy", y * y))])
     rho = F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))

@@ -93,3 +93,15 @@ def test_univariate_holds_no_map_of_all_values(spark):
 def test_outliers_and_lifts_hold_no_map_of_all_values(spark):
     df = spark.range(1000).select((F.col("id") * 1.5).alias("x"), (F.col("id") % 2).alias("y"))
     assert all(map(without_percentile, (profile.outlier_lift(df, "x", "y"), profile.quantile_lift(df, "x", "y"), profile.descriptives(df, "x"))))
+
+
+def test_rank_correlations_do_not_deal_rows_by_the_target(spark):
+    df = spark.range(2000).select((F.col("id") * 7 % 1000).alias("x"), (F.col("id") % 2).alias("y"))
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = profile.rank_correlations(df, ["x"], "y")
+        by_target = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line and "(t#" in line]
+        assert by_target and all("BroadcastHashJoin" in line for line in by_target)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
