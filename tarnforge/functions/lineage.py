@@ -36,6 +36,15 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that shuffles both, whatever Spark takes its size for.
+
+    Broadcast sides are collected by the driver. What a Python function or an explode makes of few rows is
+    estimated by those rows, so a side of any size may be broadcast below spark.sql.autoBroadcastJoinThreshold.
+    """
+    return df.hint("merge")
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Deletes a folder where it lies; false if there is none."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnforge.functions.lineage import cut, ensure_checkpoint_dir, remove
+from tarnforge.functions.lineage import apart, cut, ensure_checkpoint_dir, remove
 
-__all__ = ["cut", "ensure_checkpoint_dir", "free_name", "id_crc", "remove", "small_batches", "table"]
+__all__ = ["apart", "cut", "ensure_checkpoint_dir", "free_name", "id_crc", "remove", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ Equal fingerprints are one node, however many documents have them, and a node ha
 others within three bits; so the links of a group of copies grow with its different
 fingerprints, never with the square of its size. Candidates are verified inside the join, and
 links are contracted to stars in rounds (each neighbourhood to its minimum), with every round
-checkpointed.
+checkpointed. No join broadcasts a side: a fingerprint has some fifty keys, which Spark's estimate does not know.
 
 Candidates by chance grow as the square of the different fingerprints: two that are unlike share a
 key in 48 of 2**28 cases. That is a few a fingerprint at 10**8 of them, and too many beyond some
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnforge.llm.common import cut, free_name, small_batches, table
+from tarnforge.llm.common import apart, cut, free_name, small_batches, table
 from tarnforge.llm.golay import Decoder
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -124,7 +124,7 @@ def key_table(nodes: DataFrame, wide: bool) -> DataFrame:
 def links(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints within RADIUS; a pair may come more than once."""
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-    return key_table(nodes, False).join(key_table(nodes, True), "key").where(near).select("a", "b")
+    return key_table(nodes, False).join(apart(key_table(nodes, True)), "key").where(near).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -139,11 +139,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: neighbours above a node go to the smallest of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.where("b > a").join(apart(least), "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # Small star: a node and its neighbours below go to the smallest of them.
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("m").alias("a"), "b").unionByName(low.select(F.col("m").alias("a"), F.col("a").alias("b")))
+        small = down.join(apart(low), "a").select(F.col("m").alias("a"), "b").unionByName(low.select(F.col("m").alias("a"), F.col("a").alias("b")))
         edges = cut(small.where("a <> b").distinct(), rows=now[0])
 
 
@@ -154,10 +154,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, carry: list[str] | Non
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes))
     # Both sides of the join by root have exchanges of their own, so that a hot component is split.
-    rooted = cut(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = cut(nodes.join(apart(found.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = cut(rooted.join(least, "root").select("fp", "root", "component_id"))
-    return marked.join(named, "fp").select("doc_id", *(carry or []), "fp", "root", "component_id")
+    named = cut(rooted.join(apart(least), "root").select("fp", "root", "component_id"))
+    return marked.join(apart(named), "fp").select("doc_id", *(carry or []), "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, find) -> DataFrame:
@@ -174,7 +174,7 @@ def keep_first(docs: DataFrame, find) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col(key).alias("key"), F.col(mark).alias("mark")))
     stay = found.groupBy("root").agg(first.alias("s")).select(F.col("s.key").alias(key), F.col("s.mark").alias(mark))
     rows = docs.withColumns({mark: hashed, key: named})
-    return rows.join(stay, [key, mark], "left_semi").dropDuplicates([key, mark]).select(*docs.columns)
+    return rows.join(apart(stay), [key, mark], "left_semi").dropDuplicates([key, mark]).select(*docs.columns)
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

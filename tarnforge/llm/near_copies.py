@@ -19,6 +19,7 @@ Pairs are compared inside the joins by the parities of ``WIDTH`` classes of hash
 parity that differs takes a shingle of one set only, so too many rule a pair out, and no linked
 pair is lost. Only what passes is made as a row. Whole sets are made and moved of texts in such
 pairs alone: the texts are found by their hashes, which are broadcast up to ``FEW`` and else joined.
+No other join broadcasts a side, so the driver holds nothing that grows with the documents.
 
 Defined cases: a null or wordless text has the empty set, equal to itself only; a text of one
 to four words has one shingle, the whole sequence; words and case are those of ``golay_dedup``; very
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnforge.llm import golay_dedup
-from tarnforge.llm.common import cut, small_batches
+from tarnforge.llm.common import apart, cut, small_batches
 from tarnforge.llm.golay_dedup import SEED, components, keep_first, shingle_hashes, simhash
 
 SHINGLE, BANDS, ROWS, PIVOTS = 5, 20, 4, 2
@@ -132,22 +133,23 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes that are as similar as ``SHARE``, by their whole sets."""
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = cut(nodes.join(wanted, "fp").select("fp", F.col("hash").alias("_hash")))
+    texts = cut(nodes.join(apart(wanted), "fp").select("fp", F.col("hash").alias("_hash")))
     few = texts.count() <= FEW
-    chosen = docs.select("text", F.xxhash64("text").alias("_hash")).join(F.broadcast(texts.select("_hash")) if few else texts.select("_hash"), "_hash", "left_semi")
-    grams = cut(sets(chosen).join(texts.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.any_value("grams").alias("grams")))
+    chosen = docs.select("text", F.xxhash64("text").alias("_hash")).join(F.broadcast(texts.select("_hash")) if few else apart(texts.select("_hash")), "_hash", "left_semi")
+    grams = cut(sets(chosen).join(apart(texts.select("fp")), "fp", "left_semi").groupBy("fp").agg(F.any_value("grams").alias("grams")))
     both = F.size(F.array_intersect("x", "y"))
     near = both * sum(SHARE) >= (F.size("x") + F.size("y")) * SHARE[0]  # both / (x + y - both) >= SHARE
     one, two = grams.select(F.col("fp").alias("a"), F.col("grams").alias("x")), grams.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
-    return cut(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"))
+    return cut(pairs.join(apart(one), "a").join(apart(two), "b").where(near).select("a", "b"))
 
 
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """Candidates by the Golay keys: one node of each SimHash against the others of it, and against one of each linked SimHash."""
     one = nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("node"))
-    same = nodes.join(one.select(F.col("fp").alias("sim"), "node"), "sim").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    same = nodes.join(apart(one.select(F.col("fp").alias("sim"), "node")), "sim").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
     near = golay_dedup.links(one)
-    near = near.join(one.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    for c, name in (("a", "x"), ("b", "y")):
+        near = near.join(apart(one.select(F.col("fp").alias(c), F.col("node").alias(name))), c)
     return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
@@ -156,15 +158,15 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     keyed = nodes.select("fp", F.explode("bands").alias("key"))
     pivots = F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("fp", *([] if i == 0 else ["key", F.lit(i)]))) for i in range(PIVOTS)]))
     shared = keyed.groupBy("key").agg(pivots.alias("pivots"), F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
-    members = cut(keyed.join(shared.select("key", "pivots"), "key").join(nodes.select("fp", "n", "odd"), "fp"))
+    members = cut(keyed.join(apart(shared.select("key", "pivots")), "key").join(apart(nodes.select("fp", "n", "odd")), "fp"))
     chosen = members.where(F.array_contains("pivots", F.col("fp"))).select("key", F.col("fp").alias("pivot"), F.col("n").alias("pn"), F.col("odd").alias("podd"))
-    star = members.drop("pivots").join(chosen, "key").where("fp <> pivot").where(possible("n", "odd", "pn", "podd"))
+    star = members.drop("pivots").join(apart(chosen), "key").where("fp <> pivot").where(possible("n", "odd", "pn", "podd"))
     first = verified(ordered(star.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).unionByName(fingerprint_pairs(nodes)), "a", "b"), docs, nodes)
-    rooted = members.drop("pivots").join(components(first).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = members.drop("pivots").join(apart(components(first).withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    left = cut(rooted.join(mixed, "key", "left_semi"))
+    left = cut(rooted.join(apart(mixed), "key", "left_semi"))
     one, two = (left.select("key", F.col("fp").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
-    rest = one.join(two, "key").where("a < b and ra <> rb").where(possible("na", "oa", "nb", "ob"))
+    rest = one.join(apart(two), "key").where("a < b and ra <> rb").where(possible("na", "oa", "nb", "ob"))
     return first.unionByName(verified(ordered(rest, "a", "b"), docs, nodes))
 
 
@@ -173,7 +175,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     marked = cut(marks(docs.withColumn("hash", F.xxhash64("text"))))
     nodes = cut(marked.groupBy("fp").agg(*[F.any_value(c).alias(c) for c in ("hash", "sim", "bands", "n", "odd")]))
     found = components(links(docs, nodes)).withColumnRenamed("node", "fp")
-    return marked.drop("hash", "sim", "bands", "n", "odd").join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return marked.drop("hash", "sim", "bands", "n", "odd").join(apart(found), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -587,6 +587,27 @@ def test_both_ways_to_find_the_texts_of_candidates(spark, monkeypatch):
     assert sorted(r.doc_id for r in near_copies.deduplicate(df).collect()) == one and len(one) < 30
 
 
+@pytest.mark.parametrize("module", [golay_dedup, near_copies])
+def test_near_dedup_broadcasts_no_side_of_a_join(spark, monkeypatch, module):
+    """Sides that Spark takes for small, which the driver would collect at any size (a key table of 2 million rows was 134 MB)."""
+    monkeypatch.setattr(near_copies, "FEW", -1)
+    store = spark._jsparkSession.sharedState().statusStore()
+    listeners = spark.sparkContext._jsc.sc().listenerBus()
+    listeners.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    words = [f"w{i}" for i in range(60)]
+    docs = [(k, " ".join(w if i != k else "other" for i, w in enumerate(words))) for k in range(30)] + [(k, " ".join(random.Random(k).choices(words, k=40))) for k in range(30, 60)]
+    rows = module.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    listeners.waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    names = []
+    for i in range(before, runs.size()):
+        nodes = store.planGraph(runs.apply(i).executionId()).allNodes()
+        names += [nodes.apply(k).name() for k in range(nodes.size())]
+    assert [n for n in names if "Broadcast" in n] == []
+    assert 30 <= len(rows) < 60 and "SortMergeJoin" in names
+
+
 def test_clashing_columns_stay(spark):
     names = ["_text", "_key", "root", "fp", "hash", "sim", "n", "odd", "bands", "component_id", "key", "a", "b", "pivot"]
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words"), (None, None)], "doc_id long, text string").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
